@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, token_counts
+from . import bpe, html_extract, media, packing, quality, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match token counts of all documents."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
@@ -47,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_byte_bpe, op4_quality_rules, op6_media_columns, op10_token_counts)
+    for f in (op1_packing, op2_byte_bpe, op4_quality_rules, op6_media_columns, op9_html_extraction, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
