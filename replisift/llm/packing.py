@@ -18,39 +18,126 @@ from pyspark.sql import functions as F
 
 from ._common import map_texts
 
-#: White-space-delimited words whose ids a worker remembers, and their longest size.
-CACHE_SIZE, CACHED_BYTES = 400_000, 64
+#: Words (delimited by white space) and pieces of words whose ids a worker
+#: remembers in each of two generations, and their longest size.
+CACHE_SIZE, CACHED_BYTES = 800_000, 64
+
+#: Fixed value: how the tokenizer's file splits normalised text, each match apart.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Below this character all text is in normal form C.
+LATIN_END = "\u0250"
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies; the space stays, as a separator."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)} | {32: " "}
+
+
+BYTE_CHARS = _byte_chars()
+
+
+class Generations:
+    """A bounded memory of two dictionaries: when the young one is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= CACHE_SIZE:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never lets a token span it, so ids of a
-    text are those of its words in order.  ASCII white space is split here, and
-    words seen before come from a bounded cache.
+    text are those of its words in order.  ASCII white space is split here.
+    Words seen before come from a bounded memory; other words are split into
+    the tokenizer's pieces, and only pieces that are new as well reach its
+    model, all of a text's in one call.  Each piece ends in the one token with a
+    word end, which tells the pieces' ids apart.  Words that aren't plain Latin
+    text go through the whole tokenizer one by one.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
-        from tokenizers import Tokenizer
-
+        import regex
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        #: The model alone, for pieces that are normalised and split already.
+        self.model = Tokenizer.from_file(tokenizer_path)
+        self.model.encode_special_tokens = True
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
+        self.words, self.pieces = Generations(), Generations()
+        self.split = regex.compile(PIECE).findall
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
 
     def __call__(self, data: bytes) -> bytes:
-        words, cache = data.split(), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, got, strict=True)}
-        ids = b"".join([cache[w] if w in cache else fresh[w] for w in words])
-        if len(cache) + len(fresh) > CACHE_SIZE:
-            cache.clear()
-        if len(fresh) <= CACHE_SIZE:
-            cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_BYTES)
-        return ids
+        words = data.split()
+        ids = list(map(self.words.young.get, words))
+        if None in ids:
+            found, new = {}, []
+            for w in {w for w, x in zip(words, ids, strict=True) if x is None}:
+                x = self.words.old.get(w)
+                if x is None:
+                    new.append(w)
+                else:
+                    found[w] = x
+            found |= zip(new, self._encode(new), strict=True)
+            for w, x in found.items():
+                if len(w) <= CACHED_BYTES:
+                    self.words.put(w, x)
+            ids = [found[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        return b"".join(ids)
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        split = [self._plain(w) for w in words]
+        known = {p: self.pieces.get(p) for p in {p for parts in split for p in parts or ()}}
+        ask = [p for p, x in known.items() if x is None]
+        if ask:
+            joined = " ".join(ask).encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = np.asarray(self._ids(self.model, joined), "<u4")
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(ask, (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist(), strict=True):
+                known[p] = raw[at:end]
+                at = end
+                if len(p) <= CACHED_BYTES:
+                    self.pieces.put(p, known[p])
+        return [
+            b"".join(map(known.__getitem__, parts)) if parts is not None else np.asarray(self._ids(self.tokenizer, w.decode("utf-8", "replace")), "<u4").tobytes()
+            for w, parts in zip(words, split, strict=True)
+        ]
+
+    def _plain(self, word: bytes) -> list[str] | None:
+        """A word's pieces; None for what only the tokenizer itself can normalise and split."""
+        text = word.decode("utf-8", "replace")
+        if text.isascii() and text.isprintable() or text.isprintable() and max(text) < LATIN_END:
+            return self.split(text.lower())
+        return None
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 _LOADED: dict[str, WordIds] = {}
