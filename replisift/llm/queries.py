@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, media, packing, quality, token_counts
+from . import bpe, chat, html_extract, media, packing, quality, secrets, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality ledger of all documents under the default policy."""
     ledger = quality.apply_policy(quality.quality_ledger(_table(spark, sf_dir, "documents")))
@@ -35,11 +40,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as 8-bit media, sniffed and read back."""
     return media.text_media(_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal conversations, rendered."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
@@ -52,7 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_byte_bpe, op4_quality_rules, op6_media_columns, op9_html_extraction, op10_token_counts)
+    for f in (
+        op1_packing, op2_byte_bpe, op3_secret_scans, op4_quality_rules, op5_toxicity, op6_media_columns,
+        op8_chat_formatting, op9_html_extraction, op10_token_counts,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
