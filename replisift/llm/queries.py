@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, media, packing, quality, secrets, token_counts, toxicity
+from . import bpe, chat, html_extract, media, ngram_join, packing, quality, secrets, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-gram sets are similar by 90 per cent."""
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All maximal conversations, rendered."""
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
@@ -70,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_byte_bpe, op3_secret_scans, op4_quality_rules, op5_toxicity, op6_media_columns,
-        op8_chat_formatting, op9_html_extraction, op10_token_counts,
+        op7_ngram_join, op8_chat_formatting, op9_html_extraction, op10_token_counts,
     )
 }
 
