@@ -3,12 +3,13 @@
 A document's set holds the hashes of its distinct word n-grams.  Sizes fall into
 bands.  Two sets that are similar enough, the smaller with size in [l, r], differ
 in at most k = r (1 - g) / g elements, g being the similarity.  So if the feature
-domain is dealt into k + 1 + SPARE parts, the sets agree on at least 1 + SPARE of
-them; a signature is the hash of a set's content of one part (PartEnum with
-single parts as the enumerated subsets).  A set emits the signatures of its own
-band, and of a lower band where partners may be found.  Empty parts agree with
-all others, so a set emits them only if it has more than SPARE of them: otherwise
-one of the parts it must share with a partner isn't empty.
+domain is dealt into k + 1 + s parts, the sets agree on at least s + 1 of them; a
+signature is the hash of a set's content of one part.  Since so many agree, each
+set may leave out the s signatures that come last in any order common to all: the
+order is by the number of elements of a part's content, most first, so what goes
+is the least selective (a passage that many texts quote fills whole parts only
+where these hold few elements).  A set emits the k + 1 signatures of its own band,
+and of a lower band where partners may be found.
 
 From signatures to links, without ever forming all pairs of a group:
 
@@ -39,7 +40,10 @@ from pyspark.sql import types as T
 
 from ._common import fresh_name, ship, text_bytes, written
 
-SPARE, BAND_RATIO, BLOCK = 2, 1.5, 512
+#: s as a share of k + 1, the ratio of a band's ends, and the members of a block.
+SPARE, BAND_RATIO, BLOCK = 0.4, 1.5, 512
+#: Groups that rows of equal sets are dealt into where they meet their smallest id.
+SALT = 16
 #: Keys of sets that a task remembers so as not to repeat signatures.
 SEEN = 200_000
 
@@ -116,14 +120,13 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         k = int(_BAND_STARTS[band + 1] - 1) * (100 - percent) // percent
         if not k:
             continue
-        parts = k + 1 + SPARE
+        parts = k + 1 + int(SPARE * (k + 1))
         part = ((s >> _U(32)) % _U(parts)).astype(np.int64)
         content = np.zeros(parts, _U)
         np.add.at(content, part, _mix(s ^ _M3))
-        full = np.bincount(part, minlength=parts) > 0
-        tag = np.arange(parts, dtype=_U) + _U((band << 40) & (2**64 - 1))
-        sig = _mix(content + _mix(tag * _P))
-        out.append(sig if parts - full.sum() > SPARE else sig[full])
+        first_parts = np.argsort(-np.bincount(part, minlength=parts), kind="stable")[: k + 1]
+        tag = first_parts.astype(_U) + _U((band << 40) & (2**64 - 1))
+        out.append(_mix(content[first_parts] + _mix(tag * _P)))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -324,7 +327,8 @@ def _deal(df: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFr
     """The texts of (hub, block, role, id, comp) units, together and in order."""
     texts = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     one = units.groupBy("id").agg(F.collect_set(F.struct("hub", "block", "role", "comp")).alias("in"))
-    rows = texts.join(one, "id").select("id", "text", F.explode("in").alias("u")).select("u.*", "id", "text")
+    # Either side may be of any size, so neither is broadcast.
+    rows = texts.join(one.hint("merge"), "id").select("id", "text", F.explode("in").alias("u")).select("u.*", "id", "text")
     return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "role", "id")
 
 
@@ -373,8 +377,10 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
         links = links.unionByName(written(more, "links"))
 
     # Equal sets: of each key with several rows, the smallest id.  The others' links are that id's.
-    equal = table.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("key", "least")
-    rows = table.select("id", "n", "key").join(equal, "key", "left").select("id", "n", F.coalesce("least", "id").alias("least"))
+    equal = table.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    salted = equal.select("key", "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    rows = table.select("id", "n", "key", F.pmod(F.hash("id"), F.lit(SALT)).alias("salt")).join(salted, ["key", "salt"], "left")
+    rows = rows.select("id", "n", F.coalesce("least", "id").alias("least"))
     copies = rows.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     linked = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
     # Copies matter to components only where one of them has links of its own.
