@@ -323,12 +323,10 @@ def components(edges: DataFrame) -> DataFrame:
     return current.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
-def _deal(df: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _deal(texts: DataFrame, units: DataFrame) -> DataFrame:
     """The texts of (hub, block, role, id, comp) units, together and in order."""
-    texts = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     one = units.groupBy("id").agg(F.collect_set(F.struct("hub", "block", "role", "comp")).alias("in"))
-    # Either side may be of any size, so neither is broadcast.
-    rows = texts.join(one.hint("merge"), "id").select("id", "text", F.explode("in").alias("u")).select("u.*", "id", "text")
+    rows = texts.join(one, "id").select("id", "text", F.explode("in").alias("u")).select("u.*", "id", "text")
     return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "role", "id")
 
 
@@ -358,7 +356,11 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     dealt = written(dealt, "blocks")
     members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", nowhere.alias("comp"))
     hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), nowhere.alias("comp")).distinct()
-    links = written(_block_links(_deal(df, members.unionByName(hubs), id_col, text_col), words, percent, id_type, False), "links")
+    # All texts are shuffled once, to keep those of families.  Either side may be of any size, so neither is broadcast.
+    ids = dealt.select("id").unionByName(dealt.select(F.col("hub").alias("id"))).distinct()
+    texts = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
+    texts = written(texts, "texts")
+    links = written(_block_links(_deal(texts, members.unionByName(hubs)), words, percent, id_type, False), "links")
 
     large = dealt.where("blocks > 1")
     if large.limit(1).count():
@@ -373,7 +375,7 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
         probes = apart.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"), "block", "id", "comp").where("to != block")
         probes = probes.select("hub", F.col("to").alias("block"), F.lit(2).alias("role"), "id", "comp")
         targets = labelled.join(apart.select("hub").distinct(), "hub", "left_semi").select("hub", "block", F.lit(1).alias("role"), "id", "comp")
-        more = _block_links(_deal(df, targets.unionByName(probes), id_col, text_col), words, percent, id_type, True)
+        more = _block_links(_deal(texts, targets.unionByName(probes)), words, percent, id_type, True)
         links = links.unionByName(written(more, "links"))
 
     # Equal sets: of each key with several rows, the smallest id.  The others' links are that id's.

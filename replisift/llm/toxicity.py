@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import fresh_name, map_texts, ship
 
-SAMPLE, SAMPLE_CHARS, FEATURES = 6000, 20_000, 6000
+SAMPLE, SAMPLE_CHARS, FEATURES = 4000, 20_000, 6000
 PREFIXES = (4, 5, 6)
 CACHE_SIZE = 500_000
 THRESHOLD = 0.3
@@ -112,19 +112,10 @@ def fit(rows: list[tuple[bytes, int]], l1: float = 0.008, swap_weight: float = 1
     if not 0 < positives < n:
         rate = (positives + 0.5) / (n + 1) if n and positives else 1e-3
         return Model(math.log(rate / (1 - rate)), {})
-    docs = [words_of(t) for t, _ in rows]
     labels = np.array([y for _, y in rows], float)
-    of_word: dict[bytes, list[bytes]] = {}
-    sets = []
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, y in zip(docs, labels, strict=True):
-        own: set = set()
-        for w in words:
-            if w not in of_word:
-                of_word[w] = features_of(w)
-            own.update(of_word[w])
-        sets.append(own)
-        counts[int(y)].update(own)
+    for text, y in rows:
+        counts[int(y)].update({f for w in words_of(text) for f in features_of(w)})
     n1, n0 = positives, n - positives
 
     def strength(f: bytes) -> float:  # log-odds ratio over its standard error
@@ -136,9 +127,14 @@ def fit(rows: list[tuple[bytes, int]], l1: float = 0.008, swap_weight: float = 1
     chosen = sorted(common, key=lambda f: (-strength(f), f))[:FEATURES]
     place = {f: k for k, f in enumerate(chosen)}
 
-    cells = [(i, place[f]) for i, own in enumerate(sets) for f in own if f in place]
-    at, col = np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64)
-    moved = [(set(features_of(a)), set(features_of(b))) for words in docs for a, b in swaps(words)]
+    counts[0].clear()
+    counts[1].clear()
+    found, moved = [], []  # a text's chosen features; the features that leave and come with each swap
+    for text, _ in rows:
+        words = words_of(text)
+        found.append(np.array(sorted({place[f] for w in words for f in features_of(w) if f in place}), np.int32))
+        moved += [(set(features_of(a)), set(features_of(b))) for a, b in swaps(words)]
+    at, col = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
     deltas = [(i, place[f], s) for i, (out, into) in enumerate(moved) for f, s in [*((f, -1.0) for f in out - into), *((f, 1.0) for f in into - out)] if f in place]
     d_at, d_col, d_sign = (np.array([d[k] for d in deltas], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
 
