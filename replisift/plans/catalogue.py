@@ -1,6 +1,702 @@
-"""The query catalogue."""
+"""The query catalogue: every operator over the derived views, and its SQL."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import globs, hashing, paths, text, version
+from ..operators import classify as C
+from ..operators import feed as feeds
+from ..operators import index as idx
+from ..operators import registry, rename, scan, status
+from ..schema import RECEIVE_ONLY, SEND_ONLY, VERSION
+from ..sources import codec, device_id
+from ..streaming import change_feed
+from . import fixtures as X
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = X.with_views(sql, *views) if views else sql
+        return fn
+
+    return add
+
+
+def _hex(c: Column | str) -> Column:
+    return F.lower(F.hex(c))
+
+
+REPLICAS = (X.EVT, X.HAVE, X.PEER, X.PAIRS)
+
+# --- version vectors and classification
+
+ACTION = """CASE WHEN p_deleted THEN CASE WHEN missing OR dead THEN 'IGNORE' WHEN relation = 'THEIRS' THEN 'DELETE' ELSE 'IGNORE' END
+ WHEN missing THEN 'FETCH' WHEN relation = 'THEIRS' THEN CASE WHEN same THEN 'ADOPT' ELSE 'FETCH' END WHEN relation = 'OURS' THEN 'IGNORE'
+ WHEN relation = 'EQUAL' THEN CASE WHEN same AND meta THEN 'ADOPT' ELSE 'IGNORE' END WHEN same THEN CASE WHEN times OR wins THEN 'ADOPT' ELSE 'IGNORE' END
+ WHEN dead THEN 'FETCH' WHEN wins THEN 'CONFLICT' ELSE 'IGNORE' END"""
+
+
+@query("SELECT name, relation FROM pairs WHERE NOT missing", *REPLICAS)
+def version_compare(spark, sf_dir):
+    both = C.pair(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir)).where("have IS NOT NULL")
+    return both.select("name", version.compare(F.col("have.version"), F.col("peer.version")).alias("relation"))
+
+
+@query(
+    f"""SELECT name, greatest(greatest({X.NOW}, modified_s), coalesce(v1 + 1, 0)) AS counter,
+ 1 + (v0 IS NOT NULL)::INT + (v2 IS NOT NULL)::INT + (v3 IS NOT NULL)::INT AS n_counters, v1 IS NOT NULL AS had FROM have""",
+    X.EVT, X.HAVE,
+)
+def version_bump(spark, sf_dir):
+    have, own = X.replica_have(spark, sf_dir), F.lit(X.DEVICE)
+    new = have.withColumn("new", version.bump(F.col("version"), own, version.stamp(F.lit(X.NOW), F.col("modified_s"))))
+    return new.select("name", F.element_at("new", own).cast("long").alias("counter"), F.size("new").alias("n_counters"), version.has(F.col("version"), own).alias("had"))
+
+
+@query(f"SELECT name, {ACTION} AS action FROM pairs", *REPLICAS)
+def classify_incoming(spark, sf_dir):
+    return C.classify(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir)).select("name", "action")
+
+
+@query("SELECT 'IGNORE' AS action, count(*) AS n FROM peer", X.EVT, X.PEER)
+def classify_sendonly(spark, sf_dir):
+    return C.classify(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir), SEND_ONLY).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT name, CASE WHEN p_deleted THEN CASE WHEN missing OR dead THEN 'IGNORE' WHEN older THEN 'IGNORE' ELSE 'DELETE' END
+ WHEN missing THEN 'FETCH' WHEN same THEN 'IGNORE' WHEN older THEN 'IGNORE' ELSE 'FETCH' END AS action FROM pairs""",
+    *REPLICAS,
+)
+def classify_mtime_fallback(spark, sf_dir):
+    bare = lambda df: df.withColumn("version", F.expr(f"cast(map() as {VERSION})"))
+    return C.classify(bare(X.replica_have(spark, sf_dir)), bare(X.replica_peer(spark, sf_dir))).select("name", "action")
+
+
+@query("SELECT name, wins AS peer_wins FROM pairs WHERE NOT missing AND NOT dead AND NOT p_deleted", *REPLICAS)
+def resolve_conflict(spark, sf_dir):
+    both = C.pair(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir)).where("NOT have.deleted AND NOT peer.deleted")
+    return both.select("name", C.peer_wins(F.col("have"), F.col("peer")).alias("peer_wins"))
+
+
+@query(
+    """SELECT name, name || '.sync-conflict-' || strftime(make_timestamp(modified_s * 1000000), '%Y%m%d-%H%M%S') || '-P56IOI7.tar' AS long_name,
+ CASE WHEN strlen(name) + 16 < 24 THEN name || '.cnfl-' || strftime(make_timestamp(modified_s * 1000000), '%H%M%S') || '.tar' END AS compact_name FROM have""",
+    X.EVT, X.HAVE,
+)
+def conflict_names(spark, sf_dir):
+    have = X.replica_have(spark, sf_dir)
+    file, now, tag = F.concat("name", F.lit(".tar")), F.col("modified_s"), F.lit("P56IOI7-ABCDEFG")
+    return have.select("name", text.conflict_name(file, now, tag).alias("long_name"), text.conflict_name(file, now, tag, True, 24).alias("compact_name"))
+
+
+@query(
+    """SELECT name, CASE WHEN missing THEN true WHEN NOT dead THEN false ELSE relation = 'THEIRS' END AS create_it FROM pairs WHERE NOT p_deleted""",
+    *REPLICAS,
+)
+def dir_receive(spark, sf_dir):
+    both = C.pair(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir)).where("NOT peer.deleted")
+    return both.select("name", C.receive_directory(F.col("have"), F.col("peer")).alias("create_it"))
+
+
+@query(
+    """SELECT name, CASE WHEN missing OR dead THEN 'DONE' WHEN relation = 'OURS' THEN 'REFUSE' ELSE 'REMOVE' END AS verdict FROM pairs WHERE p_deleted""",
+    *REPLICAS,
+)
+def dir_delete(spark, sf_dir):
+    both = C.pair(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir)).where("peer.deleted")
+    return both.select("name", C.delete_directory(F.col("have"), F.col("peer")).alias("verdict"))
+
+
+@query(f"SELECT name, p_s AS modified_s FROM pairs WHERE {ACTION} = 'ADOPT'", *REPLICAS)
+def adopt_metadata(spark, sf_dir):
+    rows = C.adopted(C.classify(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir)))
+    return rows.select("name", "record.modified_s")
+
+
+@query(
+    f"""SELECT name AS original, name || '.sync-conflict-20231114-221320-TAG1234' AS name, greatest({X.NOW}, h_s, 0) AS at_least FROM pairs WHERE {ACTION} = 'CONFLICT'""",
+    *REPLICAS,
+)
+def preserve_losers(spark, sf_dir):
+    classified = C.classify(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir)).withColumn("original", F.col("name"))
+    rows = C.preserved(classified, X.DEVICE, X.NOW, "TAG1234")
+    return rows.select("original", "name", F.element_at("record.version", F.lit(X.DEVICE)).cast("long").alias("at_least"))
+
+
+@query(f"SELECT name FROM pairs WHERE p_deleted AND {ACTION} = 'IGNORE' AND NOT missing AND NOT dead", *REPLICAS)
+def kept_against_delete(spark, sf_dir):
+    return C.contested(C.classify(X.replica_have(spark, sf_dir), X.replica_peer(spark, sf_dir))).select("name")
+
+
+# --- blocks and hashes
+
+LADDER = "CASE " + " ".join(f"WHEN size < {2000 * (131072 << k)} THEN {131072 << k}" for k in range(7)) + " ELSE 16777216 END"
+
+
+@query(
+    f"""SELECT o_orderkey, size, block_size, n_blocks, greatest(0, size - (n_blocks - 1) * block_size::BIGINT) AS last_block FROM (
+ SELECT *, greatest(1, ceil(size / block_size))::INT AS n_blocks FROM (SELECT *, {LADDER} AS block_size FROM (
+ SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE CAST(round(o_totalprice * 100) AS BIGINT) * (o_orderkey % 2000) END AS size FROM orders)))"""
+)
+def block_sizes(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    size = F.when(F.col("o_orderkey") % 50 == 0, F.lit(0).cast("long")).otherwise(F.round(F.col("o_totalprice") * 100).cast("long") * (F.col("o_orderkey") % 2000))
+    rows = o.select("o_orderkey", size.alias("size")).withColumn("block_size", hashing.block_size(F.col("size")))
+    rows = rows.withColumn("n_blocks", hashing.n_blocks(F.col("size"), F.col("block_size")))
+    last = F.greatest(F.lit(0).cast("long"), F.col("size") - (F.col("n_blocks") - 1).cast("long") * F.col("block_size"))
+    return rows.withColumn("last_block", last)
+
+
+BLOCKS = """doc_blocks AS (SELECT folder, name, doc_id, i, i * 4096 AS "offset", sha256(content[i * 4096 + 1 : (i + 1) * 4096]) AS h, least(4096, size - i * 4096) AS block_bytes
+ FROM (SELECT *, unnest(range(greatest(1, ceil(size / 4096))::BIGINT)) AS i FROM doc_files))"""
+
+
+@query('SELECT folder, name, i, "offset", block_bytes, h FROM doc_blocks', X.DOC_FILES, BLOCKS)
+def block_hashes(spark, sf_dir):
+    f = X.doc_files(spark, sf_dir)
+    both = F.arrays_zip(hashing.block_spans(F.col("size"), F.col("block_size")).alias("span"), hashing.block_hashes(F.col("content"), F.col("block_size")).alias("h"))
+    rows = f.select("folder", "name", F.posexplode(both).alias("i", "b"))
+    return rows.select("folder", "name", F.col("i").cast("long").alias("i"), F.col("b.span.offset").alias("offset"), F.col("b.span.size").alias("block_bytes"), _hex("b.h").alias("h"))
+
+
+@query(
+    "SELECT folder, name, count(*) AS n_blocks, sha256(unhex(string_agg(h, '' ORDER BY i))) AS content_hash FROM doc_blocks GROUP BY folder, name",
+    X.DOC_FILES, BLOCKS,
+)
+def content_hash(spark, sf_dir):
+    f = X.doc_files(spark, sf_dir).withColumn("hashes", hashing.block_hashes(F.col("content"), F.col("block_size")))
+    return f.select("folder", "name", F.size("hashes").cast("long").alias("n_blocks"), _hex(hashing.content_hash(F.col("hashes"))).alias("content_hash"))
+
+
+@query(
+    """SELECT folder, name, count(bad) = 0 AS ok, min(bad)::INT AS bad_block, (min(bad) * 4096)::BIGINT AS "offset" FROM (
+ SELECT folder, name, CASE WHEN (doc_id + i) % 5 = 0 THEN i END AS bad FROM doc_blocks) GROUP BY folder, name""",
+    X.DOC_FILES, BLOCKS,
+)
+def verify_blocks(spark, sf_dir):
+    f = X.doc_files(spark, sf_dir).withColumn("expected", hashing.block_hashes(F.col("content"), F.col("block_size")))
+    spoilt = F.transform("expected", lambda h, i: F.when((F.col("doc_id") + i) % 5 == 0, F.lit(b"spoilt").cast("binary")).otherwise(h))
+    v = f.select("folder", "name", hashing.verify(spoilt, F.col("expected"), F.col("block_size")).alias("v"))
+    return v.select("folder", "name", "v.ok", F.col("v.bad_block").cast("int").alias("bad_block"), F.col("v.offset").cast("long").alias("offset"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN t > 20 * 4096 THEN 0 ELSE least(t // 4096, 20) END AS resume_at FROM (
+ SELECT l_orderkey, l_linenumber, l_partkey * 17 AS t FROM lineitem)"""
+)
+def resume_points(spark, sf_dir):
+    t = (F.col("l_partkey") * 17).cast("long")
+    return X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", hashing.resume_block(t, F.lit(4096), F.lit(20)).alias("resume_at"))
+
+
+@query("SELECT doc_id, CAST(('0x' || left(h, 16))::UBIGINT AS VARCHAR) AS short_id FROM doc_files", X.DOC_FILES)
+def short_ids(spark, sf_dir):
+    return X.doc_files(spark, sf_dir).select("doc_id", hashing.short_id(hashing.sha256(F.col("content"))).cast("string").alias("short_id"))
+
+
+# --- scans
+
+DIFFED = """diffed AS (SELECT coalesce(l.folder, i.folder) AS folder, coalesce(l.name, i.name) AS name,
+ CASE WHEN l.name IS NULL THEN CASE WHEN i.deleted OR i.invalid THEN 'kept' ELSE 'missing' END
+ WHEN i.name IS NULL THEN 'new' WHEN l.is_dir THEN CASE WHEN i.deleted THEN 'changed' ELSE 'same' END
+ WHEN i.deleted OR i.invalid OR l.size <> i.size OR l.modified_s <> i.modified_s OR i.blocks = 0 THEN 'changed' ELSE 'same' END AS change, coalesce(l.is_dir, false) AS is_dir
+ FROM listing l FULL JOIN index0 i ON l.folder = i.folder AND l.name = i.name)"""
+SCANS = (X.DOC_FILES, X.INDEX0, X.LISTING, DIFFED)
+
+
+@query("SELECT folder, name, change FROM diffed", *SCANS)
+def scan_diff(spark, sf_dir):
+    return scan.diff(X.listing(spark, sf_dir), X.index0(spark, sf_dir)).select("folder", "name", "change")
+
+
+@query(
+    """SELECT folder, name, CASE change WHEN 'new' THEN CASE WHEN is_dir THEN 'commit' ELSE 'untracked' END WHEN 'changed' THEN CASE WHEN is_dir THEN 'commit' ELSE 'forget' END
+ WHEN 'same' THEN 'seen' WHEN 'missing' THEN 'unseen' ELSE 'kept' END AS verdict FROM diffed""",
+    *SCANS,
+)
+def scan_receive_only(spark, sf_dir):
+    return scan.receive_only(scan.diff(X.listing(spark, sf_dir), X.index0(spark, sf_dir))).select("folder", "name", "verdict")
+
+
+@query(
+    """SELECT l.folder, l.name, l.size FROM listing l WHERE NOT regexp_matches(l.name, '^src3(/|$)') AND l.name NOT LIKE '%7.txt'""",
+    X.DOC_FILES, X.LISTING,
+)
+def walk_entries(spark, sf_dir):
+    ignored = globs.ignored(F.col("name"), globs.parse_rules("/src3").rules)
+    return scan.walk(X.listing(spark, sf_dir), ignored, temp_suffix="7.txt").select("folder", "name", "size")
+
+
+@query(
+    f"""SELECT d.folder, d.name, sha256(unhex(sha256(f.content[1:4096]))) AS first_fold, greatest({X.NOW}, f.modified_s) >= f.modified_s AS stamped, 420 AS permissions
+ FROM diffed d JOIN doc_files f ON f.folder = d.folder AND f.name = d.name WHERE d.change = 'changed' AND f.size <= 4096""",
+    *SCANS,
+)
+def commit_changed(spark, sf_dir):
+    changed = scan.diff(X.listing(spark, sf_dir), X.index0(spark, sf_dir)).where("change = 'changed'").select("folder", "name", F.col("record.version").alias("version"))
+    # Only what changed is hashed: the join comes before any content is looked at.
+    files = X.doc_files(spark, sf_dir).where("size <= 4096").join(changed, ["folder", "name"])
+    rows = scan.commit_files(files, X.DEVICE, X.NOW)
+    return rows.select("folder", "name", _hex("content_hash").alias("first_fold"), (F.element_at("version", F.lit(X.DEVICE)) >= F.col("modified_s")).alias("stamped"), F.col("permissions").cast("int").alias("permissions"))
+
+
+SWEPT = """swept AS (SELECT i.*, CASE WHEN regexp_matches(i.name, '^src3(/|$)') THEN CASE WHEN i.type = 0 THEN 'invalid' ELSE 'spared' END
+ WHEN i.sequence > 900 THEN 'spared' ELSE 'tombstone' END AS verdict FROM index0 i
+ WHERE NOT i.deleted AND NOT i.invalid AND NOT EXISTS (SELECT 1 FROM listing l WHERE l.folder = i.folder AND l.name = i.name))"""
+
+
+def _swept(spark, sf_dir):
+    ignored = globs.ignored(F.col("name"), globs.parse_rules("/src3").rules)
+    return scan.sweep(X.index0(spark, sf_dir), X.listing(spark, sf_dir), ignored, 900)
+
+
+@query("SELECT folder, name, verdict FROM swept", X.DOC_FILES, X.INDEX0, X.LISTING, SWEPT)
+def sweep_deletions(spark, sf_dir):
+    return _swept(spark, sf_dir).select("folder", "name", "verdict")
+
+
+@query(
+    f"""SELECT folder, name, verdict = 'tombstone' AS deleted, verdict = 'invalid' AS invalid,
+ CASE WHEN verdict = 'tombstone' THEN greatest({X.NOW}, coalesce(v1 + 1, 0)) ELSE v1 END AS counter FROM swept WHERE verdict <> 'spared'""",
+    X.DOC_FILES, X.INDEX0, X.LISTING, SWEPT,
+)
+def sweep_records(spark, sf_dir):
+    rows = scan.swept_records(_swept(spark, sf_dir), X.DEVICE, X.NOW)
+    return rows.select("folder", "name", "deleted", "invalid", F.try_element_at("version", F.lit(X.DEVICE)).cast("long").alias("counter"))
+
+
+@query(
+    """SELECT folder, name FROM index0 i WHERE NOT (NOT deleted AND NOT invalid AND sequence <= 900
+ AND NOT EXISTS (SELECT 1 FROM listing l WHERE l.folder = i.folder AND l.name = i.name))""",
+    X.DOC_FILES, X.INDEX0, X.LISTING,
+)
+def forget_unseen(spark, sf_dir):
+    return idx.forget_unseen(X.index0(spark, sf_dir), X.listing(spark, sf_dir), 900).select("folder", "name")
+
+
+@query("SELECT folder, count(*) AS n FROM index0 i SEMI JOIN (SELECT folder, name FROM listing WHERE is_dir) l USING (folder, name) GROUP BY folder", *SCANS[:3])
+def listed_directories(spark, sf_dir):
+    dirs = X.listing(spark, sf_dir).where("is_dir")
+    return X.index0(spark, sf_dir).join(dirs, ["folder", "name"], "left_semi").groupBy("folder").agg(F.count("*").alias("n"))
+
+
+# --- index changes and feeds
+
+FEEDS = (X.EVT, X.FEED)
+LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY sequence DESC) AS k FROM feed) WHERE k = 1)"
+
+
+@query("SELECT folder, name, sequence, deleted, h FROM latest", *FEEDS, LATEST)
+def upsert_latest(spark, sf_dir):
+    f = X.feed(spark, sf_dir)
+    out = idx.upsert(idx.latest(f.where("sequence % 2 = 0")), f)
+    return out.select("folder", "name", "sequence", "deleted", _hex("content_hash").alias("h"))
+
+
+@query(
+    """SELECT folder, name, high + row_number() OVER (PARTITION BY folder ORDER BY old) AS sequence FROM (
+ SELECT folder, name, sequence AS old, 1000 + length(folder) AS high FROM feed WHERE deleted)""",
+    *FEEDS,
+)
+def assign_sequence(spark, sf_dir):
+    rows = X.feed(spark, sf_dir).where("deleted").select("folder", "name", F.col("sequence").alias("old"))
+    marks = X.feed(spark, sf_dir).select("folder").distinct().withColumn("high", F.lit(1000) + F.length("folder"))
+    return idx.assign_sequence(rows, marks, ["old"]).select("folder", "name", F.col("sequence").cast("long").alias("sequence"))
+
+
+@query("SELECT folder, max(sequence) AS high FROM feed GROUP BY folder", *FEEDS)
+def high_water(spark, sf_dir):
+    return idx.high_water(X.feed(spark, sf_dir))
+
+
+MIDDLE = "(SELECT min(modified_s) + (max(modified_s) - min(modified_s)) // 2 FROM evt)"
+
+
+@query("SELECT folder, name, deleted FROM latest WHERE NOT (deleted AND modified_s < 1704067200 + 15 * 86400)", *FEEDS, LATEST)
+def prune_tombstones(spark, sf_dir):
+    return idx.prune(idx.latest(X.feed(spark, sf_dir)), 1704067200 + 30 * 86400, 15).select("folder", "name", "deleted")
+
+
+@query(
+    """SELECT l.folder, CASE WHEN l.deleted THEN 'deleted' WHEN l.sequence = f.first THEN 'added' ELSE 'updated' END AS verb, l.name
+ FROM (SELECT folder, max(sequence) AS sequence FROM feed WHERE NOT invalid GROUP BY folder) m JOIN feed l USING (folder, sequence)
+ JOIN (SELECT folder, name, min(sequence) AS first FROM feed GROUP BY folder, name) f ON f.folder = l.folder AND f.name = l.name""",
+    *FEEDS,
+)
+def latest_change(spark, sf_dir):
+    return idx.latest_change(X.feed(spark, sf_dir))
+
+
+def _cursors(spark, sf_dir):
+    folders = X.feed(spark, sf_dir).groupBy("folder").agg(F.max("sequence").alias("snapshot"))
+    peers = folders.withColumn("peer", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
+    cursor = F.when(F.col("peer") == "a", 0).when(F.col("peer") == "b", F.floor(F.col("snapshot") / 2)).otherwise(F.col("snapshot") - 10)
+    return peers.select("peer", "folder", cursor.cast("long").alias("cursor"), "snapshot")
+
+
+CURSORS = """cursors AS (SELECT peer, folder, CASE peer WHEN 'a' THEN 0 WHEN 'b' THEN snapshot // 2 ELSE snapshot - 10 END AS cursor, snapshot
+ FROM (SELECT folder, max(sequence) AS snapshot FROM feed GROUP BY folder), (VALUES ('a'), ('b'), ('c')) p(peer))"""
+
+
+@query(
+    """SELECT c.peer, c.cursor = 0 AS is_full, l.folder, l.name, l.sequence FROM latest l JOIN cursors c USING (folder) WHERE l.sequence > c.cursor AND l.sequence <= c.snapshot""",
+    *FEEDS, LATEST, CURSORS,
+)
+def announce_since_cursor(spark, sf_dir):
+    return feeds.since(idx.latest(X.feed(spark, sf_dir)), _cursors(spark, sf_dir)).select("peer", "is_full", "folder", "name", "sequence")
+
+
+@query("SELECT folder, name, sequence FROM latest WHERE dev <> 1 AND (deleted OR invalid OR has_blocks)", *FEEDS, LATEST)
+def announce_receive_only(spark, sf_dir):
+    return idx.latest(X.feed(spark, sf_dir)).where(feeds.announceable(X.DEVICE, RECEIVE_ONLY)).select("folder", "name", "sequence")
+
+
+@query("SELECT folder, sequence, (row_number() OVER (PARTITION BY folder ORDER BY sequence) - 1) // 256 AS batch FROM feed", *FEEDS)
+def announce_batches(spark, sf_dir):
+    return feeds.batches(X.feed(spark, sf_dir).select("folder", "sequence"), ["folder"], ["sequence"])
+
+
+@query("SELECT peer, folder, CASE WHEN folder = 'f1' THEN cursor ELSE snapshot END AS cursor, snapshot FROM cursors", *FEEDS, CURSORS)
+def advance_cursors(spark, sf_dir):
+    pruned = X.feed(spark, sf_dir).where("folder = 'f1'").select("folder")
+    return feeds.next_cursor(_cursors(spark, sf_dir), pruned).select("peer", "folder", "cursor", "snapshot")
+
+
+@query("SELECT peer, folder, CASE WHEN folder = 'f2' OR peer = 'b' THEN 0 ELSE cursor END AS cursor FROM cursors", *FEEDS, CURSORS)
+def reset_cursors(spark, sf_dir):
+    c = _cursors(spark, sf_dir)
+    now = c.select("peer", "folder", F.when(F.col("peer") == "b", 2).otherwise(1).alias("gen"))
+    before = c.where("folder <> 'f2'").select("peer", "folder", F.lit(1).alias("gen"))
+    return feeds.reset_cursors(c, before, now).select("peer", "folder", "cursor")
+
+
+# --- ignore rules and names
+
+RULES = "// rules\n!*/en/*0\n*.html\nwww.*/de\n(?i)BLOG.[t-w]*/**/es\n/m.*/fr/?[!0-4]*\n"
+
+
+@query(
+    r"""SELECT page_id, name, CASE WHEN regexp_matches(p, '^(?:[^/]*/en/[^/]*0)(?:/[\s\S]*)?$') THEN 1 WHEN regexp_matches(p, '(?:^|/)(?:[^/]*\.html)(?:/|$)') THEN 2
+ WHEN regexp_matches(p, '^(?:www\.[^/]*/de)(?:/[\s\S]*)?$') THEN 3 WHEN regexp_matches(p, '^(?:blog\.[t-w][^/]*/[\s\S]*es)(?:/[\s\S]*)?$') THEN 4
+ WHEN regexp_matches(p, '^(?:m\.[^/]*/fr/[^/][^0-4/][^/]*)(?:/[\s\S]*)?$') THEN 5 END AS rule FROM (SELECT *, lower(name) AS p FROM page_paths)""",
+    X.PAGE_PATHS,
+)
+def ignore_first_match(spark, sf_dir):
+    rules = globs.parse_rules(RULES).rules
+    return X.page_paths(spark, sf_dir).select("page_id", "name", globs.first_match(F.col("name"), rules).alias("rule"))
+
+
+@query(
+    r"""SELECT page_id, name FROM (SELECT *, lower(name) AS p FROM page_paths) WHERE regexp_matches(p, '^(?:[^/]*/en/[^/]*0)(?:/[\s\S]*)?$') OR NOT (
+ regexp_matches(p, '(?:^|/)(?:[^/]*\.html)(?:/|$)') OR regexp_matches(p, '^(?:www\.[^/]*/de)(?:/[\s\S]*)?$')
+ OR regexp_matches(p, '^(?:blog\.[t-w][^/]*/[\s\S]*es)(?:/[\s\S]*)?$') OR regexp_matches(p, '^(?:m\.[^/]*/fr/[^/][^0-4/][^/]*)(?:/[\s\S]*)?$'))""",
+    X.PAGE_PATHS,
+)
+def ignore_filter(spark, sf_dir):
+    return X.page_paths(spark, sf_dir).where(~globs.ignored(F.col("name"), globs.parse_rules(RULES).rules)).select("page_id", "name")
+
+
+@query("SELECT sha256('a*' || chr(0) || '00' || chr(10) || 'b/c' || chr(0) || '11' || chr(10) || '2') AS fingerprint, count(*) AS n FROM pages")
+def ignore_fingerprint(spark, sf_dir):
+    f = globs.fingerprint(globs.parse_rules("# x\na*\n// y\n!/b/c\n").rules)
+    return X.table(spark, sf_dir, "pages").agg(F.lit(f).alias("fingerprint"), F.count("*").alias("n"))
+
+
+@query(
+    """SELECT page_id, NOT (name = '' OR regexp_matches(name, '[:\\\\]') OR regexp_matches('/' || name || '/', '//|/\\.{1,2}/')) AS safe FROM (
+ SELECT page_id, CASE page_id % 5 WHEN 0 THEN name || '/../x' WHEN 1 THEN replace(name, '/', '\\') WHEN 2 THEN '/' || name WHEN 3 THEN name ELSE rtrim(name, '/') END AS name FROM page_paths)""",
+    X.PAGE_PATHS,
+)
+def name_safety(spark, sf_dir):
+    k, name = F.col("page_id") % 5, F.col("name")
+    odd = F.when(k == 0, F.concat(name, F.lit("/../x"))).when(k == 1, F.translate(name, "/", "\\")).when(k == 2, F.concat(F.lit("/"), name)).when(k == 3, name).otherwise(F.rtrim(name, F.lit("/")))
+    return X.page_paths(spark, sf_dir).select("page_id", paths.name_safe(odd).alias("safe"))
+
+
+@query("SELECT conv_id, turn, NOT regexp_matches(text, '[\\x00-\\x1f\\x7f\"]') AS safe FROM conversations")
+def text_safety(spark, sf_dir):
+    return X.table(spark, sf_dir, "conversations").select("conv_id", "turn", paths.text_safe(F.col("text")).alias("safe"))
+
+
+@query("SELECT doc_id, true AS valid, CASE WHEN regexp_matches(source, '[^\\x00-\\x{ff}]') THEN 'wide' ELSE 'latin' END AS kind FROM documents")
+def utf8_names(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents")
+    there = paths.from_local(paths.to_local(F.col("source"))) == F.col("source")
+    return d.select("doc_id", (paths.utf8_valid(F.col("text").cast("binary")) & there).alias("valid"), F.when(F.col("source").rlike("[^\\x00-\\xff]"), "wide").otherwise("latin").alias("kind"))
+
+
+@query(
+    """SELECT page_id, length(name) - length(replace(name, '/', '')) AS depth, regexp_extract(name, '([^/]*)$', 1) AS base,
+ regexp_extract(regexp_extract(name, '([^/]*)$', 1), '(\\.[^.]*)$', 1) AS extension FROM page_paths""",
+    X.PAGE_PATHS,
+)
+def path_depth(spark, sf_dir):
+    name = F.col("name")
+    return X.page_paths(spark, sf_dir).select("page_id", paths.depth(name).cast("long").alias("depth"), paths.basename(name).alias("base"), paths.split_extension(name)["extension"].alias("extension"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN port BETWEEN 1 AND 65535 THEN host END AS host, CASE WHEN port BETWEEN 1 AND 65535 THEN port END AS port FROM (
+ SELECT page_id, split_part(name, '/', 1) AS host, (page_id * 37 % 90000)::INT AS port FROM page_paths)""",
+    X.PAGE_PATHS,
+)
+def host_addresses(spark, sf_dir):
+    p = X.page_paths(spark, sf_dir)
+    url = F.concat(F.lit("tcp://"), F.substring_index("name", "/", 1), F.lit(":"), (F.col("page_id") * 37 % 90000).cast("string"))
+    return p.select("page_id", paths.host_address(url).alias("a")).select("page_id", "a.host", "a.port")
+
+
+# --- renames and deletions
+
+WANTS = "wants AS (SELECT folder, name, size, h FROM doc_files WHERE doc_id % 6 = 1)"
+DELETES = "deletes AS (SELECT folder, name, size, h, doc_id FROM doc_files WHERE doc_id % 4 = 0)"
+
+
+def _wants(spark, sf_dir, rest: int = 6, of: int = 1):
+    f = X.doc_files(spark, sf_dir).where(F.col("doc_id") % rest == of)
+    return f.select("folder", "name", "size", hashing.sha256(F.col("content")).alias("content_hash"), "doc_id")
+
+
+@query(
+    """SELECT folder, name, source FROM (SELECT w.folder, w.name, i.name AS source, row_number() OVER (PARTITION BY w.folder, w.name ORDER BY i.sequence, i.name) AS k
+ FROM wants w JOIN index0 i ON i.folder = w.folder AND i.size = w.size AND i.h = w.h AND i.name <> w.name WHERE i.type = 0 AND NOT i.deleted AND NOT i.invalid) WHERE k = 1""",
+    X.DOC_FILES, X.INDEX0, WANTS,
+)
+def rename_sources(spark, sf_dir):
+    return rename.local_sources(_wants(spark, sf_dir), X.index0(spark, sf_dir))
+
+
+@query("SELECT folder, name FROM deletes d SEMI JOIN wants w ON w.size = d.size AND w.h = d.h", X.DOC_FILES, WANTS, DELETES)
+def held_deletes(spark, sf_dir):
+    return rename.held_deletes(_wants(spark, sf_dir, 4, 0), _wants(spark, sf_dir)).select("folder", "name")
+
+
+@query("SELECT folder, name FROM deletes d ANTI JOIN wants w ON w.size = d.size AND w.h = d.h", X.DOC_FILES, WANTS, DELETES)
+def applied_deletes(spark, sf_dir):
+    return rename.applied_deletes(_wants(spark, sf_dir, 4, 0), _wants(spark, sf_dir)).select("folder", "name")
+
+
+@query(
+    "SELECT folder, name FROM wants w SEMI JOIN (SELECT * FROM index0 WHERE NOT deleted) i ON i.folder = w.folder AND i.name = w.name AND i.size = w.size AND i.h = w.h",
+    X.DOC_FILES, X.INDEX0, WANTS,
+)
+def already_have(spark, sf_dir):
+    return rename.already_have(_wants(spark, sf_dir), X.index0(spark, sf_dir)).select("folder", "name")
+
+
+@query(
+    """SELECT folder, name, CASE WHEN type = 0 THEN 0 ELSE 1 END AS is_dir, length(name) - length(replace(name, '/', '')) AS depth,
+ row_number() OVER (PARTITION BY folder ORDER BY type <> 0, length(name) - length(replace(name, '/', '')) DESC, name) AS place FROM index0""",
+    X.DOC_FILES, X.INDEX0,
+)
+def delete_order(spark, sf_dir):
+    rows = rename.delete_order(X.index0(spark, sf_dir)).select("folder", "name", "is_dir", F.col("depth").cast("long").alias("depth"), F.negative("depth").alias("up"))
+    marks = rows.select("folder").distinct().withColumn("high", F.lit(0).cast("long"))
+    out = idx.assign_sequence(rows, marks, ["is_dir", "up", "name"])
+    return out.select("folder", "name", "is_dir", "depth", F.col("sequence").cast("long").alias("place"))
+
+
+@query("SELECT folder, name, min_by(session, push_no) AS session FROM (SELECT folder, name, dev AS session, sequence AS push_no FROM feed) GROUP BY folder, name".replace("min_by", "arg_min"), *FEEDS)
+def claims(spark, sf_dir):
+    f = X.feed(spark, sf_dir).select("folder", "name", F.map_keys("version")[0].cast("long").alias("session"), F.col("sequence").alias("push_no"))
+    return rename.claims(f)
+
+
+@query(
+    """SELECT session, push_no, stalled FROM (SELECT dev AS session, sequence AS push_no, sequence % 5 >= 3 AS stalled, row_number() OVER (PARTITION BY dev ORDER BY sequence) AS k FROM feed) WHERE k <= 256""",
+    *FEEDS,
+)
+def want_queue(spark, sf_dir):
+    w = X.feed(spark, sf_dir).select(F.map_keys("version")[0].cast("long").alias("session"), F.col("sequence").alias("push_no"), (F.col("sequence") % 5).alias("attempts"))
+    return rename.want_queue(w, most=256).select("session", "push_no", "stalled")
+
+
+# --- status and registries
+
+
+@query(
+    """SELECT folder, count(*) FILTER (WHERE NOT deleted AND type <> 1) AS files, count(*) FILTER (WHERE NOT deleted AND type = 1) AS dirs,
+ sum(CASE WHEN NOT deleted AND type <> 1 AND size > 0 THEN size ELSE 0 END)::BIGINT AS bytes FROM index0 GROUP BY folder""",
+    X.DOC_FILES, X.INDEX0,
+)
+def folder_totals(spark, sf_dir):
+    return status.folder_totals(X.index0(spark, sf_dir))
+
+
+BACKLOG = """per_peer AS (SELECT peer, folder, count(*) FILTER (WHERE kind IN ('queued', 'active', 'stalled', 'parked')) AS pending,
+ count(*) FILTER (WHERE kind = 'kept') AS kept, count(*) FILTER (WHERE kind = 'reverted') AS reverted FROM peer_sessions GROUP BY peer, folder),
+ backlog AS (SELECT folder, max(pending) AS pending, max(kept) AS kept, sum(reverted)::BIGINT AS reverted FROM per_peer GROUP BY folder)"""
+
+
+@query("SELECT folder, pending, kept, reverted FROM backlog", X.PEER_SESSIONS, BACKLOG)
+def backlog(spark, sf_dir):
+    return status.backlog(X.peer_sessions(spark, sf_dir))
+
+
+@query("SELECT peer, folder, pending FROM per_peer WHERE pending > 0", X.PEER_SESSIONS, BACKLOG)
+def session_backlog(spark, sf_dir):
+    return status.session_backlog(X.peer_sessions(spark, sf_dir))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN pending > 0 THEN 'Syncing (' || pending || ' file' || CASE WHEN pending = 1 THEN ')' ELSE 's)' END WHEN NOT scanned THEN 'Scanning'
+ WHEN reverted > 0 THEN 'Replaced (' || reverted || ')' WHEN kept > 0 THEN 'Kept (' || kept || ')' ELSE 'Up to Date' END AS label,
+ CASE WHEN c_custkey % 11 = 0 THEN 'No peers configured' WHEN c_custkey % 7 = 0 THEN 'Offline' WHEN pending > 0 THEN 'Syncing (' || pending || ' file' || CASE WHEN pending = 1 THEN ')' ELSE 's)' END
+ WHEN NOT scanned THEN 'Syncing' WHEN reverted > 0 THEN 'Up to Date (' || reverted || ' local edit' || CASE WHEN reverted = 1 THEN '' ELSE 's' END || ' replaced)'
+ WHEN kept > 0 THEN 'Up to Date (' || kept || ' kept)' ELSE 'Up to Date' END AS overall
+ FROM (SELECT c_custkey, greatest(0, c_custkey % 6 - 3) AS pending, c_custkey % 5 <> 0 AS scanned, greatest(0, c_custkey % 8 - 5) AS reverted, c_custkey % 2 AS kept FROM customer)"""
+)
+def status_label(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = X.table(spark, sf_dir, "customer").select("c_custkey", F.greatest(F.lit(0).cast("long"), k % 6 - 3).alias("pending"), (k % 5 != 0).alias("scanned"), F.greatest(F.lit(0).cast("long"), k % 8 - 5).alias("reverted"), (k % 2).alias("kept"))
+    c = F.col
+    own = status.folder_label(c("pending"), c("scanned"), c("reverted"), c("kept"))
+    return rows.select("c_custkey", own.alias("label"), status.global_label(k % 11, k % 7, c("pending"), F.when(c("scanned"), 0).otherwise(1), c("reverted"), c("kept")).alias("overall"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1 << 20 THEN (b >> 10) || '.' || ((b & 1023) * 10 // 1024) || ' KB'
+ WHEN b >> 10 < 1 << 20 THEN (b >> 20) || '.' || (((b >> 10) & 1023) * 10 // 1024) || ' MB' WHEN b >> 20 < 1 << 20 THEN (b >> 30) || '.' || (((b >> 20) & 1023) * 10 // 1024) || ' GB'
+ ELSE (b >> 40) || '.' || (((b >> 30) & 1023) * 10 // 1024) || ' TB' END AS size_text FROM (
+ SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 100 WHEN 2 THEN 10000 WHEN 3 THEN 10000000 ELSE 0 END + o_orderkey % 1000 AS b FROM orders)"""
+)
+def fmt_size(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    factor = F.when(k == 0, 1).when(k == 1, 100).when(k == 2, 10000).when(k == 3, 10000000).otherwise(0).cast("long")
+    b = F.round(F.col("o_totalprice") * 100).cast("long") * factor + F.col("o_orderkey") % 1000
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", text.format_size(b).alias("size_text"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h ' || (m % 60) || 'm' ELSE (m // 1440) || 'd ' || (m % 1440 // 60) || 'h' END AS duration
+ FROM (SELECT o_orderkey, o_custkey * (o_orderkey % 7) AS m FROM orders)"""
+)
+def fmt_duration(spark, sf_dir):
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", text.format_duration(F.col("o_custkey") * (F.col("o_orderkey") % 7)).alias("duration"))
+
+
+@query(
+    f"""SELECT event_id, greatest(0, {X.NOW} // 60 - modified_s // 60) AS mins, CASE WHEN {X.NOW} < modified_s THEN 'early' WHEN {X.NOW} > modified_s + 630720000 THEN 'late' ELSE 'ok' END AS clock,
+ greatest(modified_s - 1500000000, 252460800 - 3600) AS on_disk FROM evt""",
+    X.EVT,
+)
+def times(spark, sf_dir):
+    s = F.col("modified_s")
+    return X.evt(spark, sf_dir).select(
+        "event_id", text.minutes_since(s, F.lit(X.NOW)).alias("mins"), text.clock_state(F.lit(X.NOW), s).alias("clock"), text.disk_time(s - 1500000000, F.lit(3600)).alias("on_disk")
+    )
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN mode & 256 = 0 THEN 8 ELSE 0 END + CASE WHEN mode & 128 = 0 THEN 5 ELSE 0 END + CASE WHEN mode & 64 = 0 THEN 2 ELSE 0 END AS bits
+ FROM (SELECT p_partkey, (p_partkey * 7 % 512)::INT AS mode FROM part)"""
+)
+def protection_bits(spark, sf_dir):
+    return X.table(spark, sf_dir, "part").select("p_partkey", text.protection_bits((F.col("p_partkey") * 7 % 512).cast("int")).alias("bits"))
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN h < 14 OR h = 14 AND m = 0 THEN CASE WHEN m <= 59 THEN (h * 3600 + m * 60) * CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE 1 END END END AS seconds
+ FROM (SELECT s_suppkey, (s_suppkey % 17)::INT AS h, (s_suppkey * 13 % 70)::INT AS m FROM supplier)"""
+)
+def tz_offsets(spark, sf_dir):
+    k = F.col("s_suppkey")
+    t = F.concat(F.when(k % 2 == 0, "-").otherwise("+"), (k % 17).cast("string"), F.lit(":"), F.lpad((k * 13 % 70).cast("string"), 2, "0"))
+    return X.table(spark, sf_dir, "supplier").select("s_suppkey", text.tz_offset(t).alias("seconds"))
+
+
+@query(
+    """SELECT n_name AS folder, n_regionkey AS device FROM nation WHERE n_regionkey NOT IN (1, 2) UNION ALL
+ SELECT n_name || '+' AS folder, n_regionkey AS device FROM nation WHERE n_regionkey = 2"""
+)
+def offered_refresh(spark, sf_dir):
+    old = X.table(spark, sf_dir, "nation").select(F.col("n_name").alias("folder"), F.col("n_regionkey").alias("device"))
+    new = old.where("device = 2").withColumn("folder", F.concat("folder", F.lit("+")))
+    return registry.offered_refresh(old, "device", old.where("device IN (1, 2)").select("device"), new)
+
+
+@query("SELECT n_name AS folder, n_nationkey % 2 = 0 AS shared FROM nation")
+def matched_folders(spark, sf_dir):
+    n = X.table(spark, sf_dir, "nation").select(F.col("n_name").alias("folder"), "n_nationkey")
+    return registry.matched(n.select("folder"), n.where("n_nationkey % 2 = 0"))
+
+
+@query("SELECT source, arg_min(name, doc_id) AS name, min(doc_id) AS doc_id FROM doc_files GROUP BY source", X.DOC_FILES)
+def dedup_first_wins(spark, sf_dir):
+    return registry.first_wins(X.doc_files(spark, sf_dir).select("source", "name", "doc_id"), ["source"], "doc_id")
+
+
+@query(
+    """SELECT user_id AS device, min(ts_us) AS first_at, arg_max('h' || event_id, event_id) AS host FROM (SELECT *, epoch_us(ts) AS ts_us FROM events)
+ GROUP BY user_id ORDER BY min(event_id) DESC, user_id LIMIT 16""".replace("min(ts_us)", "min(event_id)")
+)
+def recent_sightings(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("host"), F.lit(1).alias("port"), F.col("event_id").alias("at"))
+    return registry.recent_sightings(e).select("device", "first_at", "host")
+
+
+OVERLAPS = """folders AS (SELECT page_id AS folder, lower(rtrim(CASE WHEN page_id % 3 = 0 THEN split_part(name, '/', 1) WHEN page_id % 3 = 1 THEN split_part(name, '/', 1) || '/' || split_part(name, '/', 2) ELSE name END, '/')) AS p FROM page_paths)"""
+
+
+@query(
+    'SELECT a.folder AS "inner", b.folder AS "outer" FROM folders a JOIN folders b ON a.folder <> b.folder AND (a.p = b.p OR starts_with(a.p, b.p || \'/\'))',
+    X.PAGE_PATHS, OVERLAPS,
+)
+def path_overlap(spark, sf_dir):
+    k, name = F.col("page_id") % 3, F.col("name")
+    path = F.when(k == 0, F.substring_index(name, "/", 1)).when(k == 1, F.substring_index(name, "/", 2)).otherwise(name)
+    return registry.overlapping(X.page_paths(spark, sf_dir).select(F.col("page_id").alias("folder"), path.alias("path")))
+
+
+@query(
+    """SELECT folder, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 2000000 AS ended, count(*) AS n FROM (
+ SELECT folder, ts, sum(gap) OVER (PARTITION BY folder ORDER BY ts, event_id) AS k FROM (
+ SELECT user_id % 3 AS folder, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) < INTERVAL 2 SECOND THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY folder, k"""
+)
+def change_bursts(spark, sf_dir):
+    # Session windows want instants: the zone-free times are read as the session's, and read back the same way.
+    e = X.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("folder"), F.col("ts").cast("timestamp").alias("ts"))
+    b = change_feed.bursts(e)
+    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
+    return b.select("folder", micros("started").alias("started"), micros("ended").alias("ended"), "n")
+
+
+@query(
+    """SELECT folder, name, attempts, CASE WHEN done THEN 'done' WHEN attempts >= 3 THEN 'stalled' ELSE 'waiting' END AS state FROM (
+ SELECT folder, name, count(*) FILTER (WHERE deleted) AS attempts, bool_or(invalid AND NOT deleted) AS done FROM feed GROUP BY folder, name)""",
+    *FEEDS,
+)
+def want_states(spark, sf_dir):
+    event = F.when(F.col("deleted"), "failed").when(F.col("invalid"), "done").otherwise("pushed")
+    return change_feed.want_states(X.feed(spark, sf_dir).select("folder", "name", event.alias("event")))
+
+
+# --- codecs: beyond SQL
+
+
+@query()
+def device_ids(spark, sf_dir):
+    """Ids of the documents' hashes, and back."""
+    rows = X.doc_files(spark, sf_dir).select("doc_id", hashing.sha256(F.col("content")).alias("raw")).withColumn("device", device_id.device_id(F.col("raw")))
+    same = device_id.raw_of(F.lower(F.translate("device", "-", ""))) == F.col("raw")
+    return rows.select("doc_id", "device", same.alias("same"))
+
+
+@query("SELECT folder, count(*) AS n, max(sequence) AS high, count(h) AS hashed FROM index0 GROUP BY folder", X.DOC_FILES, X.INDEX0)
+def index_codec(spark, sf_dir):
+    """The stored index encoded and decoded again."""
+    back = codec.decode_indexes(codec.encode_indexes(X.index0(spark, sf_dir), 7), 7)
+    return back.groupBy("folder").agg(F.count("*").alias("n"), F.max("sequence").alias("high"), F.count("content_hash").alias("hashed"))
