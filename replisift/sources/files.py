@@ -13,7 +13,8 @@ from ..schema import INDEX, conform
 def listing(spark: SparkSession, path: str, folder: str, contents: bool = False) -> DataFrame:
     """(folder, name, size, modified_s, is_dir[, content]) of all files below a path and of their directories.
 
-    Without ``contents`` only the files' metadata are read.
+    Without ``contents`` only the files' metadata are read.  Spark's reader
+    leaves out files of no bytes; where these matter, supply a listing table.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = F.lit(path.rstrip("/").removeprefix("file:") + "/")
@@ -52,7 +53,7 @@ def load_index(spark: SparkSession, path: str, version: int, short_id: str) -> D
     except Exception:  # noqa: BLE001 - whatever is wrong with it, it can't be used
         return None
     whole = all(m.get("short_id") == short_id and m.get("format") == 2 and found.get(m["folder"]) == m["n"] for m in marks)
-    return rows if whole and len(marks) == len(found) else None
+    return rows.select(*INDEX.names) if whole and len(marks) == len(found) else None
 
 
 def state_name(folder: str) -> str:
