@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, media, ngram_join, packing, quality, secrets, token_counts, toxicity
+from . import bpe, chat, html_extract, media, ngram_join, oracle, packing, quality, secrets, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scans": oracle.SECRETS, "op4_quality_rules": oracle.QUALITY, "op7_ngram_join": oracle.NGRAM_JOIN, "op8_chat_formatting": oracle.CHAT}
