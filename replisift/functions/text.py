@@ -74,7 +74,8 @@ def mode_text(mode: Column) -> Column:
 
 def conflict_name(name: Column, now_s: Column, tag: Column, compact: bool = False, cap: int = 256) -> Column:
     """The name of a conflict copy: a suffix before the extension of the last component; null if it takes ``cap`` bytes or more."""
-    time = F.timestamp_seconds(now_s)
+    # A time without zone: the session's time zone doesn't matter.
+    time = F.timestamp_add("SECOND", now_s.cast("long"), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
     utc = lambda pattern: F.date_format(time, pattern)
     suffix = F.concat(F.lit(".cnfl-"), utc("HHmmss")) if compact else F.concat(F.lit(".sync-conflict-"), utc("yyyyMMdd-HHmmss"), F.lit("-"), F.substring(tag, 1, 7))
     parts = split_extension(name)
