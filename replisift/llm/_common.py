@@ -25,6 +25,21 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What a Python worker remembers between tasks for one operator.
+
+    A worker that turns to another operator forgets the one before, so it never
+    holds the memories of several.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = {}
+    return _HELD[owner]
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

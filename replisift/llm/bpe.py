@@ -24,7 +24,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import map_texts
+from ._common import held, map_texts
 from .token_counts import load_ranks
 
 #: Characters of a leaf, ids of a leaf in decoding, and of the first window on each side.
@@ -96,15 +96,12 @@ class ByteBpe:
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
-
-
 def coder(ranks_path: str, pattern: str) -> ByteBpe:
     """The worker's coder for a rank file and pattern."""
-    key = (ranks_path, pattern)
-    if key not in _LOADED:
-        _LOADED[key] = ByteBpe(ranks_path, pattern)
-    return _LOADED[key]
+    loaded, key = held("bpe"), (ranks_path, pattern)
+    if key not in loaded:
+        loaded[key] = ByteBpe(ranks_path, pattern)
+    return loaded[key]
 
 
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

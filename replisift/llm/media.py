@@ -17,7 +17,7 @@ import zlib
 
 from pyspark.sql import DataFrame
 
-from ._common import map_texts
+from ._common import held, map_texts
 
 #: Magic bytes, format and the place of the magic within the format.
 MAGIC = [
@@ -210,14 +210,12 @@ def _padded(data: bytes) -> bytes:
     return data + bytes(ROW * max(1, -(-len(data) // ROW)) - len(data))
 
 
-_SNIFFER: list[Sniffer] = []
-
-
 def sniffer() -> Sniffer:
     """The worker's sniffer."""
-    if not _SNIFFER:
-        _SNIFFER.append(Sniffer())
-    return _SNIFFER[0]
+    loaded = held("media")
+    if "sniffer" not in loaded:
+        loaded["sniffer"] = Sniffer()
+    return loaded["sniffer"]
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh_name, ship, text_bytes, written
+from ._common import fresh_name, held, ship, text_bytes, written
 
 #: s as a share of k + 1, the ratio of a band's ends, and the members of a block.
 SPARE, BAND_RATIO, BLOCK = 0.4, 1.5, 512
@@ -145,6 +145,7 @@ def digest(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("ngram_join")
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

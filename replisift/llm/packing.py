@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_texts
+from ._common import held, map_texts
 
 #: Words (delimited by white space) and pieces of words whose ids a worker
 #: remembers in each of two generations, and their longest size.
-CACHE_SIZE, CACHED_BYTES = 800_000, 64
+WORDS_HELD, PIECES_HELD, CACHED_BYTES = 600_000, 400_000, 64
 
 #: Fixed value: how the tokenizer's file splits normalised text, each match apart.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,7 +43,8 @@ BYTE_CHARS = _byte_chars()
 class Generations:
     """A bounded memory of two dictionaries: when the young one is full it becomes the old one, and what is asked for again moves back."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
@@ -56,7 +57,7 @@ class Generations:
         return got
 
     def put(self, key, value) -> None:
-        if len(self.young) >= CACHE_SIZE:
+        if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
@@ -84,7 +85,7 @@ class WordIds:
         self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.pieces = Generations(), Generations()
+        self.words, self.pieces = Generations(WORDS_HELD), Generations(PIECES_HELD)
         self.split = regex.compile(PIECE).findall
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -140,14 +141,12 @@ class WordIds:
         return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def word_ids(tokenizer_path: str) -> WordIds:
     """The worker's tokenizer for a file."""
-    if tokenizer_path not in _LOADED:
-        _LOADED[tokenizer_path] = WordIds(tokenizer_path)
-    return _LOADED[tokenizer_path]
+    loaded = held("packing")
+    if tokenizer_path not in loaded:
+        loaded[tokenizer_path] = WordIds(tokenizer_path)
+    return loaded[tokenizer_path]
 
 
 def decompose(n: int, longest: int) -> list[int]:

@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_name, map_texts
+from ._common import fresh_name, held, map_texts, ship
 
 MEASURES = [
     ("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"),
@@ -114,8 +114,6 @@ def ablations(ledger: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 def keep_quality(df: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with its columns, whose text passes ``policy``.  Edge cases as in :func:`quality_ledger`."""
-    from ._common import ship
-
     ship(df.sparkSession)
     name = fresh_name(df, "measured")
     fields = ", ".join(f"{n} {t}" for n, t in MEASURES)
@@ -124,6 +122,7 @@ def keep_quality(df: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "t
     def measured(texts):
         import pandas as pd
 
+        held("quality")
         return pd.DataFrame([measure(x) for x in texts], columns=[n for n, _ in MEASURES])
 
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"").cast("binary"))

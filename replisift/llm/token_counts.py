@@ -13,7 +13,7 @@ from collections import deque
 
 from pyspark.sql import DataFrame
 
-from ._common import map_texts
+from ._common import held, map_texts
 
 #: Pieces of text whose counts a worker remembers.
 CACHE_SIZE = 300_000
@@ -97,14 +97,12 @@ class _Counts(dict):
         return n
 
 
-_LOADED: dict[str, _Counts] = {}
-
-
 def counter(vocab_path: str) -> _Counts:
     """The worker's counts for a vocabulary file."""
-    if vocab_path not in _LOADED:
-        _LOADED[vocab_path] = _Counts(LongestMatch(load_ranks(vocab_path)))
-    return _LOADED[vocab_path]
+    loaded = held("token_counts")
+    if vocab_path not in loaded:
+        loaded[vocab_path] = _Counts(LongestMatch(load_ranks(vocab_path)))
+    return loaded[vocab_path]
 
 
 def token_counts(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,11 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_name, map_texts, ship
+from ._common import fresh_name, held, map_texts, ship
 
 SAMPLE, SAMPLE_CHARS, FEATURES = 4000, 20_000, 6000
 PREFIXES = (4, 5, 6)
-CACHE_SIZE = 500_000
+CACHE_SIZE = 300_000
 THRESHOLD = 0.3
 
 # Identity terms, a kind a line.
@@ -209,7 +209,10 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def score(texts):
         import pandas as pd
 
-        one = sent.value.scorer()
+        loaded = held("toxicity")
+        if "score" not in loaded or loaded["model"] != sent.value:
+            loaded["model"], loaded["score"] = sent.value, sent.value.scorer()
+        one = loaded["score"]
         return pd.Series([one(x) for x in texts], dtype="float64")
 
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"").cast("binary"))

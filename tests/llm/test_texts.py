@@ -60,7 +60,8 @@ def test_packing(spark):
 
 
 def test_word_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_SIZE", 5)
+    monkeypatch.setattr(packing, "WORDS_HELD", 5)
+    monkeypatch.setattr(packing, "PIECES_HELD", 5)
     ids, t = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
     t.encode_special_tokens = True
     for text in ("a b c d", "c d e f g h i", "a b", "x y z a", LONG):
