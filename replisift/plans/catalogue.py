@@ -12,7 +12,8 @@ from ..operators import classify as C
 from ..operators import feed as feeds
 from ..operators import index as idx
 from ..operators import registry, rename, scan, status
-from ..schema import RECEIVE_ONLY, SEND_ONLY, VERSION
+from ..schema import INDEX, RECEIVE_ONLY, SEND_ONLY, VERSION
+from ..session import scratch_dir
 from ..sources import codec, device_id
 from ..streaming import change_feed
 from . import fixtures as X
@@ -684,6 +685,89 @@ def want_states(spark, sf_dir):
     return change_feed.want_states(X.feed(spark, sf_dir).select("folder", "name", event.alias("event")))
 
 
+@query(
+    """SELECT sum(o_orderkey * 3 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 7 END)::BIGINT AS bytes_in, sum(o_custkey)::BIGINT AS bytes_out FROM orders"""
+)
+def transfer_totals(spark, sf_dir):
+    k = F.col("o_orderkey")
+    peers = X.table(spark, sf_dir, "orders").select(
+        (k * 3).alias("folded_in"), F.when(k % 2 == 1, 7).alias("live_in"), F.lit(None).cast("long").alias("inbound_in"),
+        F.lit(0).alias("folded_out"), F.col("o_custkey").alias("live_out"), F.lit(0).alias("inbound_out"),
+    )
+    return status.transfer_totals(peers)
+
+
+@query(
+    """SELECT DISTINCT user_id AS device, user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) AS configured FROM events"""
+)
+def discovered_peers(spark, sf_dir):
+    seen = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("device")).distinct()
+    peers = X.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("device"))
+    found, new = status.found_peers(seen, peers, True), status.found_peers(seen, peers, False)
+    return found.withColumn("configured", F.lit(True)).unionByName(new.withColumn("configured", F.lit(False)))
+
+
+@query("SELECT c_name AS folder FROM customer WHERE c_custkey % 4 <> 0 EXCEPT SELECT c_name FROM customer WHERE c_custkey % 6 = 1")
+def offered_folders(spark, sf_dir):
+    c = X.table(spark, sf_dir, "customer").select(F.col("c_name").alias("folder"), "c_custkey")
+    return registry.offered(c.where("c_custkey % 4 <> 0").select("folder"), c.where("c_custkey % 6 = 1"))
+
+
+@query(
+    """SELECT grp, folder, label, row_number() OVER (ORDER BY grp, lower(label), folder) AS place FROM (
+ SELECT 0 AS grp, n_name AS folder, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'l' || n_regionkey END AS label FROM nation
+ UNION ALL SELECT 1, r_name, r_name FROM region)"""
+)
+def status_list(spark, sf_dir):
+    n = X.table(spark, sf_dir, "nation")
+    own = n.select(F.col("n_name").alias("folder"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.concat(F.lit("l"), F.col("n_regionkey").cast("string"))).alias("label"))
+    new = X.table(spark, sf_dir, "region").select(F.col("r_name").alias("folder"), F.lit(None).cast("string").alias("label"))
+    rows = status.status_list(own, new).withColumn("low", F.lower("label")).withColumn("all", F.lit("x"))
+    placed = idx.assign_sequence(rows.withColumnsRenamed({"folder": "name", "all": "folder"}), rows.select(F.lit("x").alias("folder"), F.lit(0).alias("high")).distinct(), ["grp", "low", "name"])
+    return placed.select("grp", F.col("name").alias("folder"), "label", F.col("sequence").cast("long").alias("place"))
+
+
+@query("SELECT folder, name, NOT (v1 IS NOT NULL AND v2 IS NULL) AS foreign_counter FROM index0 WHERE type = 0", X.DOC_FILES, X.INDEX0)
+def retime_split(spark, sf_dir):
+    rows = C.retime_split(X.index0(spark, sf_dir).where("type = 0"), X.DEVICE)
+    return rows.select("folder", "name", F.col("foreign").alias("foreign_counter"))
+
+
+@query(
+    """SELECT folder, name, max(sequence) AS sequence FROM (SELECT folder, name, sequence FROM feed WHERE sequence % 2 = 0 UNION ALL SELECT folder, name, sequence FROM feed WHERE deleted) GROUP BY folder, name""",
+    *FEEDS,
+)
+def archive_copies(spark, sf_dir):
+    f = X.feed(spark, sf_dir)
+    return idx.archive(idx.latest(f.where("sequence % 2 = 0")), f.where("deleted OR sequence % 2 = 0")).select("folder", "name", "sequence")
+
+
+@query("SELECT folder, name FROM listing WHERE name LIKE '%9.txt' AND modified_s < 1600020000", X.DOC_FILES, X.LISTING)
+def stale_temps(spark, sf_dir):
+    return idx.stale_temps(X.listing(spark, sf_dir), 1_600_020_000 + 7 * 86400, suffix="9.txt").select("folder", "name")
+
+
+@query("SELECT DISTINCT size, h FROM wants", X.DOC_FILES, WANTS)
+def wanted_contents(spark, sf_dir):
+    return _wants(spark, sf_dir).select("size", _hex("content_hash").alias("h")).distinct()
+
+
+@query("SELECT folder, name FROM feed WHERE NOT invalid AND (name NOT LIKE '%/e1%' OR deleted)", *FEEDS)
+def admissible_records(spark, sf_dir):
+    ignored = globs.ignored(F.col("name"), globs.parse_rules("e1*").rules)
+    return C.admissible(X.feed(spark, sf_dir), ignored).select("folder", "name")
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 3 = 1 THEN c_custkey % 2 = 1 ELSE false END AS coming FROM customer"""
+)
+def index_coming(spark, sf_dir):
+    k = F.col("c_custkey")
+    entry = lambda i, n: F.struct(i.alias("id"), n.cast("long").alias("max_sequence"))
+    devices = F.when(k % 3 == 0, F.array(entry(F.lit("x"), F.lit(0)))).when(k % 3 == 1, F.array(entry(F.lit("x"), F.lit(9)), entry(F.lit("me"), k % 2))).otherwise(F.array(entry(F.lit("me"), F.lit(0))))
+    return X.table(spark, sf_dir, "customer").select("c_custkey", feeds.index_coming(devices, F.lit("me")).alias("coming"))
+
+
 # --- codecs: beyond SQL
 
 
@@ -700,3 +784,17 @@ def index_codec(spark, sf_dir):
     """The stored index encoded and decoded again."""
     back = codec.decode_indexes(codec.encode_indexes(X.index0(spark, sf_dir), 7), 7)
     return back.groupBy("folder").agg(F.count("*").alias("n"), F.max("sequence").alias("high"), F.count("content_hash").alias("hashed"))
+
+
+@query(
+    """SELECT peer, folder, name, sequence FROM feed JOIN (VALUES ('p', 'f0', 0), ('q', 'f0', 5000), ('q', 'f1', 100)) s(peer, folder, cursor) USING (folder) WHERE sequence > cursor""",
+    *FEEDS,
+)
+def feed_stream(spark, sf_dir):
+    """The change feed as a stream over appended files, run until it has read them all."""
+    where = scratch_dir(spark, "feed")
+    X.feed(spark, sf_dir).write.parquet(f"{where}/changes")
+    subscriptions = spark.createDataFrame([("p", "f0", 0), ("q", "f0", 5000), ("q", "f1", 100)], "peer string, folder string, cursor long")
+    changes = change_feed.read_changes(spark, f"{where}/changes", INDEX)
+    change_feed.start_feed(changes, subscriptions, f"{where}/feed", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/feed").select("peer", "folder", "name", "sequence")
