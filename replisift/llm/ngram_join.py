@@ -42,7 +42,7 @@ from ._common import fresh_name, held, ship, text_bytes, written
 
 #: s as a share of k + 1, the ratio of a band's ends, and the members of a block.
 SPARE, BAND_RATIO, BLOCK = 0.4, 1.5, 512
-#: Groups that rows of equal sets are dealt into where they meet their smallest id.
+#: Groups that rows of one key are dealt into where they meet what is known of it.
 SALT = 16
 #: Keys of sets that a task remembers so as not to repeat signatures.
 SEEN = 200_000
@@ -331,6 +331,12 @@ def _deal(texts: DataFrame, units: DataFrame) -> DataFrame:
     return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "role", "id")
 
 
+def _salted(rows: DataFrame, facts: DataFrame, key: str, how: str) -> DataFrame:
+    """A join of rows (with ``id``) to one fact a key, in which a key with very many rows goes to ``SALT`` tasks."""
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALT))).join(copies, [key, "salt"], how).drop("salt")
+
+
 def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
@@ -349,12 +355,10 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     id_type = table.schema["id"].dataType
 
     families = written(_families(table), "families")
-    counts = families.groupBy("hub").agg(F.count("*").alias("m"))
+    sizes = families.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > block).select("hub", F.ceil(F.col("m") / block).alias("many"))
     nowhere = F.lit(None).cast(id_type)
-    dealt = families.join(counts, "hub").select(
-        "hub", "id", F.ceil(F.col("m") / block).alias("blocks")
-    ).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = written(dealt, "blocks")
+    dealt = _salted(families, sizes, "hub", "left").select("hub", "id", F.coalesce("many", F.lit(1).cast("long")).alias("blocks"))
+    dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "blocks")
     members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", nowhere.alias("comp"))
     hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), nowhere.alias("comp")).distinct()
     # All texts are shuffled once, to keep those of families.  Either side may be of any size, so neither is broadcast.
@@ -366,24 +370,20 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     large = dealt.where("blocks > 1")
     if large.limit(1).count():
         known = components(links)
-        of = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"d.{'id' if side == 'i' else 'hub'}"))
-        labelled = written(
-            large.alias("d").join(known.alias("i"), F.col("d.id") == F.col("i.id"), "left").join(known.alias("h"), F.col("d.hub") == F.col("h.id"), "left")
-            .select("d.hub", "d.id", "d.block", "d.blocks", of("i").alias("comp"), of("h").alias("hub_comp")),
-            "labelled",
-        )
+        hub_comp = large.select("hub").distinct().join(known.withColumnsRenamed({"id": "hub", "component": "hub_comp"}), "hub")
+        labelled = _salted(large, hub_comp, "hub", "left").join(known, "id", "left")
+        labelled = labelled.select("hub", "id", "block", "blocks", F.coalesce("component", "id").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
+        labelled = written(labelled, "labelled")
         apart = labelled.where("comp != hub_comp")
         probes = apart.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"), "block", "id", "comp").where("to != block")
         probes = probes.select("hub", F.col("to").alias("block"), F.lit(2).alias("role"), "id", "comp")
-        targets = labelled.join(apart.select("hub").distinct(), "hub", "left_semi").select("hub", "block", F.lit(1).alias("role"), "id", "comp")
+        targets = _salted(labelled, apart.select("hub").distinct(), "hub", "left_semi").select("hub", "block", F.lit(1).alias("role"), "id", "comp")
         more = _block_links(_deal(texts, targets.unionByName(probes)), words, percent, id_type, True)
         links = links.unionByName(written(more, "links"))
 
     # Equal sets: of each key with several rows, the smallest id.  The others' links are that id's.
     equal = table.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    salted = equal.select("key", "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    rows = table.select("id", "n", "key", F.pmod(F.hash("id"), F.lit(SALT)).alias("salt")).join(salted, ["key", "salt"], "left")
-    rows = rows.select("id", "n", F.coalesce("least", "id").alias("least"))
+    rows = _salted(table.select("id", "n", "key"), equal, "key", "left").select("id", "n", F.coalesce("least", "id").alias("least"))
     copies = rows.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     linked = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
     # Copies matter to components only where one of them has links of its own.
