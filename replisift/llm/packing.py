@@ -11,6 +11,7 @@ Each document is decomposed alone, so there is no shuffle at all.
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ._common import held, map_texts
 
-#: Words (delimited by white space) and pieces of words whose ids a worker
-#: remembers in each of two generations, and their longest size.
-WORDS_HELD, PIECES_HELD, CACHED_BYTES = 600_000, 400_000, 64
+#: Words (delimited by white space) whose ids a worker remembers in each of two
+#: generations, the share of that for pieces of words, and their longest size.
+WORDS_HELD, PIECES_SHARE, CACHED_BYTES = 600_000, 2 / 3, 64
 
 #: Fixed value: how the tokenizer's file splits normalised text, each match apart.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -74,24 +75,31 @@ class WordIds:
     text go through the whole tokenizer one by one.
     """
 
-    def __init__(self, tokenizer_path: str) -> None:
+    def __init__(self, tokenizer_path: str, words_held: int = WORDS_HELD) -> None:
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         #: The model alone, for pieces that are normalised and split already.
-        self.model = Tokenizer.from_file(tokenizer_path)
+        self.path, self.model = tokenizer_path, Tokenizer.from_file(tokenizer_path)
         self.model.encode_special_tokens = True
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        self.words, self.pieces = Generations(WORDS_HELD), Generations(PIECES_HELD)
+        self.words, self.pieces = Generations(words_held), Generations(int(words_held * PIECES_SHARE))
         self.split = regex.compile(PIECE).findall
-        vocab = self.tokenizer.get_vocab()
+        vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
 
+    @cached_property
+    def tokenizer(self):
+        """The whole tokenizer, loaded once it is needed."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True
+        return whole
+
     def __call__(self, data: bytes) -> bytes:
         words = data.split()
         ids = list(map(self.words.young.get, words))
@@ -141,12 +149,12 @@ class WordIds:
         return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
-def word_ids(tokenizer_path: str) -> WordIds:
+def word_ids(tokenizer_path: str, words_held: int = WORDS_HELD) -> WordIds:
     """The worker's tokenizer for a file."""
-    loaded = held("packing")
-    if tokenizer_path not in loaded:
-        loaded[tokenizer_path] = WordIds(tokenizer_path)
-    return loaded[tokenizer_path]
+    loaded, key = held("packing"), (tokenizer_path, words_held)
+    if key not in loaded:
+        loaded[key] = WordIds(tokenizer_path, words_held)
+    return loaded[key]
 
 
 def decompose(n: int, longest: int) -> list[int]:
@@ -163,6 +171,7 @@ def pack_documents(
     with_ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
+    words_held: int = WORDS_HELD,
 ) -> DataFrame:
     """Per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``bucket``, [``ids``], ``sequence_id``, ``offset``.
 
@@ -172,7 +181,8 @@ def pack_documents(
     to base 2, and no sequence is padded.  ``sequence_id`` is unique in the
     result; write the result before reading it twice, as rereading other files
     may number sequences otherwise.  ``ids_crc32`` is of little-endian unsigned
-    32-bit ids.
+    32-bit ids.  ``words_held`` bounds what a worker remembers (about 350 bytes a
+    word), and with it memory; fewer take more time.
 
     Null or empty text: the end id alone, or no piece where that is None.
     Repeated rows and null ids: their own pieces.  Empty table: no row.  Columns
@@ -182,7 +192,7 @@ def pack_documents(
         raise ValueError("longest must be a power of two")
 
     def make():
-        ids_of = word_ids(tokenizer_path)
+        ids_of = word_ids(tokenizer_path, words_held)
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
         def one(data: bytes) -> list[tuple]:

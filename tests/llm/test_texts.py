@@ -59,10 +59,8 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, [(1, None)]), WORDS, end_id=None).count() == 0
 
 
-def test_word_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "WORDS_HELD", 5)
-    monkeypatch.setattr(packing, "PIECES_HELD", 5)
-    ids, t = packing.WordIds(WORDS), Tokenizer.from_file(WORDS)
+def test_word_cache_is_bounded():
+    ids, t = packing.WordIds(WORDS, 5), Tokenizer.from_file(WORDS)
     t.encode_special_tokens = True
     for text in ("a b c d", "c d e f g h i", "a b", "x y z a", LONG):
         assert np.frombuffer(ids(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
