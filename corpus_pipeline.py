@@ -36,7 +36,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two sequences of at most 2048 tokens, with their ids."""
-    return packing.pack_documents(docs, WORDS, 2048, 1, with_ids=True)
+    # Workers that idle keep what they remember, and other stages need the memory: little is remembered here.
+    return packing.pack_documents(docs, WORDS, 2048, 1, with_ids=True, words_held=120_000)
 
 
 STAGES = [
