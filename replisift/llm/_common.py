@@ -98,8 +98,32 @@ def _arrow_schema(struct: T.StructType) -> pa.Schema:
     return to_arrow_schema(struct)
 
 
+class Scratch:
+    """Tables written to the shared folder while a query is built.
+
+    A written table has no lineage, so a lost executor loses nothing.  What
+    later steps don't read is dropped; what the result reads stays.
+    """
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.root, self.count = spark, scratch_dir(spark, what), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, read back from where it is written."""
+        self.count += 1
+        path = f"{self.root}/{self.count}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that :meth:`write` gave."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` after a write to the shared folder: lineage is cut and a lost executor loses nothing."""
-    path = scratch_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` after a write to the shared folder."""
+    return Scratch(df.sparkSession, what).write(df, what)

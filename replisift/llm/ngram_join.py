@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh_name, held, ship, text_bytes, written
+from ._common import Scratch, fresh_name, held, ship, text_bytes
 
 #: s as a share of k + 1, the ratio of a band's ends, and the members of a block.
-SPARE, BAND_RATIO, BLOCK = 0.4, 1.5, 512
+SPARE, BAND_RATIO, BLOCK = 0.4, 1.5, 256
 #: Groups that rows of one key are dealt into where they meet what is known of it.
 SALT = 16
 #: Keys of sets that a task remembers so as not to repeat signatures.
@@ -308,7 +308,8 @@ def components(edges: DataFrame) -> DataFrame:
     result is written, so lineage stays short and no step is done twice.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    current, before = written(ordered, "edges"), None
+    scratch = Scratch(edges.sparkSession, "components")
+    current, before = scratch.write(ordered, "edges"), None
     while True:
         state = tuple(current.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if state == before or not state[0]:
@@ -317,10 +318,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a != b").distinct(), "edges")
+        large = scratch.write(large.where("a != b").distinct(), "edges")
+        scratch.drop(current)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = written(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
+        current = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
+        scratch.drop(large)
     return current.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
@@ -351,21 +354,24 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     A null id links by equal sets alone and is in no one's component (null where
     no equal set has an id).  Empty table: no row.  Other columns aren't read.
     """
-    table = written(digest(df, words, percent, id_col, text_col), "digests")
+    scratch = Scratch(df.sparkSession, "ngram_join")
+    table = scratch.write(digest(df, words, percent, id_col, text_col), "digests")
     id_type = table.schema["id"].dataType
 
-    families = written(_families(table), "families")
+    families = scratch.write(_families(table), "families")
     sizes = families.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > block).select("hub", F.ceil(F.col("m") / block).alias("many"))
     nowhere = F.lit(None).cast(id_type)
     dealt = _salted(families, sizes, "hub", "left").select("hub", "id", F.coalesce("many", F.lit(1).cast("long")).alias("blocks"))
-    dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "blocks")
+    dealt = scratch.write(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "blocks")
+    scratch.drop(families)
     members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", nowhere.alias("comp"))
     hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), nowhere.alias("comp")).distinct()
     # All texts are shuffled once, to keep those of families.  Either side may be of any size, so neither is broadcast.
     ids = dealt.select("id").unionByName(dealt.select(F.col("hub").alias("id"))).distinct()
     texts = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
-    texts = written(texts, "texts")
-    links = written(_block_links(_deal(texts, members.unionByName(hubs)), words, percent, id_type, False), "links")
+    texts = scratch.write(texts, "texts")
+    links = first = scratch.write(_block_links(_deal(texts, members.unionByName(hubs)), words, percent, id_type, False), "links")
+    done = [first, dealt, texts]
 
     large = dealt.where("blocks > 1")
     if large.limit(1).count():
@@ -373,13 +379,15 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
         hub_comp = large.select("hub").distinct().join(known.withColumnsRenamed({"id": "hub", "component": "hub_comp"}), "hub")
         labelled = _salted(large, hub_comp, "hub", "left").join(known, "id", "left")
         labelled = labelled.select("hub", "id", "block", "blocks", F.coalesce("component", "id").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
-        labelled = written(labelled, "labelled")
+        labelled = scratch.write(labelled, "labelled")
         apart = labelled.where("comp != hub_comp")
         probes = apart.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"), "block", "id", "comp").where("to != block")
         probes = probes.select("hub", F.col("to").alias("block"), F.lit(2).alias("role"), "id", "comp")
         targets = _salted(labelled, apart.select("hub").distinct(), "hub", "left_semi").select("hub", "block", F.lit(1).alias("role"), "id", "comp")
         more = _block_links(_deal(texts, targets.unionByName(probes)), words, percent, id_type, True)
-        links = links.unionByName(written(more, "links"))
+        more = scratch.write(more, "links")
+        links = links.unionByName(more)
+        done += [labelled, more]
 
     # Equal sets: of each key with several rows, the smallest id.  The others' links are that id's.
     equal = table.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
@@ -389,6 +397,7 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Copies matter to components only where one of them has links of its own.
     edges = links.unionByName(copies.join(linked, F.col("a") == F.col("id"), "left_semi"))
     known = components(edges)
+    scratch.drop(*done)
     out = rows.join(known.withColumnRenamed("id", "least"), "least", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component_id"))
 
