@@ -26,6 +26,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def release() -> None:
+    """Gives memory that Arrow keeps for later back to the system, as a worker may idle after this task."""
+    pa.default_memory_pool().release_unused()
+
+
 _HELD: dict[str, dict] = {}
 
 
@@ -88,6 +93,7 @@ def map_texts(
                 ids = part.column(0).take(pa.array(owner, pa.int64()))
                 cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([ids, *cols], [id_col, *arrow.names])
+        release()
 
     return df.select(F.col(id_col), text_bytes(text_col).alias("__text")).mapInArrow(run, schema)
 

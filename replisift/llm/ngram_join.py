@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, fresh_name, held, ship, text_bytes
+from ._common import Scratch, fresh_name, held, release, ship, text_bytes
 
 #: s as a share of k + 1, the ratio of a band's ends, and the members of a block.
 SPARE, BAND_RATIO, BLOCK = 0.4, 1.5, 256
@@ -167,6 +167,7 @@ def digest(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], schema.names)
+        release()
 
     return df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -192,6 +193,7 @@ def _families(table: DataFrame) -> DataFrame:
             member = pa.array(~new)
             yield pa.RecordBatch.from_arrays([hubs.filter(member), ids.filter(member)], schema.names)
             last, hub = sig[-1], hubs.slice(len(sig) - 1, 1)
+        release()
 
     rows = table.select(F.explode("sigs").alias("sig"), "id").repartition("sig").sortWithinPartitions("sig", "id")
     return rows.mapInArrow(run, schema).where("hub != id").distinct()
@@ -291,6 +293,7 @@ def _block_links(dealt: DataFrame, words: int, percent: int, id_type: T.DataType
                 yield _pairs(out, schema)
         if out := close():
             yield _pairs(out, schema)
+        release()
 
     return dealt.select("hub", "block", "role", "id", "comp", "text").mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from ._common import fresh_name, held, map_texts, ship
 
 SAMPLE, SAMPLE_CHARS, FEATURES = 4000, 20_000, 6000
 PREFIXES = (4, 5, 6)
-CACHE_SIZE = 300_000
+CACHE_SIZE = 150_000
 THRESHOLD = 0.3
 
 # Identity terms, a kind a line.
