@@ -49,6 +49,9 @@ def test_malformed():
     wrong = pb.data(1, "x") + pb.number(2, 2)
     assert codec.decode_index(wrong, "f", 1) is None and codec.decode_index(b"\xff" * 12, "f", 1) is None and codec.decode_index(b"", "f", 1) is None
     assert codec.decode_vector(pb.data(1, pb.number(1, 5) + pb.number(2, 6)) + pb.data(1, pb.number(1, 5) + pb.number(2, 9))) == {"5": 6}
+    odd = pb.varint(3 << 3 | pb.I32) + b"\0\0\0\0"  # a known field of another wire type is skipped
+    assert codec.decode_file_info(odd + pb.data(1, "a"))["name"] == "a" and codec.decode_file_info(odd)["size"] == 0
+    assert codec.decode_cluster_config(pb.data(1, pb.data(16, pb.number(1, 5) + pb.number(2, 6) + pb.data(6, b"x"))))[0]["devices"] == [{"id": b"", "name": "", "max_sequence": 0, "index_id": 0}]
     for bad in (b"\x00\x01", b"\x0b", b"\x0a\x05ab", b"\x80" * 11):
         with pytest.raises(pb.Malformed):
             list(pb.fields(bad))
