@@ -10,7 +10,8 @@ common subsequence, and shared lines are deleted as template.
 Differencing alone can't give right results: articles quote the same passages,
 and a site's menus and adverts may differ from page to page.  So lines inside an
 article element (or, without one, the main element) are never deleted for being shared, and lines whose markup names
-them go even if no neighbour shares them.
+them go even if no neighbour shares them.  All other lines, on pages with an
+article too, stay unless they are shared.
 
 The lines are shuffled once, by host.  Hosts that hold more than one page in
 ``HOT_SHARE`` (so there are at most that many) and more than ``GROUP`` pages are
@@ -215,12 +216,19 @@ def shared_lines(a: list, b: list, limit_bits: int = 1 << 27) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, int]], neighbour: list[str] | None) -> str:
-    """The main text of a page, given its lines and those of its nearest page."""
-    for own in (ARTICLE, MAIN):
-        if any(zone == own for _, zone in lines):
-            return "\n".join(text for text, zone in lines if zone == own)
-    shared = shared_lines([text for text, _ in lines], neighbour) if neighbour else set()
-    return "\n".join(text for k, (text, zone) in enumerate(lines) if zone == OUTSIDE and k not in shared)
+    """The main text of a page, given its lines and those of its nearest page.
+
+    A page without a neighbour has only its own zone's lines: nothing tells the others from template.
+    """
+    zones = {zone for _, zone in lines}
+    own = next((zone for zone in (ARTICLE, MAIN) if zone in zones), None)
+    if not neighbour:
+        return "\n".join(text for text, zone in lines if zone == (OUTSIDE if own is None else own))
+    if zones <= {own, DROPPED}:  # differencing has nothing to decide
+        shared = set()
+    else:
+        shared = shared_lines([text for text, _ in lines], neighbour)
+    return "\n".join(text for k, (text, zone) in enumerate(lines) if zone == own or zone != DROPPED and k not in shared)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -34,6 +34,14 @@ def test_differencing():
     assert X.main_text(b, ["Site name", "Quote"]) == "Quote"
 
 
+def test_differencing_around_an_article():
+    lines = X.page_lines("<p>Site name</p><h1>Headline</h1><main><p>Lead</p><article><p>Quote</p></article><p>More</p></main><nav>Menu</nav><p>Imprint</p>")
+    assert X.main_text(lines, ["Site name", "Other", "Quote", "Imprint"]) == "Headline\nLead\nQuote\nMore"
+    assert X.main_text(lines, None) == "Quote"
+    lines = X.page_lines("<p>Site name</p><h1>Headline</h1><main><p>Quote</p></main><p>Imprint</p>")
+    assert X.main_text(lines, ["Site name", "Quote", "Imprint"]) == "Headline\nQuote"
+
+
 def longest(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
