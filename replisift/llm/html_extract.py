@@ -15,8 +15,9 @@ article too, stay unless they are shared.
 
 The lines are shuffled once, by host.  Hosts that hold more than one page in
 ``HOT_SHARE`` (so there are at most that many) and more than ``GROUP`` pages are
-dealt into groups of about that size by the path's hash; pages are compared
-within a group.
+cut into ranges of about that size in the order of pages.  The page that ends a
+range is shipped to the next one too, so each page keeps its nearest page
+whatever the ranges are.  Pages without any line are nobody's nearest page.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from ._common import ship, text_bytes
 
-HOT_SHARE, GROUP = 1000, 512
+HOT_SHARE, GROUP, SAMPLED = 1000, 512, 8  # SAMPLED: pages looked at for each cut of a host
 
 # Element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -247,7 +248,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     counts = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     size = F.greatest(F.col("total") / HOT_SHARE, F.lit(GROUP))
-    hot = counts.join(F.broadcast(total)).where(F.col("n") > size).select("host", F.ceil(F.col("n") / size).alias("groups"))
+    hot = counts.join(F.broadcast(total)).where(F.col("n") > size).select("host", F.ceil(size).alias("size"))
 
     out_id = pages.schema[id_col]
     parsed = T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("zones", T.ArrayType(T.IntegerType()))])
@@ -262,35 +263,61 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             rows.append(([t for t, _ in lines], [z for _, z in lines]))
         return pd.DataFrame(rows, columns=["texts", "zones"])
 
-    # At most HOT_SHARE hosts hold more than one page in HOT_SHARE: that bounds what is broadcast.
+    data = text_bytes(html_col)
+    keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), data.alias("data"), F.xxhash64(data).alias("mark"))
+    key = F.struct("path", "url", "id", "mark")
+    # Cuts are pages of a sample, every so many in order; only pages with lines, so that a range begins after one.
+    # At most HOT_SHARE hosts hold more than one page in HOT_SHARE, with about that many cuts in all: that bounds what is broadcast.
+    looked_at = F.pmod(F.xxhash64("path", "url", "id", "mark"), "size") < SAMPLED
+    read_late = read(F.when(looked_at, F.col("data")).otherwise(F.lit(b"")))  # naming ``size`` keeps it from moving before the join
+    sample = keyed.join(F.broadcast(hot), "host").where(looked_at).where(F.size(read_late["texts"]) > 0)
+    every = lambda k, i: i % SAMPLED == SAMPLED - 1
+    cuts = sample.groupBy("host").agg(F.sort_array(F.collect_list(key)).alias("keys")).select("host", F.array_distinct(F.filter("keys", every)).alias("cuts"))
+
+    # The number of cuts before a page, by halving.
+    steps = F.array(*[F.lit(1 << k) for k in range(10, -1, -1)])
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) < F.col("key"), at + step).otherwise(at))
+    own, next_too = F.struct(F.col("part"), F.lit(False).alias("ended")), F.struct((F.col("part") + 1).alias("part"), F.lit(True).alias("ended"))
     lines = (
-        pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), read(text_bytes(html_col)).alias("p"))
-        .join(F.broadcast(hot), "host", "left")
-        .select("host", F.pmod(F.xxhash64("path"), F.coalesce("groups", F.lit(1))).alias("part"), "path", "url", "id", "p.texts", "p.zones")
+        keyed.select("id", "url", "host", "path", "mark", read("data").alias("p"))
+        .join(F.broadcast(cuts), "host", "left")
+        .withColumn("key", key)
+        .withColumn("part", part)
+        .withColumn("copies", F.when(F.get("cuts", F.col("part")).eqNullSafe(F.col("key")), F.array(own, next_too)).otherwise(F.array(own)))
+        .select("host", F.explode("copies").alias("c"), "path", "url", "id", "mark", "p")
+        .select("host", "c.part", "path", "url", "id", "p.texts", "p.zones", "c.ended", "mark")
     )
-    order = ["host", "part", "path", "url", "id", "texts"]
+    order = ["host", "part", "path", "url", "id", "mark", "texts"]
     dealt = lines.repartition("host", "part").sortWithinPartitions(*order)
     out = T.StructType([T.StructField(id_col, out_id.dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        before = None  # the page that waits: group, id, url, lines, texts of its neighbour
+        before = None  # the page that waits: group, id, url, lines, texts of its neighbour, whether it ended the range before
         for batch in batches:
             groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             ids, texts_out, pending_ids, pending_urls = batch.column(4), [], [], []
+
+            def put(page, neighbour):
+                if not page[5]:
+                    pending_ids.append(page[1])
+                    pending_urls.append(page[2])
+                    texts_out.append(main_text(page[3], neighbour))
+
             for k in range(batch.num_rows):
                 lines = list(zip(batch.column(5)[k].as_py(), batch.column(6)[k].as_py()))
-                now = [groups[k], ids.slice(k, 1), batch.column(3)[k].as_py(), lines, None]
+                now = [groups[k], ids.slice(k, 1), batch.column(3)[k].as_py(), lines, None, batch.column(7)[k].as_py()]
+                if not lines:
+                    put(now, None)
+                    continue
                 if before is not None:
-                    if before[0] == now[0]:
+                    same = before[0] == now[0]
+                    if same:
                         now[4] = [t for t, _ in before[3]]
-                    neighbour = before[4] or ([t for t, _ in lines] if before[0] == now[0] else None)
-                    pending_ids.append(before[1])
-                    pending_urls.append(before[2])
-                    texts_out.append(main_text(before[3], neighbour))
+                    put(before, before[4] or ([t for t, _ in lines] if same else None))
                 before = now
             if texts_out:
                 yield _rows(pending_ids, pending_urls, texts_out, id_col, url_col)
-        if before is not None:
+        if before is not None and not before[5]:
             yield _rows([before[1]], [before[2]], [main_text(before[3], before[4])], id_col, url_col)
 
     return dealt.mapInArrow(run, out)

@@ -90,3 +90,14 @@ def test_pages(spark):
     again = X.extract_pages(df.repartition(1)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert X.extract_pages(df.limit(0)).count() == 0
+
+
+def test_large_hosts_keep_the_nearest_page(spark, monkeypatch):
+    rows = [(k, f"http://big.example/s{k // 6:02}/p{k:03}", "" if k % 17 == 0 else f"<p>Site</p><p>Section {k // 6}</p><p>Text {k}</p>") for k in range(300)]
+    rows += [(None, None, f"<p>Site</p><p>Lost {k}</p>") for k in range(60)] + [(7, "http://big.example/s01/p007", rows[7][2])] * 5
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole = Counter(map(tuple, X.extract_pages(df).collect()))
+    monkeypatch.setattr(X, "GROUP", 20)
+    assert Counter(map(tuple, X.extract_pages(df).collect())) == whole
+    assert whole[(8, "http://big.example/s01/p008", "Text 8", 6)] == 1
+    assert sum(n for r, n in whole.items() if r[0] is not None and "Section" in r[2]) == 49  # the first of each section but the first
