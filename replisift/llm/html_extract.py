@@ -52,6 +52,7 @@ DROPPED_NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget skip".split()
 )
 NAME_OF_HEADER = frozenset(["header"])
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -73,19 +74,25 @@ def _names(attributes: str) -> tuple[set[str], str]:
 
 
 def page_lines(html: str) -> list[tuple[str, int]]:
-    """(line, zone) of a page's blocks, in order.  Never fails, whatever the markup."""
-    lines: list[tuple[str, int]] = []
+    """(line, zone) of a page's blocks, in order.  Never fails, whatever the markup.
+
+    An element outside an article that is dropped for its class or id only is a
+    wrapper: it is kept if all the page's article elements with text (without
+    one, its main elements) are in wrappers, and one of the least nested is in it.
+    """
+    lines: list[tuple[str, int, int]] = []  # text, zone, innermost wrapper
     parts: list[str] = []
-    stack: list[tuple[str, int, int | None]] = [("", OUTSIDE, None)]  # name, zone, the zone around the article's header that it is in
+    wrappers: list[tuple[int, int, int]] = [(-1, 0, OUTSIDE)]  # wrapper around, depth, zone around; the first is none
+    stack: list[tuple[str, int, int | None, int]] = [("", OUTSIDE, None, 0)]  # name, zone, the zone around the article's header that it is in, wrapper
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, stack[-1][1]))
+            lines.append((text, stack[-1][1], stack[-1][3]))
 
     def close(k: int) -> None:
-        if any(name in BLOCK for name, _, _ in stack[k:]) or stack[-1][1] != stack[k - 1][1]:
+        if any(e[0] in BLOCK for e in stack[k:]) or stack[-1][1::2] != stack[k - 1][1::2]:
             flush()
         del stack[k:]
 
@@ -111,6 +118,8 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                         flush()
                     break
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:  # its end tag may be left out
+            close(len(stack) - 1)
         if name == "br":
             parts.append("\n")
             continue
@@ -131,14 +140,23 @@ def page_lines(html: str) -> list[tuple[str, int]]:
             flush()
         if name in VOID or m[3].endswith("/"):
             continue
-        _, zone, held = stack[-1]
+        _, zone, held, wrapper = stack[-1]
         words, role = _names(m[3]) if m[3] else (set(), "")
         if held is not None:  # of an article: only its headings are text of the article
             zone = held if zone == held or name in HEADINGS else DROPPED
         elif zone != DROPPED and name not in ("html", "body"):
             inside = zone in (ARTICLE, MAIN)
             named = words & DROPPED_NAMES and name not in ("article", "main") or words & {"comment", "comments"}
-            if name in DROPPED_ELEMENTS or named or role in DROPPED_ROLES or not inside and (name == "header" or words & NAME_OF_HEADER):
+            if name in DROPPED_ELEMENTS or role in DROPPED_ROLES or named and (zone == ARTICLE or name in ("article", "main")) or not inside and name == "header":
+                zone = DROPPED
+            elif named or not inside and words & NAME_OF_HEADER and name not in ("article", "main"):
+                wrappers.append((wrapper, wrappers[wrapper][1] + 1, zone))
+                wrapper = len(wrappers) - 1
+                if role == "article":
+                    zone = ARTICLE
+                elif not inside and role == "main":
+                    zone = MAIN
+            elif not inside and words & NAME_OF_HEADER:
                 zone = DROPPED
             elif name == "article" or role == "article":
                 zone = ARTICLE
@@ -146,11 +164,25 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 zone = MAIN
             elif inside and name == "header":
                 zone, held = DROPPED, zone
-        if zone != stack[-1][1]:
+        if (zone, wrapper) != stack[-1][1::2]:
             flush()
-        stack.append((name, zone, held))
+        stack.append((name, zone, held, wrapper))
     flush()
-    return lines
+    kept = {0}
+    for own in (ARTICLE, MAIN):
+        # A wrapper inside the main element doesn't contain it.
+        around = {w for _, zone, w in lines if zone == own and (w == 0 or own == ARTICLE or wrappers[w][2] != MAIN)}
+        if around:
+            least = min(wrappers[w][1] for w in around)
+            for w in around:
+                while w not in kept and wrappers[w][1] <= least:
+                    kept.add(w)
+                    w = wrappers[w][0]
+            if own == ARTICLE and any(zone == MAIN and w in kept and wrappers[w][1] < least for _, zone, w in lines):
+                # The main element has text of its own around the wrapper: the article counts as a part of it.
+                lines = [(text, MAIN if zone == ARTICLE else zone, w) for text, zone, w in lines]
+            break
+    return [(text, zone if w in kept else DROPPED) for text, zone, w in lines]
 
 
 def _vectors(a: list, places: dict, size: int) -> Iterator[int]:

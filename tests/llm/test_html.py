@@ -27,6 +27,20 @@ def test_zones():
     assert text("<p>out</p><main><header><h1>T</h1><p>by</p></header><p>x</p><aside>s</aside></main>") == "T\nx"
 
 
+def test_named_wrappers():
+    for name in ("no-sidebar", "with-menu", "share-page", "with-header"):
+        assert text(f"<div class='{name}'><p>out</p><article><p>a</p><div class='ad'>Buy</div></article></div>") == "a"
+        assert text(f"<div id='{name}'><main><p>m</p><div class='related'>r</div></main></div><div class='{name}'>x</div>") == "m"
+        assert text(f"<div class='{name}'>x</div><p>y</p>") == "y"
+    assert text("<div class='share-page'><div class='related'><article>teaser</article></div><article>a</article></div>") == "a"
+    assert text("<main><div class='no-sidebar'><article>a</article></div></main>") == "a"
+    assert text("<article>a</article><div class='related'><article>teaser</article></div>") == "a"
+    assert text("<main><p>m</p><div class='related'>r</div></main>") == "m"
+    assert text("<main><h1>m</h1><div class='with-menu'><article>a</article></div></main>") == "m\na"
+    assert text("<html><head><title>T</title><meta charset=utf-8><body><article>a</article>") == "a"
+    assert text("<head><link rel=x><p>x</p>") == "x"
+
+
 def test_differencing():
     a = X.page_lines("<p>Site name</p><p>Story one</p><p>Imprint</p>")
     assert X.main_text(a, ["Site name", "Other", "Imprint"]) == "Story one"
