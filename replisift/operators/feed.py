@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import version
 from ..schema import FILE, RECEIVE_ONLY
+from .places import placed
 
 BATCH = 256
+#: Cursors that are broadcast at most, and tasks for a folder's records beyond that.
+FEW, SALT = 100_000, 64
 
 
 def announceable(device: str, mode: int | Column) -> Column:
@@ -24,10 +26,16 @@ def since(index: DataFrame, cursors: DataFrame) -> DataFrame:
     """Each peer's news: (peer, is_full, record columns) of sequences above its cursor, up to the snapshot.
 
     ``cursors`` has (peer, folder, cursor, snapshot); a cursor of 0 starts with a
-    full index.  Every (peer, folder) is small, and joins by folder.
+    full index.  Up to ``FEW`` cursors, which are counted, are sent to all tasks.
+    More are joined by folder, a folder's records dealt to ``SALT`` tasks.
     """
-    rows = index.join(cursors, "folder").where((F.col("sequence") > F.col("cursor")) & (F.col("sequence") <= F.col("snapshot")))
-    return rows.select("peer", (F.col("cursor") == 0).alias("is_full"), *index.columns)
+    fresh = (F.col("sequence") > F.col("cursor")) & (F.col("sequence") <= F.col("snapshot"))
+    if cursors.limit(FEW + 1).count() <= FEW:
+        rows = index.join(F.broadcast(cursors), "folder")
+    else:
+        dealt = index.withColumn("__salt", F.pmod(F.xxhash64("name"), F.lit(SALT)).cast("int"))
+        rows = dealt.join(cursors.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["folder", "__salt"])
+    return rows.where(fresh).select("peer", (F.col("cursor") == 0).alias("is_full"), *index.columns)
 
 
 def next_cursor(cursors: DataFrame, pruned: DataFrame) -> DataFrame:
@@ -53,18 +61,13 @@ def reset_cursors(cursors: DataFrame, before: DataFrame, now: DataFrame) -> Data
     return cursors.join(fresh, ["peer", "folder"], "left").withColumn("cursor", F.when(F.col("__new"), F.lit(0).cast("long")).otherwise(F.col("cursor"))).drop("__new")
 
 
-def batches(rows: DataFrame, by: list[str], order: list[str], size: int = BATCH, parts: int = 64) -> DataFrame:
+def batches(rows: DataFrame, by: list[str], order: list[str], size: int = BATCH, parts: int | None = None) -> DataFrame:
     """``rows`` with ``batch``: their place in the order, by ``size``, from 0 within each ``by``.
 
-    Ranked within ranges of the order, so no task sorts all rows of one ``by``.
+    Placed by ranges (:func:`places.placed`), so no task sorts all rows of one
+    ``by``, and every batch but a ``by``'s last has ``size`` rows.
     """
-    ranged = rows.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id())
-    ranked = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)))
-    sizes = ranked.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
-    run = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.select(*by, "__part", F.coalesce(F.sum("__n").over(run), F.lit(0)).alias("__before"))
-    out = ranked.join(offset, [*by, "__part"])
-    return out.withColumn("batch", F.floor((F.col("__before") + F.col("__rank") - 1) / size)).drop("__part", "__rank", "__before")
+    return placed(rows, by, order, parts).withColumn("batch", F.floor((F.col("__place") - 1) / size)).drop("__place")
 
 
 def index_coming(devices: Column, own: Column) -> Column:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import version
 from ..schema import KEY
+from .places import placed
 
 DAY = 86400
 
@@ -36,22 +36,17 @@ def high_water(index: DataFrame) -> DataFrame:
     return index.groupBy("folder").agg(F.max("sequence").alias("high"))
 
 
-def assign_sequence(rows: DataFrame, marks: DataFrame, order: list[Column | str], salt: int = 64) -> DataFrame:
+def assign_sequence(rows: DataFrame, marks: DataFrame, order: list[Column | str], salt: int | None = None) -> DataFrame:
     """``rows`` with ``sequence`` = the folder's mark + 1, 2, ... in the given order.
 
-    ``marks`` has (folder, high); a folder without one starts at 1.  Rows are
-    ranked within ranges of the order, and the ranges' sizes summed up, so a
-    folder with most of the rows isn't sorted by one task.
+    ``marks`` has (folder, high); a folder without one starts at 1.  See
+    :func:`places.placed`: a folder with most of the rows isn't sorted by one
+    task, and the places are fixed by one written table.  ``salt``: the number
+    of ranges, by default that of the session's shuffle partitions.
     """
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    keyed = rows.withColumn("__order", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_cols)]))
-    parts = keyed.repartitionByRange(salt, "folder", "__order").withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("folder", "__part")
-    ranked = parts.withColumn("__rank", F.row_number().over(own.orderBy("__order")))
-    sizes = ranked.groupBy("folder", "__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("folder").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranked.join(before.select("folder", "__part", "__before"), ["folder", "__part"]).join(marks.select("folder", "high"), "folder", "left")
-    return out.withColumn("sequence", F.coalesce("high", F.lit(0)) + F.col("__before") + F.col("__rank")).select(*rows.columns, *([] if "sequence" in rows.columns else ["sequence"]))
+    keys = {f"__k{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    out = placed(rows.withColumns(keys), ["folder"], list(keys), salt).join(marks.select("folder", "high"), "folder", "left")
+    return out.withColumn("sequence", F.coalesce("high", F.lit(0)) + F.col("__place")).select(*rows.columns, *([] if "sequence" in rows.columns else ["sequence"]))
 
 
 def prunable(now_s: int, keep_days: int = 180) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "replisift", **conf: str) -> SparkSession:
@@ -23,8 +23,21 @@ def session(app: str = "replisift", **conf: str) -> SparkSession:
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """A new folder for a written table, in the folder that the cluster shares.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset, as in
-    tests on one machine, a folder under /tmp is used.
+    ``spark.checkpoint.dir`` names that folder.  Only where it is unset and all
+    of Spark is one process, as in tests, a folder under /tmp is used; on a
+    cluster an unset folder is an error, as executors share no local disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master is {master})")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, what: str) -> DataFrame:
+    """``df``, written once to the shared folder and read back: a fixed result, whatever is lost or evaluated again."""
+    path = scratch_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
