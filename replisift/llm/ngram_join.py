@@ -2,28 +2,41 @@
 
 A document's set holds the hashes of its distinct word n-grams.  Sizes fall into
 bands.  Two sets that are similar enough, the smaller with size in [l, r], differ
-in at most k = r (1 - g) / g elements, g being the similarity.  So if the feature
-domain is dealt into k + 1 + s parts, the sets agree on at least s + 1 of them; a
-signature is the hash of a set's content of one part.  Since so many agree, each
-set may leave out the s signatures that come last in any order common to all: the
-order is by the number of elements of a part's content, most first, so what goes
-is the least selective (a passage that many texts quote fills whole parts only
-where these hold few elements).  A set emits the k + 1 signatures of its own band,
-and of a lower band where partners may be found.
+in at most k = r (1 - g) / g elements, g being the similarity.  The feature domain
+is dealt into parts, and a signature is the hash of a set's content of a subset of
+them.  A set emits the signatures of its own band, and of a lower band where
+partners may be found.
+
+* Bands with k up to ``SMALL_K``: k + 2 parts, all pairs of them.  At most k parts
+  hold a difference, so similar sets agree on a pair.
+* Larger k: k + 1 + s parts, each alone (two-level enumeration would make more
+  signatures, not fewer).  The sets agree on at least s + 1 parts; since so many
+  agree, each set may leave out the s signatures that come last in any order
+  common to all: by the number of elements of a part's content, most first, so
+  what goes is the least selective.
+* The hash of nothing is no signature, or unrelated short sets would share it.
+  A set with such a signature emits, in place of it, its prefix: the n - ceil(g n)
+  + 1 smallest of its n elements.  Similar sets that agree on empty content alone
+  both have it there, so both emit their prefixes, and these meet.
 
 From signatures to links, without ever forming all pairs of a group:
 
 1. ``digest``: one pass over the texts gives sizes, a 128-bit key of the set and
    the signatures (only once a task for equal sets).  Written to the shared folder.
-2. Signatures are shuffled and sorted; of each group that shares one, the
-   smallest id is the hub, and members belong to that hub's family.  Every pair
-   that shares a signature lies in one family.
-3. Families are dealt into blocks of about ``BLOCK`` members.  A block gets its
-   texts and its hub's, and is compared exactly on its own: first all with the
-   hub, then only those that aren't connected yet.  A family of copies of its
-   hub thus costs one comparison a member.
-4. Families of several blocks that aren't yet connected compare their
-   unconnected members with the other blocks, which stream by.
+2. Of each group that shares a signature, the smallest id is the hub, and members
+   belong to that hub's family.  Every pair that shares a signature lies in one
+   family.  Signatures with very many rows are reduced before they are shuffled.
+3. Families are dealt into blocks, bounded by members and by elements.  A block
+   gets its texts and its hub's, and is compared exactly on its own: first all
+   with the hub, then only those that aren't connected yet.  A family of copies
+   of its hub thus costs one comparison a member.
+4. Families of several blocks with members that the hub's component lacks go to
+   the next level: there members emit their prefixes by an order of the family,
+   in which the hub's elements come last (what a family shares without linking,
+   such as a passage that all quote, is in the hub).  The prefixes are signatures
+   for step 2 again, without the hub.  Unrelated members part there, in work that
+   is linear in the family.  After ``LEVELS`` levels, what is still in families of
+   several blocks and unconnected is compared with the other blocks, which stream by.
 5. Links (a spanning forest from each block) and equal sets give components by
    alternating large-star and small-star steps, each written to the shared folder.
 """
@@ -40,10 +53,14 @@ from pyspark.sql import types as T
 
 from ._common import Scratch, fresh_name, held, release, ship, text_bytes
 
-#: s as a share of k + 1, the ratio of a band's ends, and the members of a block.
-SPARE, BAND_RATIO, BLOCK = 0.4, 1.5, 256
-#: Groups that rows of one key are dealt into where they meet what is known of it.
-SALT = 16
+#: s as a share of k + 1, the ratio of a band's ends, the largest k for which pairs of parts are enumerated.
+SPARE, BAND_RATIO, SMALL_K = 0.4, 1.5, 3
+#: Members and set elements of a block, and levels of prefixes before blocks are streamed past each other.
+BLOCK, BLOCK_ELEMENTS, LEVELS = 256, 2_000_000, 3
+#: A signature counts as very frequent by so many rows in a sample of one in ``SAMPLED``; at most ``HOT`` are treated apart.
+SAMPLED, FREQUENT, HOT = 128, 32, 1000
+#: Groups that rows of one key are dealt into where they meet what is known of it, and blocks whose hub's text travels in one row.
+SALT, HUB_BLOCKS = 16, 64
 #: Keys of sets that a task remembers so as not to repeat signatures.
 SEEN = 200_000
 
@@ -109,9 +126,15 @@ def _bands() -> list[int]:
 _BAND_STARTS = np.array(_bands())
 
 
+def _prefix(ordered: np.ndarray, percent: int) -> np.ndarray:
+    """The elements, of a set in some order, of which similar sets in the same order share one."""
+    n = len(ordered)
+    return ordered[: n + 1 - -(-n * percent // 100)] if n else ordered
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """The PartEnum signatures of a set, for similarities of at least ``percent``; none for sets that only equal sets resemble."""
-    n, out = len(s), []
+    """The signatures of a set, for similarities of at least ``percent``; none for sets that only equal sets resemble."""
+    n, out, empty = len(s), [], False
     if not n:
         return s
     lowest = -(-n * percent // 100)
@@ -120,13 +143,22 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         k = int(_BAND_STARTS[band + 1] - 1) * (100 - percent) // percent
         if not k:
             continue
-        parts = k + 1 + int(SPARE * (k + 1))
+        parts = k + 2 if k <= SMALL_K else k + 1 + int(SPARE * (k + 1))
         part = ((s >> _U(32)) % _U(parts)).astype(np.int64)
-        content = np.zeros(parts, _U)
+        content, filled = np.zeros(parts, _U), np.bincount(part, minlength=parts)
         np.add.at(content, part, _mix(s ^ _M3))
-        first_parts = np.argsort(-np.bincount(part, minlength=parts), kind="stable")[: k + 1]
-        tag = first_parts.astype(_U) + _U((band << 40) & (2**64 - 1))
-        out.append(_mix(content[first_parts] + _mix(tag * _P)))
+        if k <= SMALL_K:
+            x, y = np.triu_indices(parts, 1)
+            content, filled, tag = content[x] + _mix(content[y] + _M3), filled[x] + filled[y], x * parts + y
+        else:
+            tag = np.argsort(-filled, kind="stable")[: k + 1]
+            content, filled = content[tag], filled[tag]
+        some = filled > 0
+        empty |= not some.all()
+        tag = tag.astype(_U) + _U((band << 40) & (2**64 - 1))
+        out.append(_mix(content + _mix(tag * _P))[some])
+    if empty:
+        out.append(_mix(_prefix(s, percent) * _M2))
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -172,9 +204,9 @@ def digest(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     return df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _families(table: DataFrame) -> DataFrame:
-    """(hub, id): every document that shares a signature with a smaller id, by that id, once."""
-    id_type = table.schema["id"].dataType
+def _families(rows: DataFrame) -> DataFrame:
+    """(hub, id): every id of ``rows`` (sig, id) that shares a signature with a smaller id, by that id, once."""
+    id_type = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("hub", id_type), T.StructField("id", id_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +227,18 @@ def _families(table: DataFrame) -> DataFrame:
             last, hub = sig[-1], hubs.slice(len(sig) - 1, 1)
         release()
 
-    rows = table.select(F.explode("sigs").alias("sig"), "id").repartition("sig").sortWithinPartitions("sig", "id")
-    return rows.mapInArrow(run, schema).where("hub != id").distinct()
+    # Where a signature's rows go depends on the sample; what comes out doesn't.  At most HOT signatures are collected.
+    sampled = rows.where(F.pmod(F.xxhash64("id", "sig"), F.lit(SAMPLED)) == 0).groupBy("sig").agg(F.count("*").alias("k"))
+    hot = [r.sig for r in sampled.where(F.col("k") >= FREQUENT).orderBy(F.col("k").desc(), "sig").limit(HOT).collect()]
+    found = None
+    if hot:
+        few = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], "sig long"))
+        crowd = rows.join(few, "sig")
+        hubs = crowd.groupBy("sig").agg(F.min("id").alias("hub"))  # combined before the shuffle, at most HOT rows
+        found = crowd.join(F.broadcast(hubs), "sig").select("hub", "id")
+        rows = rows.join(few, "sig", "left_anti")
+    dealt = rows.select("sig", "id").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, schema)
+    return (dealt.unionByName(found) if found is not None else dealt).where("hub != id").distinct()
 
 
 class _Index:
@@ -298,6 +340,33 @@ def _block_links(dealt: DataFrame, words: int, percent: int, id_type: T.DataType
     return dealt.select("hub", "block", "role", "id", "comp", "text").mapInArrow(run, schema)
 
 
+def _next_signatures(dealt: DataFrame, words: int, percent: int, id_type: T.DataType) -> DataFrame:
+    """(sig, id, apart) from blocks in which ``comp`` is set for members that are apart from their hub."""
+    schema = T.StructType([T.StructField("hub", id_type), T.StructField("token", T.LongType()), T.StructField("id", id_type), T.StructField("apart", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub_set = np.zeros(0, _U)
+        for batch in batches:
+            cols = [batch.column(k) for k in range(6)]
+            owner, tokens = [], []
+            for k in range(batch.num_rows):
+                s = shingle_set(cols[5][k].as_py(), words)
+                if cols[2][k].as_py() == 0:
+                    hub_set = s
+                    continue
+                shared = np.isin(s, hub_set, assume_unique=True)
+                got = _prefix(np.concatenate([s[~shared], s[shared]]), percent)
+                owner.append(np.full(len(got), k))
+                tokens.append(got)
+            if owner:
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([cols[0].take(at), pa.array(np.concatenate(tokens).view(np.int64)), cols[3].take(at), cols[4].take(at).is_valid()], schema.names)
+        release()
+
+    rows = dealt.select("hub", "block", "role", "id", "comp", "text").mapInArrow(run, schema)
+    return rows.select(F.xxhash64("hub", "token").alias("sig"), "id", "apart")
+
+
 def _pairs(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -308,7 +377,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of ``edges`` (a, b) reaches.
 
     Alternating large-star and small-star steps until nothing changes; each
-    result is written, so lineage stays short and no step is done twice.
+    result is written, so lineage stays short and no step is done twice.  Rows
+    of an id with more than a thousandth of all edges are dealt to several tasks.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     scratch = Scratch(edges.sparkSession, "components")
@@ -317,22 +387,37 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(current.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if state == before or not state[0]:
             break
-        before = state
+        before, many = state, max(1000, state[0] // 500)
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.write(large.where("a != b").distinct(), "edges")
-        scratch.drop(current)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        met = _meet(both.where("b > a"), least.select("a", F.least("a", "m").alias("m"), "n"), many)
+        large = scratch.write(met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "edges")
+        scratch.drop(current, least)
+        low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = _meet(large, low, many).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
-        scratch.drop(large)
+        scratch.drop(large, low)
     return current.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
+def _meet(rows: DataFrame, facts: DataFrame, many: int) -> DataFrame:
+    """``rows`` (a, b) with the one fact (m, n) of ``a``; the rows of an ``a`` with n > ``many`` go to ``SALT`` tasks.
+
+    Fewer than a thousand ids are so frequent, as ``many`` is a share of all rows; they alone are broadcast.
+    """
+    crowded = F.broadcast(facts.where(F.col("n") > many).select("a", F.lit(True).alias("hot")))
+    salted = rows.join(crowded, "a", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")).otherwise(0)).drop("hot")
+    copies = F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(facts.withColumn("salt", F.explode(copies)), ["a", "salt"])
+
+
 def _deal(texts: DataFrame, units: DataFrame) -> DataFrame:
-    """The texts of (hub, block, role, id, comp) units, together and in order."""
-    one = units.groupBy("id").agg(F.collect_set(F.struct("hub", "block", "role", "comp")).alias("in"))
+    """The texts of (hub, block, role, id, comp) units, together and in order.
+
+    A text travels once for all units of its id, but a hub's in rows of at most ``HUB_BLOCKS`` blocks.
+    """
+    group = F.when(F.col("role") == 1, F.lit(0)).otherwise(F.floor(F.col("block") / HUB_BLOCKS))
+    one = units.groupBy("id", group.alias("group")).agg(F.collect_set(F.struct("hub", "block", "role", "comp")).alias("in"))
     rows = texts.join(one, "id").select("id", "text", F.explode("in").alias("u")).select("u.*", "id", "text")
     return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "role", "id")
 
@@ -359,60 +444,108 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     scratch = Scratch(df.sparkSession, "ngram_join")
     table = scratch.write(digest(df, words, percent, id_col, text_col), "digests")
-    id_type = table.schema["id"].dataType
+    links, texts = _links(df, table, scratch, words, percent, id_col, text_col, block)
 
-    families = scratch.write(_families(table), "families")
-    sizes = families.groupBy("hub").agg(F.count("*").alias("m")).where(F.col("m") > block).select("hub", F.ceil(F.col("m") / block).alias("many"))
+    # Equal sets: of each key with several rows, the smallest id.  The others' links are that id's.
+    equal = table.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    copies = _salted(table.select("id", "key"), equal, "key", "inner").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    # Copies matter to components only where one of them has links of its own, or another text under its id.
+    twofold = table.where("key IS NOT NULL").groupBy("id").agg((F.min("key") != F.max("key")).alias("two")).where("two").select("id")
+    linked = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).unionByName(twofold).distinct()
+    known = components(links.unionByName(copies.join(linked, F.col("a") == F.col("id"), "left_semi")))
+    scratch.drop(*texts)
+    # A group of equal sets learns its component by its smallest id, before it is spread to the group's rows.
+    groups = equal.join(known.withColumnRenamed("id", "least"), "least", "left").select("key", F.coalesce("component", "least").alias("of_group"))
+    rows = _salted(table.select("id", "n", "key"), groups, "key", "left").join(known, "id", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("of_group", "component", "id").alias("component_id"))
+
+
+def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percent: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that connect all documents that links connect, equal sets apart, and the tables to drop at last."""
+    id_type = table.schema["id"].dataType
     nowhere = F.lit(None).cast(id_type)
-    dealt = _salted(families, sizes, "hub", "left").select("hub", "id", F.coalesce("many", F.lit(1).cast("long")).alias("blocks"))
-    dealt = scratch.write(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "blocks")
-    scratch.drop(families)
-    members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", nowhere.alias("comp"))
-    hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), nowhere.alias("comp")).distinct()
-    # All texts are shuffled once, to keep those of families.  Either side may be of any size, so neither is broadcast.
-    ids = dealt.select("id").unionByName(dealt.select(F.col("hub").alias("id"))).distinct()
-    texts = df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
-    texts = scratch.write(texts, "texts")
-    links = first = scratch.write(_block_links(_deal(texts, members.unionByName(hubs)), words, percent, id_type, False), "links")
-    done = [first, dealt, texts]
-
-    large = dealt.where("blocks > 1")
-    if large.limit(1).count():
+    weight = table.groupBy("id").agg(F.max("n").alias("n"))
+    rows = table.select(F.explode("sigs").alias("sig"), "id")
+    texts, links, done, spent = None, None, [], []
+    for level in range(LEVELS + 1):
+        families = scratch.write(_families(rows), "families")
+        scratch.drop(*spent)
+        many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_ELEMENTS))
+        sizes = families.join(weight, "id").groupBy("hub").agg(many.alias("many")).where("many > 1")
+        dealt = _salted(families, sizes, "hub", "left").select("hub", "id", F.coalesce("many", F.lit(1).cast("long")).alias("blocks"))
+        dealt = scratch.write(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "blocks")
+        scratch.drop(families)
+        spent = [dealt]
+        members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", nowhere.alias("comp"))
+        hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), nowhere.alias("comp")).distinct()
+        if texts is None:
+            # All texts are shuffled once, to keep those of families.  Either side may be of any size, so neither is broadcast.
+            ids = dealt.select("id").unionByName(dealt.select(F.col("hub").alias("id"))).distinct()
+            texts = scratch.write(df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi"), "texts")
+            done.append(texts)
+        new = scratch.write(_block_links(_deal(texts, members.unionByName(hubs)), words, percent, id_type, False), "links")
+        done.append(new)
+        links = links.unionByName(new) if links is not None else new
+
+        large = dealt.where("blocks > 1")
+        if not large.limit(1).count():
+            break
         known = components(links)
-        hub_comp = large.select("hub").distinct().join(known.withColumnsRenamed({"id": "hub", "component": "hub_comp"}), "hub")
+        hub_comp = large.select("hub").distinct().join(known.withColumnsRenamed({"id": "hub", "component": "hub_comp"}), "hub", "left")
         labelled = _salted(large, hub_comp, "hub", "left").join(known, "id", "left")
         labelled = labelled.select("hub", "id", "block", "blocks", F.coalesce("component", "id").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
         labelled = scratch.write(labelled, "labelled")
+        spent.append(labelled)
         apart = labelled.where("comp != hub_comp")
+        open_hubs = apart.select("hub").distinct()
+        targets = _salted(labelled, open_hubs, "hub", "left_semi")
+        if not apart.limit(1).count():
+            break
+        if level < LEVELS:
+            away = F.when(F.col("comp") != F.col("hub_comp"), F.col("comp"))
+            units = targets.select("hub", "block", F.lit(1).alias("role"), "id", away.alias("comp"))
+            units = units.unionByName(hubs.join(open_hubs, "hub", "left_semi"))
+            tokens = scratch.write(_next_signatures(_deal(texts, units), words, percent, id_type), "tokens")
+            spent.append(tokens)
+            # Only what a member that is apart has can tell anything new.
+            rows = tokens.select("sig", "id").join(tokens.where("apart").select("sig").distinct(), "sig", "left_semi")
+            continue
         probes = apart.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"), "block", "id", "comp").where("to != block")
         probes = probes.select("hub", F.col("to").alias("block"), F.lit(2).alias("role"), "id", "comp")
-        targets = _salted(labelled, apart.select("hub").distinct(), "hub", "left_semi").select("hub", "block", F.lit(1).alias("role"), "id", "comp")
-        more = _block_links(_deal(texts, targets.unionByName(probes)), words, percent, id_type, True)
-        more = scratch.write(more, "links")
+        targets = targets.select("hub", "block", F.lit(1).alias("role"), "id", "comp")
+        more = scratch.write(_block_links(_deal(texts, targets.unionByName(probes)), words, percent, id_type, True), "links")
         links = links.unionByName(more)
-        done += [labelled, more]
+        done.append(more)
+    scratch.drop(*spent)
+    return links, done
 
-    # Equal sets: of each key with several rows, the smallest id.  The others' links are that id's.
-    equal = table.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    rows = _salted(table.select("id", "n", "key"), equal, "key", "left").select("id", "n", F.coalesce("least", "id").alias("least"))
-    copies = rows.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    linked = links.select("a").unionByName(links.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
-    # Copies matter to components only where one of them has links of its own.
-    edges = links.unionByName(copies.join(linked, F.col("a") == F.col("id"), "left_semi"))
-    known = components(edges)
-    scratch.drop(*done)
-    out = rows.join(known.withColumnRenamed("id", "least"), "least", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component_id"))
-
-
-def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """The rows of ``df``, with its columns, one of each component: that with the smallest id.
 
-    Of repeated rows with one id, one stays.  Rows with a null id stay.  Other
-    edge cases as in :func:`similar_documents`.
+    Of repeated rows with one id, one stays: the one with the longest text, of
+    equally long ones that with the largest.  With ``by_text``, rows of one id
+    with different texts are documents of their own, and only rows equal in id
+    and text count as repeated.  Rows with a null id stay.  Other edge cases as
+    in :func:`similar_documents`.
     """
+    own, text = F.col(f"`{id_col}`"), text_bytes(text_col)
+    seen = df.where(own.isNotNull()).groupBy(own.alias("id")).agg(F.count("*").alias("n"), F.min(F.xxhash64(text)).alias("low"), F.max(F.xxhash64(text)).alias("high"))
+    repeated, twofold = seen.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.bool_or(F.col("low") != F.col("high")), F.lit(False))).first()
+    if by_text and twofold:
+        # An id that sorts as the given one does, then the text's digest.
+        whole = isinstance(df.schema[id_col].dataType, T.IntegralType)
+        front = F.unhex(F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")) if whole else F.concat(own.cast("string").cast("binary"), F.lit(b"\0"))
+        key = fresh_name(df, "row_key")
+        keyed = df.withColumn(key, F.concat(front, F.unhex(F.md5(text))))
+        return one_of_each(keyed, words, percent, key, text_col).drop(key)
     found = similar_documents(df, words, percent, id_col, text_col)
     mark = fresh_name(df, "kept_id")
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
-    rows = df.join(keep, F.col(f"`{id_col}`") == F.col(mark), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(df.where(F.col(f"`{id_col}`").isNull()))
+    rows = df.join(keep, own == F.col(mark), "left_semi")
+    if twofold:
+        last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(F.length(text), text)).alias("r")
+        rows = rows.groupBy(own.alias("id")).agg(last).select("r.*")
+    elif repeated:
+        rows = rows.dropDuplicates([id_col])
+    return rows.unionByName(df.where(own.isNull()))
