@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links by five-word shingles and a similarity of 0.8 or more."""
-    return ngram_join.one_of_each(docs, words=5, percent=80)
+    """One document of each group that links by five-word shingles and a similarity of 0.8 or more; texts that share an id are documents of their own."""
+    return ngram_join.one_of_each(docs, words=5, percent=80, by_text=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
