@@ -73,9 +73,14 @@ class WordIds:
     model, all of a text's in one call.  Each piece ends in the one token with a
     word end, which tells the pieces' ids apart.  Words that aren't plain Latin
     text go through the whole tokenizer one by one.
+
+    With ``special`` the tokenizer's special tokens that are written out in a
+    text (such as an end mark) get their own ids, as the tokenizer does unless
+    told otherwise; without it they are text.  Only a text that holds one goes
+    through the whole tokenizer at once.
     """
 
-    def __init__(self, tokenizer_path: str, words_held: int = WORDS_HELD) -> None:
+    def __init__(self, tokenizer_path: str, words_held: int = WORDS_HELD, special: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -90,6 +95,7 @@ class WordIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        self.special = [a.content.encode() for a in self.model.get_added_tokens_decoder().values() if a.special] if special else []
 
     @cached_property
     def tokenizer(self):
@@ -101,6 +107,11 @@ class WordIds:
         return whole
 
     def __call__(self, data: bytes) -> bytes:
+        if any(x in data for x in self.special):
+            self.tokenizer.encode_special_tokens = False
+            ids = self._ids(self.tokenizer, data.decode("utf-8", "replace"))
+            self.tokenizer.encode_special_tokens = True
+            return np.asarray(ids, "<u4").tobytes()
         words = data.split()
         ids = list(map(self.words.young.get, words))
         if None in ids:
@@ -149,11 +160,11 @@ class WordIds:
         return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
-def word_ids(tokenizer_path: str, words_held: int = WORDS_HELD) -> WordIds:
+def word_ids(tokenizer_path: str, words_held: int = WORDS_HELD, special: bool = False) -> WordIds:
     """The worker's tokenizer for a file."""
-    loaded, key = held("packing"), (tokenizer_path, words_held)
+    loaded, key = held("packing"), (tokenizer_path, words_held, special)
     if key not in loaded:
-        loaded[key] = WordIds(tokenizer_path, words_held)
+        loaded[key] = WordIds(tokenizer_path, words_held, special)
     return loaded[key]
 
 
@@ -172,6 +183,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     words_held: int = WORDS_HELD,
+    special: bool = False,
 ) -> DataFrame:
     """Per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``bucket``, [``ids``], ``sequence_id``, ``offset``.
 
@@ -182,7 +194,8 @@ def pack_documents(
     result; write the result before reading it twice, as rereading other files
     may number sequences otherwise.  ``ids_crc32`` is of little-endian unsigned
     32-bit ids.  ``words_held`` bounds what a worker remembers (about 350 bytes a
-    word), and with it memory; fewer take more time.
+    word), and with it memory; fewer take more time.  ``special``: whether special
+    tokens that a text writes out get their own ids (see :class:`WordIds`).
 
     Null or empty text: the end id alone, or no piece where that is None.
     Repeated rows and null ids: their own pieces.  Empty table: no row.  Columns
@@ -192,7 +205,7 @@ def pack_documents(
         raise ValueError("longest must be a power of two")
 
     def make():
-        ids_of = word_ids(tokenizer_path, words_held)
+        ids_of = word_ids(tokenizer_path, words_held, special)
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
         def one(data: bytes) -> list[tuple]:
@@ -213,5 +226,8 @@ def pack_documents(
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Writes sequences as Parquet, one folder a bucket, so that a reader takes equal lengths together."""
+    """Writes sequences as Parquet, one folder a bucket, so that a reader takes equal lengths together.
+
+    Empty table: no folder of a bucket.  Repeated sequences are written as often as they occur; an existing path is an error.
+    """
     packed.write.partitionBy("bucket").parquet(path)

@@ -19,8 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as padding-free power-of-two sequences of at most 2048 tokens."""
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORDS, 2048, 1, with_ids=False)
+    """All documents as padding-free power-of-two sequences of at most 2048 tokens, by the tokenizer as its file sets it up."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORDS, 2048, 1, with_ids=False, special=True)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,3 +211,20 @@ def test_sniffing_and_carving(spark):
     assert (got[2].media_type, got[2].corrected) == ("gif", False)
     assert [(c.type, bytes(c.data)) for c in got[2].carved] == [("wav", s["wav"])]
     assert all(got[k].media_type is None and not got[k].corrected and got[k].carved == [] for k in (3, 4, 5))
+
+
+def test_special_tokens_written_out(spark):
+    t = Tokenizer.from_file(WORDS)  # as its file sets it up: the contract's call sets add_special_tokens alone
+    texts = [(1, "a <|endoftext|> b"), (2, "x<|startoftext|>y<|endoftext|>"), (3, "<|endoftext|>" * 3 + " é漢 " + LONG), (4, "<|ENDOFTEXT|> <|end"), (5, None), (6, "plain")]
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in texts}
+    got = {}
+    for r in sorted(packing.pack_documents(docs(spark, texts), WORDS, special=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] = got.get(r.doc_id, []) + list(r.ids)
+    assert got == want and any(i > 49000 for i in want[1])
+
+
+def test_quality_bits_of_a_struct(spark):
+    row = spark.createDataFrame([(1, "a b c " * 40)], "doc_id long, text string")
+    ledger = quality.quality_ledger(row).first()
+    packed = quality.quality_ledger(row).selectExpr("struct(*) AS `my m`")
+    assert packed.select(quality.failed_bits("my m").alias("f")).first().f == ledger.failed > 0
