@@ -11,6 +11,7 @@ A word is a maximal run of bytes other than space and 0x09-0x0D.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -86,18 +87,19 @@ def quality_ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumn("failed", failed_bits())
 
 
-def failed_bits() -> Column:
-    """The ledger's bitmask from the measurements."""
-    bits = [F.when(F.expr(condition), F.lit(BIT[name])).otherwise(F.lit(0)) for name, condition in RULES]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
+def failed_bits(struct: str | None = None) -> Column:
+    """The ledger's bitmask from the measurements, columns or fields of the column ``struct``."""
+    total = None
+    for name, condition in RULES:
+        test = F.expr(condition if struct is None else re.sub(rf"\b({'|'.join(n for n, _ in MEASURES)})\b", rf"`{struct}`.\1", condition))
+        bit = F.when(test, F.lit(BIT[name])).otherwise(F.lit(0))
+        total = bit if total is None else total.bitwiseOR(bit)
     return total.cast("long")
 
 
-def apply_policy(ledger: DataFrame, policy: str = DEFAULT_POLICY, as_col: str = "kept") -> DataFrame:
+def apply_policy(ledger: DataFrame, policy: str = DEFAULT_POLICY, as_col: str = "kept", bits_col: str = "failed") -> DataFrame:
     """The ledger with ``as_col``: true where no rule of ``policy`` failed."""
-    return ledger.withColumn(as_col, F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)
+    return ledger.withColumn(as_col, F.col(f"`{bits_col}`").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
 def ablations(ledger: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
@@ -126,15 +128,6 @@ def keep_quality(df: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "t
         return pd.DataFrame([measure(x) for x in texts], columns=[n for n, _ in MEASURES])
 
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"").cast("binary"))
-    out = df.withColumn(name, measured(raw))
-    test = F.lit(False)
-    for rule in POLICIES[policy]:
-        test = test | F.expr(_qualified(dict(RULES)[rule], name))
-    return out.where(~test).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def _qualified(condition: str, struct: str) -> str:
-    import re
-
-    names = "|".join(n for n, _ in MEASURES)
-    return re.sub(rf"\b({names})\b", rf"`{struct}`.\1", condition)
+    bits = fresh_name(df, "failed_bits")
+    out = df.withColumn(name, measured(raw)).withColumn(bits, failed_bits(name))
+    return apply_policy(out, policy, name, bits).where(F.col(f"`{name}`")).select(*[F.col(f"`{c}`") for c in df.columns])
