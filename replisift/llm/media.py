@@ -7,6 +7,11 @@ What stands at offset 0 corrects a declared type; what stands elsewhere, outside
 media already found, is carved.
 
 ``store_samples`` keeps any bytes as an 8-bit greyscale PNG, 64 samples a row.
+``text_media`` stores texts that way in a record with a header that declares some
+type, and what it reads back is what sniffing carves from the record: the carved
+bytes, their confirmed type and the correction of the declared one.
+
+FLAC data has no length in its header, so a FLAC file is taken to reach to the end.
 """
 
 from __future__ import annotations
@@ -119,7 +124,10 @@ def _riff(data, at: int) -> tuple[str, int] | None:
 def _pdf(data, at: int) -> tuple[str, int] | None:
     if at + 8 > len(data) or not (48 <= data[at + 5] <= 57 and data[at + 6] == 46 and 48 <= data[at + 7] <= 57):
         return None
-    end = data.find(b"%%EOF", at)
+    # Updates append end marks, so the last one counts, before the next header: each byte is searched for one header only.
+    until = data.find(b"%PDF-", at + 5)
+    until = len(data) if until < 0 else until
+    end = data.rfind(b"%%EOF", at, until)
     return ("pdf", end + 5 - at) if end > 0 and data.find(b"startxref", at, end) > 0 else None
 
 
@@ -143,7 +151,12 @@ def _mp4(data, at: int) -> tuple[str, int] | None:
     pos, kinds = at, []
     while pos + 8 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, pos)
-        if n < 8 or pos + n > len(data) or not kind.isalnum():
+        least = 8
+        if n == 1 and pos + 16 <= len(data):  # a 64-bit size follows
+            (n,), least = struct.unpack_from(">Q", data, pos + 8), 16
+        elif n == 0 and kind == b"mdat":  # the last box may go to the end
+            n = len(data) - pos
+        if n < least or pos + n > len(data) or not kind.isalnum():
             break
         kinds.append(kind)
         pos += n
@@ -206,6 +219,27 @@ def read_samples(media: bytes) -> bytes:
     return raw[:, 1:].tobytes()
 
 
+#: The header of a record, before and after the type that it declares, and what ends it.
+RECORD = (b"Content-Type: ", b"\r\n\r\n", b"\r\n--\r\n")
+#: What records of texts declare; the sniffed type corrects it.
+DECLARED = "text"
+
+
+def record(media: bytes, declared: str) -> bytes:
+    """``media`` in a record that declares a type."""
+    return RECORD[0] + declared.encode() + RECORD[1] + media + RECORD[2]
+
+
+def read_record(sniff: Sniffer, data: bytes) -> tuple[str, str, bytes]:
+    """(declared type, confirmed type, carved media) of a record; the media is where sniffing finds it."""
+    declared = data[len(RECORD[0]) : data.index(RECORD[1])].decode()
+    found = sniff.find(data)
+    if not found:
+        raise ValueError("the record holds no medium")
+    kind, at, size = found[0]
+    return declared, kind, data[at : at + size]
+
+
 def _padded(data: bytes) -> bytes:
     return data + bytes(ROW * max(1, -(-len(data) // ROW)) - len(data))
 
@@ -219,12 +253,13 @@ def sniffer() -> Sniffer:
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Stores every text as a media column and reads it back.
+    """Stores every text as a medium in a record, carves it from there and reads it back.
 
     Per row: id, ``n_bytes``, ``payload_bytes``, ``payload_sha256`` and
-    ``tail_crc32`` (of what was read back from the stored form), ``media_bytes``,
-    ``media_sha256``, ``feature`` and [``media``].  ``feature`` holds the sniffed
-    type of the stored form, its rows, mean sample and the carved media of the
+    ``tail_crc32`` (of what was read back from the carved form), ``media_bytes``,
+    ``media_sha256`` (of the carved form), ``feature``, ``declared_type``,
+    ``media_type`` (confirmed), ``corrected`` and [``media``].  ``feature`` holds
+    the confirmed type, the rows, mean sample and the carved media of the
     payload as ``type@offset+length``.
 
     Null or empty text: 64 zero bytes.  Repeated rows and null ids: a row each,
@@ -236,19 +271,17 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         sniff = sniffer()
 
         def one(data: bytes) -> list[tuple]:
-            media = store_samples(_padded(data))
-            (kind, at, size) = (sniff.find(media) or [("unknown", 0, 0)])[0]
-            if (kind, at, size) != ("png", 0, len(media)):
-                raise ValueError("the stored form isn't what was written")
+            declared, kind, media = read_record(sniff, record(store_samples(_padded(data)), DECLARED))
             back = read_samples(media)
             carved = ",".join(f"{k}@{a}+{n}" for k, a, n in sniff.find(back))
             feature = f"type={kind};rows={len(back) // ROW};mean={sum(back) // len(back)};carved={carved}"
-            row = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+            row = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature, declared, kind, declared != kind)
             return [(*row, media) if with_media else row]
 
         return one
 
     out = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+    out += [("declared_type", "string"), ("media_type", "string"), ("corrected", "boolean")]
     return map_texts(df, make, out + [("media", "binary")] * with_media, id_col, text_col)
 
 
