@@ -40,8 +40,6 @@ IDENTITY = [
     "old young elderly blind deaf disabled",
     "german germans french english spanish american americans mexican mexicans polish turkish",
 ]
-_KINDS = [frozenset(line.split()) for line in IDENTITY]
-KIND = {term: k for k, terms in enumerate(_KINDS) for term in terms}
 
 #: Everything in ASCII but letters parts words.
 _BREAK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -58,13 +56,12 @@ def features_of(word: bytes) -> list[bytes]:
     return [word] + [b"^" + text[:n].encode() for n in PREFIXES if len(text) >= n]
 
 
-def swaps(words: set[bytes]) -> list[tuple[bytes, bytes]]:
+def swaps(words: set[bytes], identity: list[str] = IDENTITY) -> list[tuple[bytes, bytes]]:
     """(term, other term of its kind that isn't there) for the identity terms among words, at most four each."""
     out = []
-    for w in sorted(words):
-        term = w.decode("utf-8", "replace")
-        if term in KIND:
-            others = sorted(t for t in _KINDS[KIND[term]] - {term} if t.encode() not in words)
+    for terms in (frozenset(line.split()) for line in identity):
+        for w in sorted(t for t in (x.encode() for x in terms) if t in words):
+            others = sorted(t for t in terms if t.encode() not in words)
             out += [(w, t.encode()) for t in others[:: max(1, len(others) // 4)][:4]]
     return out
 
@@ -75,6 +72,7 @@ class Model:
 
     bias: float
     weights: dict[bytes, float]
+    n_swaps: int = 0
 
     def scorer(self):
         """A function of a text's bytes that gives its score."""
@@ -101,10 +99,12 @@ class Model:
         return score
 
 
-def fit(rows: list[tuple[bytes, int]], l1: float = 0.008, swap_weight: float = 1.0, steps: int = 300) -> Model:
+def fit(rows: list[tuple[bytes, int]], l1: float = 0.008, swap_weight: float = 1.0, steps: int = 300, identity: list[str] = IDENTITY) -> Model:
     """Fits the model to (text, label) rows by proximal gradient steps; the same rows give the same model.
 
     The L1 penalty is ``l1`` over the square root of the number of rows.
+    ``identity``: the terms that are swapped, a kind a line; the model tells how
+    many swaps the rows had (``n_swaps``).
 
     Without rows of both labels the model is the constant rate of label 1 (0 without rows).
     """
@@ -133,7 +133,7 @@ def fit(rows: list[tuple[bytes, int]], l1: float = 0.008, swap_weight: float = 1
     for text, _ in rows:
         words = words_of(text)
         found.append(np.array(sorted({place[f] for w in words for f in features_of(w) if f in place}), np.int32))
-        moved += [(set(features_of(a)), set(features_of(b))) for a, b in swaps(words)]
+        moved += [(set(features_of(a)), set(features_of(b))) for a, b in swaps(words, identity)]
     at, col = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
     deltas = [(i, place[f], s) for i, (out, into) in enumerate(moved) for f, s in [*((f, -1.0) for f in out - into), *((f, 1.0) for f in into - out)] if f in place]
     d_at, d_col, d_sign = (np.array([d[k] for d in deltas], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
@@ -161,7 +161,7 @@ def fit(rows: list[tuple[bytes, int]], l1: float = 0.008, swap_weight: float = 1
         shrink = lr * l1 / math.sqrt(n) / np.maximum(metric, 1e-4)
         w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
         b -= 2.0 * gb
-    return Model(float(b), {f: float(x) for f, x in zip(chosen, w, strict=True) if x})
+    return Model(float(b), {f: float(x) for f, x in zip(chosen, w, strict=True) if x}, len(moved))
 
 
 def held_out(id_col: str) -> Column:
@@ -169,7 +169,7 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, identity: list[str] = IDENTITY) -> Model:
     """Fits a model to labelled rows that aren't held out.
 
     Of a row's contradicting labels the larger counts.  Null ids, labels and
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     few = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.length("t") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(few), "id").select("id", F.col("t").cast("binary"), F.col("y").cast("int")).orderBy("id", "t").limit(sample).collect()
-    return fit([(bytes(r[1]), int(r[2] > 0)) for r in rows])
+    return fit([(bytes(r[1]), int(r[2] > 0)) for r in rows], identity=identity)
 
 
 def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
