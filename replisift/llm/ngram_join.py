@@ -30,13 +30,13 @@ From signatures to links, without ever forming all pairs of a group:
    gets its texts and its hub's, and is compared exactly on its own: first all
    with the hub, then only those that aren't connected yet.  A family of copies
    of its hub thus costs one comparison a member.
-4. Families of several blocks with members that the hub's component lacks go to
-   the next level: there members emit their prefixes by an order of the family,
-   in which the hub's elements come last (what a family shares without linking,
-   such as a passage that all quote, is in the hub).  The prefixes are signatures
-   for step 2 again, without the hub.  Unrelated members part there, in work that
-   is linear in the family.  After ``LEVELS`` levels, what is still in families of
-   several blocks and unconnected is compared with the other blocks, which stream by.
+4. In a family of several blocks some members may not be connected with the hub
+   within their block.  If meeting all other blocks takes them no more meetings
+   than the family has members, they stream past these.  Otherwise members
+   emit their prefixes by an order of the family, in which the hub's elements
+   come last (what a family shares without linking, such as a passage that all
+   quote, is in the hub).  These prefixes are signatures for step 2 again, without
+   the hub; unrelated members part there.  After ``LEVELS`` levels all stream.
 5. Links (a spanning forest from each block) and equal sets give components by
    alternating large-star and small-star steps, each written to the shared folder.
 """
@@ -55,12 +55,14 @@ from ._common import Scratch, fresh_name, held, release, ship, text_bytes
 
 #: s as a share of k + 1, the ratio of a band's ends, the largest k for which pairs of parts are enumerated.
 SPARE, BAND_RATIO, SMALL_K = 0.4, 1.5, 3
-#: Members and set elements of a block, and levels of prefixes before blocks are streamed past each other.
+#: Members and set elements of a block, and levels of prefixes.
 BLOCK, BLOCK_ELEMENTS, LEVELS = 256, 2_000_000, 3
 #: A signature counts as very frequent by so many rows in a sample of one in ``SAMPLED``; at most ``HOT`` are treated apart.
 SAMPLED, FREQUENT, HOT = 128, 32, 1000
 #: Groups that rows of one key are dealt into where they meet what is known of it, and blocks whose hub's text travels in one row.
 SALT, HUB_BLOCKS = 16, 64
+#: Edges of which a task can hold all.
+ONE_TASK = 1_000_000
 #: Keys of sets that a task remembers so as not to repeat signatures.
 SEEN = 200_000
 
@@ -281,27 +283,35 @@ class _Forest:
 
 
 def _compare_block(hub, members: list, words: int, percent: int) -> list[tuple]:
-    """A spanning forest of the links among a hub and a block's members, each (id, text)."""
-    sets = [shingle_set(t, words) for _, t in (hub, *members)]
-    ids = [i for i, _ in (hub, *members)]
-    index, forest, links = _Index(sets), _Forest(), []
+    """A spanning forest of the links among a hub and a block's members, as (a, b, False), and (hub, id, True) of members apart from the hub.
+
+    The hub is (id, text), members (id, large, text); only members of a large family are reported as apart.
+    """
+    sets = [shingle_set(x[-1], words) for x in (hub, *members)]
+    ids = [x[0] for x in (hub, *members)]
+    index, forest, out = _Index(sets), _Forest(), []
 
     def probe(k: int) -> None:
         ok = similar(index.common(sets[k]), len(sets[k]), index.sizes, percent)
         for j in np.flatnonzero(ok).tolist():
             if forest.join(k, j):
-                links.append((ids[k], ids[j]))
+                out.append((ids[k], ids[j], False))
 
     probe(0)
     for k in range(1, len(sets)):
         if forest.find(k) != forest.find(0):
             probe(k)
-    return links
+    out += [(hub[0], x[0], True) for k, x in enumerate(members, 1) if x[1] and forest.find(k) != forest.find(0)]
+    return out
 
 
 def _block_links(dealt: DataFrame, words: int, percent: int, id_type: T.DataType, streaming: bool) -> DataFrame:
-    """Links of blocks.  ``dealt``: (hub, block, role, id, comp, text) sorted; roles: 0 the hub, 1 a member, 2 a member of another block."""
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    """Links (a, b) of blocks, and with ``apart`` (hub, id).  ``dealt``: (hub, block, role, id, comp, text) sorted.
+
+    Roles: 0 the hub, 1 a member, 2 a member of another block.  ``comp``: what a member is known to be connected with,
+    or, where blocks are compared on their own, not null in a large family.
+    """
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("apart", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, hub, members, index, forest = None, None, [], None, None
@@ -321,7 +331,7 @@ def _block_links(dealt: DataFrame, words: int, percent: int, id_type: T.DataType
                 if role == 0:
                     hub = (one, cols[5][k].as_py())
                 elif role == 1 and not streaming:
-                    members.append((one, cols[5][k].as_py()))
+                    members.append((one, comp is not None, cols[5][k].as_py()))
                 elif role == 1:
                     members.append((one, comp, shingle_set(cols[5][k].as_py(), words)))
                 elif members:
@@ -330,11 +340,11 @@ def _block_links(dealt: DataFrame, words: int, percent: int, id_type: T.DataType
                     s = shingle_set(cols[5][k].as_py(), words)
                     for j in np.flatnonzero(similar(index.common(s), len(s), index.sizes, percent)).tolist():
                         if forest.join(comp, members[j][1]):
-                            out.append((one, members[j][0]))
+                            out.append((one, members[j][0], False))
             if out:
-                yield _pairs(out, schema)
+                yield _rows(out, schema)
         if out := close():
-            yield _pairs(out, schema)
+            yield _rows(out, schema)
         release()
 
     return dealt.select("hub", "block", "role", "id", "comp", "text").mapInArrow(run, schema)
@@ -367,7 +377,7 @@ def _next_signatures(dealt: DataFrame, words: int, percent: int, id_type: T.Data
     return rows.select(F.xxhash64("hub", "token").alias("sig"), "id", "apart")
 
 
-def _pairs(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+def _rows(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(to_arrow_schema(schema))], schema.names)
@@ -377,8 +387,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of ``edges`` (a, b) reaches.
 
     Alternating large-star and small-star steps until nothing changes; each
-    result is written, so lineage stays short and no step is done twice.  Rows
-    of an id with more than a thousandth of all edges are dealt to several tasks.
+    result is written, so lineage stays short and no step is done twice.
     """
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     scratch = Scratch(edges.sparkSession, "components")
@@ -387,28 +396,33 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(current.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if state == before or not state[0]:
             break
-        before, many = state, max(1000, state[0] // 500)
+        before = state
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        met = _meet(both.where("b > a"), least.select("a", F.least("a", "m").alias("m"), "n"), many)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        met = _meet(both.where("b > a"), least, 2 * state[0])
         large = scratch.write(met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "edges")
-        scratch.drop(current, least)
-        low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
-        small = _meet(large, low, many).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        scratch.drop(current)
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = _meet(large, low, state[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
-        scratch.drop(large, low)
+        scratch.drop(large)
     return current.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
-def _meet(rows: DataFrame, facts: DataFrame, many: int) -> DataFrame:
-    """``rows`` (a, b) with the one fact (m, n) of ``a``; the rows of an ``a`` with n > ``many`` go to ``SALT`` tasks.
+def _meet(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """``rows`` (a, b) with the one fact of ``a``; each ``a`` with more than a thousandth of many rows is dealt to ``SALT`` tasks.
 
-    Fewer than a thousand ids are so frequent, as ``many`` is a share of all rows; they alone are broadcast.
+    Fewer than a thousand are so frequent, and only these are collected.  Up to ``ONE_TASK`` rows in all suit any task.
     """
-    crowded = F.broadcast(facts.where(F.col("n") > many).select("a", F.lit(True).alias("hot")))
-    salted = rows.join(crowded, "a", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")).otherwise(0)).drop("hot")
-    copies = F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(facts.withColumn("salt", F.explode(copies)), ["a", "salt"])
+    if total <= ONE_TASK:
+        return rows.join(facts, "a")
+    hot = [r.a for r in rows.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > total // 1000).select("a").collect()]
+    if not hot:
+        return rows.join(facts, "a")
+    few = F.broadcast(rows.sparkSession.createDataFrame([(x, True) for x in hot], T.StructType([T.StructField("a", rows.schema["a"].dataType), T.StructField("hot", T.BooleanType())])))
+    salted = rows.join(few, "a", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")).otherwise(0)).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(facts.join(few, "a", "left").withColumn("salt", F.explode(copies)).drop("hot"), ["a", "salt"])
 
 
 def _deal(texts: DataFrame, units: DataFrame) -> DataFrame:
@@ -463,7 +477,6 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, id_col:
 def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percent: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) that connect all documents that links connect, equal sets apart, and the tables to drop at last."""
     id_type = table.schema["id"].dataType
-    nowhere = F.lit(None).cast(id_type)
     weight = table.groupBy("id").agg(F.max("n").alias("n"))
     rows = table.select(F.explode("sigs").alias("sig"), "id")
     texts, links, done, spent = None, None, [], []
@@ -476,8 +489,8 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
         dealt = scratch.write(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "blocks")
         scratch.drop(families)
         spent = [dealt]
-        members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", nowhere.alias("comp"))
-        hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), nowhere.alias("comp")).distinct()
+        members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", F.when(F.col("blocks") > 1, F.col("hub")).alias("comp"))
+        hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), F.lit(None).cast(id_type).alias("comp")).distinct()
         if texts is None:
             # All texts are shuffled once, to keep those of families.  Either side may be of any size, so neither is broadcast.
             ids = dealt.select("id").unionByName(dealt.select(F.col("hub").alias("id"))).distinct()
@@ -485,37 +498,38 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
             done.append(texts)
         new = scratch.write(_block_links(_deal(texts, members.unionByName(hubs)), words, percent, id_type, False), "links")
         done.append(new)
-        links = links.unionByName(new) if links is not None else new
+        found = new.where("NOT apart").select("a", "b")
+        links = links.unionByName(found) if links is not None else found
 
+        # Who is apart from the hub, family by family: a few meet the other blocks, many go to the next level.
+        apart = new.where("apart").groupBy(F.col("a").alias("hub")).agg(F.count("*").alias("k"))
         large = dealt.where("blocks > 1")
-        if not large.limit(1).count():
+        apart = apart.join(large.groupBy("hub").agg(F.count("*").alias("m"), F.max("blocks").alias("many")), "hub")
+        apart = scratch.write(apart.select("hub", ((F.col("k") * F.col("many") <= F.col("m")) | F.lit(level == LEVELS)).alias("few")), "apart")
+        spent.append(apart)
+        has_few, has_many = apart.agg(F.coalesce(F.bool_or("few"), F.lit(False)), F.coalesce(F.bool_or(~F.col("few")), F.lit(False))).first()
+        if not has_few and not has_many:
             break
-        known = components(links)
-        hub_comp = large.select("hub").distinct().join(known.withColumnsRenamed({"id": "hub", "component": "hub_comp"}), "hub", "left")
-        labelled = _salted(large, hub_comp, "hub", "left").join(known, "id", "left")
-        labelled = labelled.select("hub", "id", "block", "blocks", F.coalesce("component", "id").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
+        marks = new.where("apart").select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("apart"))
+        labelled = _salted(large, apart, "hub", "inner").join(marks, ["hub", "id"], "left")
         labelled = scratch.write(labelled, "labelled")
         spent.append(labelled)
-        apart = labelled.where("comp != hub_comp")
-        open_hubs = apart.select("hub").distinct()
-        targets = _salted(labelled, open_hubs, "hub", "left_semi")
-        if not apart.limit(1).count():
+        if has_few:
+            few = labelled.where("few").withColumn("comp", F.when(F.col("apart"), F.col("id")).otherwise(F.col("hub")))
+            probes = few.where("apart").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"), "block", "id", "comp").where("to != block")
+            units = few.select("hub", "block", F.lit(1).alias("role"), "id", "comp").unionByName(probes.select("hub", F.col("to").alias("block"), F.lit(2).alias("role"), "id", "comp"))
+            more = scratch.write(_block_links(_deal(texts, units), words, percent, id_type, True), "links")
+            links = links.unionByName(more.select("a", "b"))
+            done.append(more)
+        if not has_many:
             break
-        if level < LEVELS:
-            away = F.when(F.col("comp") != F.col("hub_comp"), F.col("comp"))
-            units = targets.select("hub", "block", F.lit(1).alias("role"), "id", away.alias("comp"))
-            units = units.unionByName(hubs.join(open_hubs, "hub", "left_semi"))
-            tokens = scratch.write(_next_signatures(_deal(texts, units), words, percent, id_type), "tokens")
-            spent.append(tokens)
-            # Only what a member that is apart has can tell anything new.
-            rows = tokens.select("sig", "id").join(tokens.where("apart").select("sig").distinct(), "sig", "left_semi")
-            continue
-        probes = apart.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"), "block", "id", "comp").where("to != block")
-        probes = probes.select("hub", F.col("to").alias("block"), F.lit(2).alias("role"), "id", "comp")
-        targets = targets.select("hub", "block", F.lit(1).alias("role"), "id", "comp")
-        more = scratch.write(_block_links(_deal(texts, targets.unionByName(probes)), words, percent, id_type, True), "links")
-        links = links.unionByName(more)
-        done.append(more)
+        crowd = labelled.where("NOT few")
+        units = crowd.select("hub", "block", F.lit(1).alias("role"), "id", F.when(F.col("apart"), F.col("id")).alias("comp"))
+        units = units.unionByName(hubs.join(apart.where("NOT few"), "hub", "left_semi"))
+        tokens = scratch.write(_next_signatures(_deal(texts, units), words, percent, id_type), "tokens")
+        spent.append(tokens)
+        # Only what a member that is apart has can tell anything new.
+        rows = tokens.select("sig", "id").join(tokens.where("apart").select("sig").distinct(), "sig", "left_semi")
     scratch.drop(*spent)
     return links, done
 

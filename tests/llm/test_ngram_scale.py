@@ -96,6 +96,7 @@ def test_texts_of_one_id(spark):
 
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(J, "SALT", 4)
+    monkeypatch.setattr(J, "ONE_TASK", 10)
     edges = [(k, 0) for k in range(1, 3000)] + [(k, k - 1) for k in range(5001, 5040)] + [(5000, 2000)]
     got = {r.id: r.component for r in J.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
     assert set(got.values()) == {0} and len(got) == 2999 + 40 - (0 in got) + (0 in got)
