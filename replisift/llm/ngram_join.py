@@ -31,7 +31,7 @@ From signatures to links, without ever forming all pairs of a group:
    with the hub, then only those that aren't connected yet.  A family of copies
    of its hub thus costs one comparison a member.
 4. In a family of several blocks some members may not be connected with the hub
-   within their block.  If meeting all other blocks takes them no more meetings
+   within their block, nor, where these are many, by all links so far.  If meeting all other blocks takes them no more meetings
    than the family has members, they stream past these.  Otherwise members
    emit their prefixes by an order of the family, in which the hub's elements
    come last (what a family shares without linking, such as a passage that all
@@ -502,16 +502,25 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
         links = links.unionByName(found) if links is not None else found
 
         # Who is apart from the hub, family by family: a few meet the other blocks, many go to the next level.
-        apart = new.where("apart").groupBy(F.col("a").alias("hub")).agg(F.count("*").alias("k"))
-        large = dealt.where("blocks > 1")
-        apart = apart.join(large.groupBy("hub").agg(F.count("*").alias("m"), F.max("blocks").alias("many")), "hub")
-        apart = scratch.write(apart.select("hub", ((F.col("k") * F.col("many") <= F.col("m")) | F.lit(level == LEVELS)).alias("few")), "apart")
+        marks, large = new.where("apart").select(F.col("a").alias("hub"), F.col("b").alias("id")), dealt.where("blocks > 1")
+        family = large.groupBy("hub").agg(F.count("*").alias("m"), F.max("blocks").alias("many"))
+        apart = scratch.write(_shares(marks, family), "apart")
         spent.append(apart)
-        has_few, has_many = apart.agg(F.coalesce(F.bool_or("few"), F.lit(False)), F.coalesce(F.bool_or(~F.col("few")), F.lit(False))).first()
+        has_few, has_many = _kinds(apart)
+        if has_many:
+            # What its own block doesn't connect with the hub other blocks and families may.
+            known = scratch.write(components(links), "known")
+            hub_comp = apart.select("hub").join(known.withColumnsRenamed({"id": "hub", "component": "hub_comp"}), "hub", "left")
+            marks = _salted(marks, hub_comp, "hub", "inner").join(known, "id", "left").where(F.coalesce("component", "id") != F.coalesce("hub_comp", "hub"))
+            marks = scratch.write(marks.select("hub", "id"), "marks")
+            apart = scratch.write(_shares(marks, family), "apart")
+            spent += [known, marks, apart]
+            has_few, has_many = _kinds(apart)
+        if level == LEVELS and has_many:
+            apart, has_few, has_many = apart.withColumn("few", F.lit(True)), True, False
         if not has_few and not has_many:
             break
-        marks = new.where("apart").select(F.col("a").alias("hub"), F.col("b").alias("id"), F.lit(True).alias("apart"))
-        labelled = _salted(large, apart, "hub", "inner").join(marks, ["hub", "id"], "left")
+        labelled = _salted(large, apart, "hub", "inner").join(marks.withColumn("apart", F.lit(True)), ["hub", "id"], "left")
         labelled = scratch.write(labelled, "labelled")
         spent.append(labelled)
         if has_few:
@@ -534,6 +543,16 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
     return links, done
 
 
+def _shares(marks: DataFrame, family: DataFrame) -> DataFrame:
+    """(hub, few) of families with members that are apart: whether these meet all other blocks in no more meetings than the family has members."""
+    return marks.groupBy("hub").agg(F.count("*").alias("k")).join(family, "hub").select("hub", (F.col("k") * F.col("many") <= F.col("m")).alias("few"))
+
+
+def _kinds(apart: DataFrame) -> tuple[bool, bool]:
+    """Whether any family has a few, and any many, members that are apart."""
+    return tuple(apart.agg(F.coalesce(F.bool_or("few"), F.lit(False)), F.coalesce(F.bool_or(~F.col("few")), F.lit(False))).first())
+
+
 def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """The rows of ``df``, with its columns, one of each component: that with the smallest id.
 
