@@ -26,13 +26,14 @@ From signatures to links, without ever forming all pairs of a group:
 2. Of each group that shares a signature, the smallest id is the hub, and members
    belong to that hub's family.  Every pair that shares a signature lies in one
    family.  Signatures with very many rows are reduced before they are shuffled.
+   A large family that mostly lies in another becomes part of that.
 3. Families are dealt into blocks, bounded by members and by elements.  A block
    gets its texts and its hub's, and is compared exactly on its own: first all
    with the hub, then only those that aren't connected yet.  A family of copies
    of its hub thus costs one comparison a member.
 4. In a family of several blocks some members may not be connected with the hub
-   within their block.  If meeting all other blocks takes them no more meetings
-   than the family has members, they stream past these.  Otherwise members
+   within their block.  If meeting all other blocks takes them at most ``STREAMED``
+   meetings for each member of the family, they stream past these.  Otherwise members
    emit their prefixes by an order of the family, in which the hub's elements
    come last (what a family shares without linking, such as a passage that all
    quote, is in the hub).  These prefixes are signatures for step 2 again, without
@@ -55,8 +56,8 @@ from ._common import Scratch, fresh_name, held, release, ship, text_bytes
 
 #: s as a share of k + 1, the ratio of a band's ends, the largest k for which pairs of parts are enumerated.
 SPARE, BAND_RATIO, SMALL_K = 0.4, 1.5, 3
-#: Members and set elements of a block, and levels of prefixes.
-BLOCK, BLOCK_ELEMENTS, LEVELS = 256, 2_000_000, 3
+#: Members and set elements of a block, levels of prefixes, and meetings a member of a family that streams.
+BLOCK, BLOCK_ELEMENTS, LEVELS, STREAMED = 256, 2_000_000, 3, 8
 #: A signature counts as very frequent by so many rows in a sample of one in ``SAMPLED``; at most ``HOT`` are treated apart.
 SAMPLED, FREQUENT, HOT = 128, 32, 1000
 #: Groups that rows of one key are dealt into where they meet what is known of it, and blocks whose hub's text travels in one row.
@@ -207,12 +208,16 @@ def digest(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
 
 
 def _families(rows: DataFrame) -> DataFrame:
-    """(hub, id): every id of ``rows`` (sig, id) that shares a signature with a smaller id, by that id, once."""
+    """(hub, id): every id of ``rows`` (sig, id) that shares a signature with a smaller id, by that id, once.
+
+    With a column ``apart``, ids that are apart come before others, and a signature that none of them has counts for nothing.
+    """
     id_type = rows.schema["id"].dataType
+    marked = "apart" in rows.columns
     schema = T.StructType([T.StructField("hub", id_type), T.StructField("id", id_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None  # signature and hub of the group that goes on
+        last, hub, tells = None, None, True  # signature and hub of the group that goes on, and whether it counts
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -224,7 +229,11 @@ def _families(rows: DataFrame) -> DataFrame:
             if goes_on.any():
                 n = int(goes_on.sum())
                 hubs = pa.concat_arrays([pa.concat_arrays([hub] * n), hubs.slice(n)])
-            member = pa.array(~new)
+            member = ~new
+            if marked:
+                counts = np.where(goes_on, tells, batch.column(2).to_numpy(zero_copy_only=False)[lead])
+                member, tells = member & counts, counts[-1]
+            member = pa.array(member)
             yield pa.RecordBatch.from_arrays([hubs.filter(member), ids.filter(member)], schema.names)
             last, hub = sig[-1], hubs.slice(len(sig) - 1, 1)
         release()
@@ -236,13 +245,54 @@ def _families(rows: DataFrame) -> DataFrame:
     if hot:
         few = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], "sig long"))
         crowd = rows.join(few, "sig")
-        hubs = crowd.groupBy("sig").agg(F.min("id").alias("hub"))  # combined before the shuffle, at most HOT rows
+        if marked:
+            crowd = crowd.join(F.broadcast(crowd.groupBy("sig").agg(F.bool_or("apart").alias("tells")).where("tells")), "sig")
+            least = F.coalesce(F.min(F.when(F.col("apart"), F.col("id"))), F.min("id"))
+        else:
+            least = F.min("id")
+        hubs = crowd.groupBy("sig").agg(least.alias("hub"))  # combined before the shuffle, at most HOT rows
         found = crowd.join(F.broadcast(hubs), "sig").select("hub", "id")
         rows = rows.join(few, "sig", "left_anti")
-    dealt = rows.select("sig", "id").repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, schema)
+    columns, order = (["sig", "id", "apart"], ["sig", F.desc("apart"), "id"]) if marked else (["sig", "id"], ["sig", "id"])
+    dealt = rows.select(*columns).repartition("sig").sortWithinPartitions(*order).mapInArrow(run, schema)
     return (dealt.unionByName(found) if found is not None else dealt).where("hub != id").distinct()
 
 
+def _sizes(families: DataFrame, weight: DataFrame, block: int) -> DataFrame:
+    """(hub, many): the blocks of families of more than one."""
+    many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_ELEMENTS))
+    return families.join(weight, "id").groupBy("hub").agg(many.alias("many")).where("many > 1")
+
+
+def _merged(families: DataFrame, weight: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """``families``, in which each large family that mostly lies in another large one is part of that.
+
+    Near copies of one text share many signatures by chance, so most of what
+    shares a rare one also lies in that text's family, where all its pairs are
+    looked at anyway.  A root is a large family whose hub is in no other.  A family
+    joins the first root that has its hub and at least half of its members: all
+    pairs of both still lie in one family, and no more rows are left than before.
+    """
+    large = scratch.write(_salted(families, _sizes(families, weight, block), "hub", "inner").select("hub", "id"), "large")
+    hubs = large.select("hub").distinct()
+    inside = large.select(F.col("hub").alias("into"), F.col("id").alias("hub")).join(hubs, "hub", "left_semi")
+    inside = scratch.write(inside, "inside")
+    if inside.isEmpty():
+        scratch.drop(large, inside)
+        return families
+    held_hubs = inside.select(F.col("hub").alias("into")).distinct()
+    roots = inside.join(held_hubs, "into", "left_anti").groupBy("hub").agg(F.min("into").alias("into"))
+    there = large.select(F.col("hub").alias("into"), "id", F.lit(True).alias("there"))
+    moved = scratch.write(_salted(large, roots, "hub", "inner").where("id != into").join(there, ["into", "id"], "left").select("hub", "id", "into", "there"), "moved")
+    joins = moved.groupBy("hub").agg((2 * F.count("there") >= F.count("*")).alias("joins")).where("joins")
+    joins = scratch.write(joins, "joins")
+    stay = _salted(families, joins, "hub", "left").where("joins IS NULL").select("hub", "id")
+    come = _salted(moved.where("there IS NULL"), joins, "hub", "inner").select(F.col("into").alias("hub"), "id").distinct()
+    out = scratch.write(stay.unionByName(come), "families")
+    scratch.drop(families, large, inside, moved, joins)
+    return out
+
+
 class _Index:
     """Common elements of a set with each of a block's sets."""
 
@@ -483,9 +533,8 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
     for level in range(LEVELS + 1):
         families = scratch.write(_families(rows), "families")
         scratch.drop(*spent)
-        many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_ELEMENTS))
-        sizes = families.join(weight, "id").groupBy("hub").agg(many.alias("many")).where("many > 1")
-        dealt = _salted(families, sizes, "hub", "left").select("hub", "id", F.coalesce("many", F.lit(1).cast("long")).alias("blocks"))
+        families = _merged(families, weight, block, scratch)
+        dealt = _salted(families, _sizes(families, weight, block), "hub", "left").select("hub", "id", F.coalesce("many", F.lit(1).cast("long")).alias("blocks"))
         dealt = scratch.write(dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "blocks")
         scratch.drop(families)
         spent = [dealt]
@@ -505,7 +554,7 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
         apart = new.where("apart").groupBy(F.col("a").alias("hub")).agg(F.count("*").alias("k"))
         large = dealt.where("blocks > 1")
         apart = apart.join(large.groupBy("hub").agg(F.count("*").alias("m"), F.max("blocks").alias("many")), "hub")
-        apart = scratch.write(apart.select("hub", ((F.col("k") * F.col("many") <= F.col("m")) | F.lit(level == LEVELS)).alias("few")), "apart")
+        apart = scratch.write(apart.select("hub", ((F.col("k") * F.col("many") <= STREAMED * F.col("m")) | F.lit(level == LEVELS)).alias("few")), "apart")
         spent.append(apart)
         has_few, has_many = apart.agg(F.coalesce(F.bool_or("few"), F.lit(False)), F.coalesce(F.bool_or(~F.col("few")), F.lit(False))).first()
         if not has_few and not has_many:
@@ -529,7 +578,7 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
         tokens = scratch.write(_next_signatures(_deal(texts, units), words, percent, id_type), "tokens")
         spent.append(tokens)
         # Only what a member that is apart has can tell anything new.
-        rows = tokens.select("sig", "id").join(tokens.where("apart").select("sig").distinct(), "sig", "left_semi")
+        rows = tokens
     scratch.drop(*spent)
     return links, done
 
