@@ -48,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -475,17 +475,23 @@ def _meet(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
     return salted.join(facts.join(few, "a", "left").withColumn("salt", F.explode(copies)).drop("hot"), ["a", "salt"])
 
 
-def _deal(texts: DataFrame, units: DataFrame) -> DataFrame:
-    """The texts of (hub, block, role, id, comp) units, together and in order.
-
-    A text travels once for all units of its id, but a hub's in rows of at most ``HUB_BLOCKS`` blocks.
-    """
+def _grouped(units: DataFrame) -> DataFrame:
+    """(id, group, in): the (hub, block, role, id, comp) units of each id, a hub's in rows of at most ``HUB_BLOCKS`` blocks."""
     group = F.when(F.col("role") == 1, F.lit(0)).otherwise(F.floor(F.col("block") / HUB_BLOCKS))
-    one = units.groupBy("id", group.alias("group")).agg(F.collect_set(F.struct("hub", "block", "role", "comp")).alias("in"))
-    rows = texts.join(one, "id").select("id", "text", F.explode("in").alias("u")).select("u.*", "id", "text")
+    return units.groupBy("id", group.alias("group")).agg(F.collect_set(F.struct("hub", "block", "role", "comp")).alias("in"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Texts with what ``_grouped`` tells of them, block by block and in order."""
+    rows = rows.select("id", "text", F.explode("in").alias("u")).select("u.*", "id", "text")
     return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "role", "id")
 
 
+def _deal(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """The texts of units, together and in order.  A text travels once for all units of its id, but a hub's once a group of blocks."""
+    return _spread(texts.join(_grouped(units), "id"))
+
+
 def _salted(rows: DataFrame, facts: DataFrame, key: str, how: str) -> DataFrame:
     """A join of rows (with ``id``) to one fact a key, in which a key with very many rows goes to ``SALT`` tasks."""
     copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -540,12 +546,16 @@ def _links(df: DataFrame, table: DataFrame, scratch: Scratch, words: int, percen
         spent = [dealt]
         members = dealt.select("hub", "block", F.lit(1).alias("role"), "id", F.when(F.col("blocks") > 1, F.col("hub")).alias("comp"))
         hubs = dealt.select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("id"), F.lit(None).cast(id_type).alias("comp")).distinct()
+        units = members.unionByName(hubs)
         if texts is None:
-            # All texts are shuffled once, to keep those of families.  Either side may be of any size, so neither is broadcast.
-            ids = dealt.select("id").unionByName(dealt.select(F.col("hub").alias("id"))).distinct()
-            texts = scratch.write(df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi"), "texts")
-            done.append(texts)
-        new = scratch.write(_block_links(_deal(texts, members.unionByName(hubs)), words, percent, id_type, False), "links")
+            # All texts are shuffled once, to where the first level's units are.  Either side may be of any size, so neither is broadcast.
+            one = _grouped(units).withColumn("lead", F.col("group") == F.min("group").over(Window.partitionBy("id")))
+            first = scratch.write(df.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(one.hint("merge"), "id"), "texts")
+            done.append(first)
+            texts, blocks = first.where("lead").select("id", "text"), _spread(first)
+        else:
+            blocks = _deal(texts, units)
+        new = scratch.write(_block_links(blocks, words, percent, id_type, False), "links")
         done.append(new)
         found = new.where("NOT apart").select("a", "b")
         links = links.unionByName(found) if links is not None else found
