@@ -98,3 +98,26 @@ listed AS (SELECT d, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILT
  string_agg({_KIND}, ',' ORDER BY start, kind, "end") FILTER (WHERE kind < 3) AS base, string_agg({_KIND}, ',' ORDER BY start, kind, "end") AS spans FROM spans GROUP BY d)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN listed USING (d)"""
+
+#: The checksum of a text, byte by byte: DuckDB has no function for it.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k::INTEGER + 1, 2))::BIGINT)),
+ lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+SPELLING = f"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]{{7,}}')) AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM found GROUP BY doc_id, w),
+hashed AS (SELECT w, c, {_CRC} AS h FROM counted, crc_table),
+typed AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, n, unnest(range(length(word)))::INTEGER AS k FROM words),
+wild AS (SELECT word, n, left(word, k) || '*' || substr(word, k + 2) AS g FROM places),
+less AS (SELECT DISTINCT word, n, left(word, k) || substr(word, k + 2) AS g FROM places),
+pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.g = b.g AND a.word <> b.word
+ UNION ALL SELECT l.word, l.n, s.word, s.n FROM less l JOIN words s ON l.g = s.word UNION ALL SELECT s.word, s.n, l.word, l.n FROM less l JOIN words s ON l.g = s.word),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS m, first(n) AS n FROM pairs GROUP BY word),
+forms AS (SELECT word, best AS form, m AS form_n FROM near WHERE m >= 10 * n),
+chain AS (SELECT word, form AS reached, 1 AS step FROM forms UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.reached),
+roots AS (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(x.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN near x USING (word) LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)"""

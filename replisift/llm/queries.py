@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, media, ngram_join, oracle, packing, quality, secrets, token_counts, toxicity
+from . import ann, bpe, chat, html_extract, media, ngram_join, oracle, packing, periodic_runs, quality, secrets, spelling, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -71,12 +71,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors found for every twentieth."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents."""
+    return periodic_runs.run_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words of all documents, with planted ones."""
+    return spelling.spelling_groups(spelling.typed_words(_table(spark, sf_dir, "documents"), drop_every=31))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_byte_bpe, op3_secret_scans, op4_quality_rules, op5_toxicity, op6_media_columns,
-        op7_ngram_join, op8_chat_formatting, op9_html_extraction, op10_token_counts,
+        op7_ngram_join, op8_chat_formatting, op9_html_extraction, op10_token_counts, op11_nearest, op12_periodic_runs, op13_spelling,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_secret_scans": oracle.SECRETS, "op4_quality_rules": oracle.QUALITY, "op7_ngram_join": oracle.NGRAM_JOIN, "op8_chat_formatting": oracle.CHAT}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scans": oracle.SECRETS, "op4_quality_rules": oracle.QUALITY, "op7_ngram_join": oracle.NGRAM_JOIN, "op8_chat_formatting": oracle.CHAT, "op13_spelling": oracle.SPELLING}
