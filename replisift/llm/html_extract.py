@@ -23,6 +23,7 @@ whatever the ranges are.  Pages without any line are nobody's nearest page.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -54,7 +55,7 @@ DROPPED_NAMES = frozenset(
 NAME_OF_HEADER = frozenset(["header"])
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME_END, TAG_PART = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -73,6 +74,57 @@ def _names(attributes: str) -> tuple[set[str], str]:
     return words, role
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, whether it closes, name, attributes) of a page's markup in order; comments and declarations have no name.
+
+    An angle bracket that begins no whole tag is text, as is one in whose tag a
+    quote isn't closed.  Linear for any page: what is looked for ahead is
+    remembered until it is passed, and so is each quote after which no tag ends.
+    """
+    size, pos = len(html), 0
+    name_end = part = ends = -1
+    hopeless: set[int] = set()
+
+    def ahead(pattern: re.Pattern, at: int) -> int:
+        m = pattern.search(html, at)
+        return m.start() if m else size
+
+    while (start := html.find("<", pos)) >= 0:
+        pos = start + 1
+        first = html[pos : pos + 1]
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            pos = size if end < 0 else end + 3
+            yield start, pos, False, None, ""
+            continue
+        if first in ("!", "?"):
+            if ends < pos:
+                ends = html.find(">", pos)
+                ends = size if ends < 0 else ends
+            if ends < size:
+                pos = ends + 1
+                yield start, pos, False, None, ""
+            continue
+        begin = pos + (first == "/")
+        letter = html[begin : begin + 1]
+        if not (letter.isascii() and letter.isalpha()):
+            continue
+        if name_end < begin:
+            name_end = ahead(NAME_END, begin)
+        if part < name_end:
+            part = ahead(TAG_PART, name_end)
+        at, quotes = part, []
+        while at < size and html[at] != ">" and at not in hopeless:
+            quotes.append(at)
+            closed = html.find(html[at], at + 1)
+            at = size if closed < 0 else ahead(TAG_PART, closed + 1)
+        if at == size or html[at] != ">":
+            hopeless.update(quotes)
+            continue
+        pos = at + 1
+        yield start, pos, begin > start + 1, html[begin:name_end], html[name_end:at]
+
+
 def page_lines(html: str) -> list[tuple[str, int]]:
     """(line, zone) of a page's blocks, in order.  Never fails, whatever the markup.
 
@@ -85,6 +137,8 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     wrappers: list[tuple[int, int, int]] = [(-1, 0, OUTSIDE)]  # wrapper around, depth, zone around; the first is none
     stack: list[tuple[str, int, int | None, int]] = [("", OUTSIDE, None, 0)]  # name, zone, the zone around the article's header that it is in, wrapper
 
+    opened: Counter[str] = Counter()  # elements of the stack by name
+
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
@@ -94,21 +148,22 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     def close(k: int) -> None:
         if any(e[0] in BLOCK for e in stack[k:]) or stack[-1][1::2] != stack[k - 1][1::2]:
             flush()
+        opened.subtract(e[0] for e in stack[k:])
         del stack[k:]
 
     pos, lower = 0, None
-    while True:
-        m = TOKEN.search(html, pos)
-        if m is None:
-            parts.append(html[pos:])
-            break
-        if m.start() > pos:
-            parts.append(html[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
+    for start, end, closes, tag, attributes in tags(html):
+        if start < pos:  # inside what a script or the like holds
+            continue
+        if start > pos:
+            parts.append(html[pos:start])
+        pos = end
+        if tag is None:
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = tag.lower()
+        if closes:
+            if opened[name] <= 0 and name != "p":
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     close(k)
@@ -124,9 +179,9 @@ def page_lines(html: str) -> list[tuple[str, int]]:
             parts.append("\n")
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 lower = html.lower() if lower is None else lower
-                end = lower.find(f"</{name}", pos) if len(lower) == len(html) else html.find(f"</{m[2]}", pos)
+                end = lower.find(f"</{name}", pos) if len(lower) == len(html) else html.find(f"</{tag}", pos)
                 close_at = html.find(">", end) if end >= 0 else -1
                 pos = close_at + 1 if close_at >= 0 else len(html)
             continue
@@ -138,10 +193,10 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 if stack[k][0] in SCOPES or stack[k][0] in ("ul", "ol", "dl"):
                     break
             flush()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         _, zone, held, wrapper = stack[-1]
-        words, role = _names(m[3]) if m[3] else (set(), "")
+        words, role = _names(attributes) if attributes else (set(), "")
         if held is not None:  # of an article: only its headings are text of the article
             zone = held if zone == held or name in HEADINGS else DROPPED
         elif zone != DROPPED and name not in ("html", "body"):
@@ -167,6 +222,8 @@ def page_lines(html: str) -> list[tuple[str, int]]:
         if (zone, wrapper) != stack[-1][1::2]:
             flush()
         stack.append((name, zone, held, wrapper))
+        opened[name] += 1
+    parts.append(html[pos:])
     flush()
     kept = {0}
     for own in (ARTICLE, MAIN):

@@ -15,6 +15,7 @@ their document (Benjamini-Hochberg), weighted by their lengths.
 Everything about a document is computed in its own row: no shuffle, no join.
 Positions are code points; they are summed up from the lengths of what stands
 between matches, since no built-in function gives the places of all matches.
+The sums take a pass over the matches for each binary digit of their number.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Rate of class changes in ordinary text, level of the battery, false-discovery rate.
 ORDINARY, LEVEL, FDR = 0.1, 0.01, 0.001
 
-SPAN = "struct<start:bigint,kind:int,end:bigint>"
-FOUND = "array<struct<start:bigint,end:bigint,m:string>>"
+SPAN = "struct<start:bigint,kind:int,end:bigint,from:bigint,to:bigint>"
+FOUND = "array<struct<start:bigint,end:bigint,from:bigint,to:bigint,m:string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,22 +46,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with all before it.
+
+    Built-in functions have no scan, and a fold that appends copies what it has
+    each time.  So all values are joined at once with those 1, 2, 4, ... places
+    before them: as many passes as their number has binary digits.
+    """
+    passes = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def one(acc: Column, k: Column) -> Column:
+        return let(F.pow(F.lit(2.0), k).cast("int"), lambda far: F.transform(acc, lambda v, i: F.when(i >= far, join(F.get(acc, i - far), v)).otherwise(v)))
+
+    return F.aggregate(passes, values, one)
+
+
 def find_all(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """(start, end, m) of the leftmost non-overlapping matches of a Java pattern, in order."""
+    """Matches of a Java pattern, leftmost and non-overlapping, in order: places in code points (``start``, ``end``) and in bytes (``from``, ``to``), and text (``m``)."""
     between = F.split(text, pattern, -1)
-    matches = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit(None).cast("string")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {FOUND})").alias("found"))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    empty = F.expr(f"cast(array() as {FOUND})")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["between"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["m"].alias("m")))
-        ok = x["m"].isNotNull() if keep is None else x["m"].isNotNull() & keep(x["m"])
-        return F.struct(end.cast("long").alias("at"), F.when(ok, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def placed(parts: Column, found: Column) -> Column:
+        # What stands before a match, and the match, end where the sums of lengths up to them say.
+        lengths = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(
+            (F.length(p) + F.length(m)).cast("long").alias("chars"), (F.octet_length(p) + F.octet_length(m)).cast("long").alias("bytes")
+        ))
+        ends = running(lengths, lambda a, b: F.struct((a["chars"] + b["chars"]).alias("chars"), (a["bytes"] + b["bytes"]).alias("bytes")))
+        rows = F.zip_with(ends, found, lambda e, m: F.struct(
+            (e["chars"] - F.length(m)).alias("start"), e["chars"].alias("end"), (e["bytes"] - F.octet_length(m)).alias("from"), e["bytes"].alias("to"), m.alias("m")
+        ))
+        return rows if keep is None else F.filter(rows, lambda r: keep(r["m"]))
 
-    pairs = F.arrays_zip(between.alias("between"), matches.alias("m"))
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {FOUND})"))
+    return F.when(text.rlike(pattern), let(between, lambda parts: let(matches, lambda found: placed(parts, found)))).otherwise(empty)
 
 
 def _tail(z: Column) -> Column:
@@ -109,9 +127,12 @@ def discoveries(candidates: Column) -> Column:
     """The candidates that the weighted Benjamini-Hochberg procedure discovers among themselves."""
     total = F.aggregate(candidates, F.lit(0.0), lambda acc, c: acc + F.length(c["m"]))
     m = F.size(candidates)
-    scored = F.transform(
-        candidates,
-        lambda c: F.struct((evidence(c["m"]) * total / (F.length(c["m"]) * m)).alias("p"), c["start"].alias("start"), c["end"].alias("end")),
+    scored = let(
+        total,
+        lambda t: F.transform(
+            candidates,
+            lambda c: F.struct((evidence(c["m"]) * t / (F.length(c["m"]) * m)).alias("p"), *[c[n].alias(n) for n in ("start", "end", "from", "to")]),
+        ),
     )
 
     def chosen(rows: Column) -> Column:
@@ -123,6 +144,24 @@ def discoveries(candidates: Column) -> Column:
     return let(scored, chosen)
 
 
+def uncovered(candidates: Column, spans: Column) -> Column:
+    """The candidates that none of the ordered spans covers: read in one order, each is held against the furthest end of the spans before it."""
+    none = F.lit(-1).cast("long")
+    events = F.array_sort(
+        F.concat(
+            F.transform(spans, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("own"), b["end"].alias("reach"), F.lit(None).cast(FOUND[6:-1]).alias("c"))),
+            F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("own"), none.alias("reach"), c.alias("c"))),
+        )
+    )
+
+    def kept(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda e: e["reach"]), lambda a, b: F.greatest(a, b))
+        judged = F.zip_with(rows, reach, lambda e, r: F.when((e["own"] == 1) & (r < e["c"]["end"]), e["c"]))
+        return F.filter(judged, lambda c: c.isNotNull())
+
+    return let(events, kept)
+
+
 def _with_spans(df: DataFrame, text_col: str, add: dict[str, str]) -> DataFrame:
     """``df`` with arrays of (start, kind, end): base and all spans, in order."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -138,7 +177,7 @@ def _with_spans(df: DataFrame, text_col: str, add: dict[str, str]) -> DataFrame:
     df = df.withColumn(add["base"], F.array_sort(F.concat(*spans)))
     base = F.col(add["base"])
     # A run that a base span covers is reported by that already.
-    fresh = F.filter(F.col(names["random"]), lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+    fresh = F.when((F.size(names["random"]) > 0) & (F.size(base) > 0), uncovered(F.col(names["random"]), base)).otherwise(F.col(names["random"]))
     df = df.withColumn(names["random"], fresh)
     more = F.when(
         F.size(names["random"]) > 0,
@@ -148,7 +187,7 @@ def _with_spans(df: DataFrame, text_col: str, add: dict[str, str]) -> DataFrame:
 
 
 def _as_kind(found: Column, kind: int) -> Column:
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["from"].alias("from"), s["to"].alias("to")))
 
 
 def _of_kind(spans: Column, kind: int) -> Column:
@@ -175,6 +214,31 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select(F.col("id").alias(id_col), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with ``mask`` for each stretch of ordered spans that touch or overlap.
+
+    The stretches are found from the furthest end so far, and what stands between
+    them is cut from the text's bytes, where a cut needs no count of characters.
+    """
+
+    def one(raw: Column, ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda s: s["to"]), lambda a, b: F.greatest(a, b))
+
+        def cut(ends: Column) -> Column:
+            # The bytes from the end of what is masked so far to the next span, if there are any, then the mask.
+            def piece(s: Column, i: Column) -> Column:
+                at = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("long"))
+                plain = F.substring(raw, (at + 1).cast("int"), (s["from"] - at).cast("int")).cast("string")
+                return F.when(s["from"] > at, F.concat(plain, F.lit(mask))).when(i == 0, F.lit(mask)).otherwise(F.lit(""))
+
+            last = F.element_at(ends, -1)
+            return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substring(raw, (last + 1).cast("int"), F.octet_length(raw)).cast("string"))
+
+        return let(reach, cut)
+
+    return let(text.cast("binary"), lambda raw: let(spans, lambda ordered: one(raw, ordered)))
+
+
 def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", chars_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``df``, with its columns, where ``mask`` stands for each stretch of text that spans cover.
 
@@ -184,15 +248,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
     """
     base, spans = fresh_name(df, "base_spans"), fresh_name(df, "all_spans")
     rows = _with_spans(df, text_col, {"base": base, "spans": spans})
-    text = F.col(f"`{text_col}`").cast("string")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        plain = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] > acc["at"], F.concat(acc["out"], plain, F.lit(mask))).when(acc["at"] == 0, F.lit(mask)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(F.col(f"`{spans}`"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    done = masked(F.col(f"`{text_col}`").cast("string"), F.col(f"`{spans}`"), mask)
     new = fresh_name(rows, "redacted")
     rows = rows.withColumn(new, F.when(F.size(f"`{spans}`") > 0, done))  # null where nothing changes
     out = []

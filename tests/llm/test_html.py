@@ -115,3 +115,31 @@ def test_large_hosts_keep_the_nearest_page(spark, monkeypatch):
     assert Counter(map(tuple, X.extract_pages(df).collect())) == whole
     assert whole[(8, "http://big.example/s01/p008", "Text 8", 6)] == 1
     assert sum(n for r, n in whole.items() if r[0] is not None and "Section" in r[2]) == 49  # the first of each section but the first
+
+
+def test_markup_that_never_closes_is_linear():
+    import time
+
+    n = 60_000
+    began = time.time()
+    for page in (
+        '<a "' * n, "<a '" * n, '<a "x" ' * n + "'", "<a 'x\" " * n, "<a<a" * n, "<!" * n, "<!--" * n, "</" * n, "<a b=\"c'd\" " * n + '"', "<p>" + "<b>" * 3000 + "</i>" * n, "<a x='" + '<b y="z" ' * n,
+    ):
+        list(X.tags(page))
+        X.page_lines(page)
+    assert time.time() - began < 30
+
+
+def test_tags_of_random_markup():
+    """Against one expression that tries everything, where names hold no quotes."""
+    import random
+    import re
+
+    token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    rng = random.Random(4)
+    for _ in range(30_000):
+        page = "".join(rng.choice(['<a ', "<b>", "</p ", '"', "'", ">", "x", " ", "<!", "-->", "<!--", "/", "=", "<"]) for _ in range(rng.randrange(14)))
+        want = [(m.start(), m.end(), bool(m[1]), m[2], m[3] if m[2] else "") for m in token.finditer(page)]
+        if any(w[3] and set("\"'<") & set(w[3]) for w in want) or re.search(r"<[a-z/][^\s/>]*[\"'<]", page):
+            continue
+        assert list(X.tags(page)) == want, page

@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from replisift.llm import secrets
 from tests.llm.helpers import LONG, TEXTS, docs, empty
 
@@ -88,3 +90,41 @@ def test_redaction(spark):
 def test_plan_is_native(spark):
     plan = secrets.scan_secrets(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    """A megabyte of nothing but matches, and of candidates that base spans cover or don't, is scanned and masked in seconds."""
+    import time
+
+    rng = random.Random(9)
+    many = "".join(f"token={rng.choice(['abcdefgh', 'é1234567'])} é\n" if k % 2 else f"secret: x{k:06d}y, {rng.getrandbits(96):024x} " for k in range(45_000))
+    mixed = " ".join(f'token="{next(tokens(rng, 1))}" {"x" * 30} station-haupt_bahnhof/nation-al-{k}' for k in range(4_000))
+    docs = spark.createDataFrame([(1, many, len(many)), (2, mixed, len(mixed))], "doc_id long, text string, n_chars long").repartition(2)
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    redacted = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert time.time() - began < 60
+    assert rows[1].n_assign == 22_500 * 2 - sum(1 for m in re.finditer("token=é", many)) and rows[1].n_hex >= 22_500
+    for k, text in ((1, many), (2, mixed)):
+        spans = [tuple(s.split(":")) for s in rows[k].spans.split(",")]
+        covered = bytearray(len(text))
+        for _, start, end in spans:
+            covered[int(start) : int(end)] = b"\x01" * (int(end) - int(start))
+        want = re.sub("\x00+", "[SECRET]", "".join("\x00" if c else x for c, x in zip(covered, text, strict=True)))
+        assert redacted[k] == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_that_cover_candidates(spark, seed):
+    """Which candidates no span covers, against all pairs."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(seed)
+    rows = []
+    for k in range(200):
+        spans = sorted((a, 0, a + rng.randrange(1, 30), 0, 0) for a in (rng.randrange(100) for _ in range(rng.randrange(6))))
+        found = [(a, a + rng.randrange(1, 20), 0, 0, "m") for a in sorted(rng.sample(range(100), rng.randrange(6)))]
+        rows.append((k, spans, found))
+    df = spark.createDataFrame(rows, f"k int, spans array<{secrets.SPAN}>, found {secrets.FOUND}")
+    got = {r.k: [(c.start, c.end) for c in r.left] for r in df.select("k", secrets.uncovered(F.col("found"), F.col("spans")).alias("left")).collect()}
+    assert got == {k: [(a, b) for a, b, *_ in found if not any(s[0] <= a and b <= s[2] for s in spans)] for k, spans, found in rows}
