@@ -93,8 +93,10 @@ def archive(old: DataFrame, replaced: DataFrame, keys: list[str] = KEY) -> DataF
     return upsert(old, replaced, keys)
 
 
-def stale_temps(listing: DataFrame, now_s: int, suffix: str = ".tmp", days: int = 7) -> DataFrame:
-    """Temporary files of a listing that are older than some days."""
+def stale_temps(listing: DataFrame, now_s: int, suffix: str, days: int = 7) -> DataFrame:
+    """Temporary files of a listing (those with the receiver's own suffix) that are older than some days."""
+    if not suffix:
+        raise ValueError("without a suffix every file would be a temporary one")
     return listing.where(F.lower("name").endswith(suffix) & (F.col("modified_s") < now_s - days * DAY))
 
 

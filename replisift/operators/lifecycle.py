@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from ..functions import paths
 from ..schema import CONFLICT, COUNTER, DELETE, FETCH, FILE, INDEX, KEY, RECEIVE_ONLY, SEND_RECEIVE, VERSION, conform
+from ..session import materialized
 from . import classify, scan
-from .index import assign_sequence, forget_unseen, high_water, upsert
+from .index import assign_sequence, forget, high_water, upsert
 
 LARGEST_BLOCK = 1 << 20
 #: Seconds without a block after which a transfer is abandoned, and the tries of a block.
@@ -27,45 +28,67 @@ def commit(index: DataFrame, records: DataFrame, order: list[Column | str] | Non
     return upsert(conform(index), numbered.withColumn("sequence", F.col("sequence").cast("long")))
 
 
-def scanned(listing: DataFrame, index: DataFrame, contents: DataFrame, ignored: Column, device: str, now_s: int, mode: int = SEND_RECEIVE, complete: bool = True, temp_suffix: str = ".tmp") -> DataFrame:
+def scan_changes(listing: DataFrame, index: DataFrame, ignored: Column, temp_suffix: str) -> DataFrame:
+    """What a walk finds to be new, changed or missing, against the index, written once: a scan pass reads it several times.
+
+    Records come without their block hashes.  What is unchanged isn't written, so this grows with the changes.
+    """
+    marked = index.withColumn("block_hashes", F.when(F.size("block_hashes") > 0, F.array(F.lit(b"").cast("binary"))))
+    diffed = scan.diff(scan.walk(listing, ignored, temp_suffix), marked).where(F.col("change").isin("new", "changed", "missing"))
+    return materialized(diffed.withColumn("record", F.col("record").dropFields("block_hashes")), "scan")
+
+
+def scanned(changes: DataFrame, contents: DataFrame, ignored: Column, device: str, now_s: int, mode: int = SEND_RECEIVE, complete: bool = True, sheltered: DataFrame | None = None) -> DataFrame:
     """The new records of a scan pass: hashed files, directories, and what the sweep concludes; sequences come later.
 
-    ``contents`` has (folder, name, content, status); only files that are new or
-    changed are joined with it.  ``status``: null for a file that was read, else
-    ``vanished``, ``unreadable`` or ``too_big`` (see :func:`scan.hash_outcome`);
-    only a file whose content has the listed size is committed.  A mirror
-    (receive-only) commits directories alone and deletes nothing; see :func:`scan_pass`.
-    An incomplete walk sweeps nothing.
+    ``changes`` is of :func:`scan_changes`.  ``contents`` has (folder, name,
+    content, status); only files that are new or changed are joined with it.
+    ``status``: null for a file that was read, else ``vanished``, ``unreadable`` or
+    ``too_big`` (see :func:`scan.hash_outcome`); only a file whose content has the
+    listed size is committed.  A file that vanished after it was listed isn't
+    seen, so the sweep has its live record like that of a file that wasn't
+    listed; one that can't be read, is too big or changed meanwhile keeps its
+    record.  A mirror (receive-only) commits directories alone and deletes
+    nothing; see :func:`scan_pass`.  An incomplete walk sweeps nothing, and no
+    walk what it couldn't see (``sheltered`` keys, of :meth:`walk.Walk.sheltered`).
     """
-    seen = scan.walk(listing, ignored, temp_suffix)
-    diffed = scan.diff(seen, index)
-    directories = conform(scan.commit_directories(diffed, device, now_s))
+    directories = conform(scan.commit_directories(changes, device, now_s))
     if mode == RECEIVE_ONLY:
         return directories
-    dirty = diffed.where(F.col("change").isin("new", "changed") & ~F.col("entry.is_dir")).select(*KEY, "entry.size", "entry.modified_s", F.col("record.version").alias("version"))
+    dirty = changes.where(F.col("change").isin("new", "changed") & ~F.col("entry.is_dir"))
     read = dirty.join(contents.select(*KEY, "content", "status"), KEY)
-    good = read.where(scan.hash_outcome(F.coalesce("status", F.lit("")), F.col("size"), F.octet_length("content")) == "commit")
-    files = conform(scan.commit_files(good, device, now_s))
+    outcome = scan.hash_outcome(F.coalesce("status", F.lit("")), F.col("entry.size"), F.octet_length("content"))
+    read = read.withColumn("outcome", outcome)
+    good = read.where("outcome = 'commit'").select(*KEY, "entry.size", "entry.modified_s", F.col("record.version").alias("version"), "content")
+    out = conform(scan.commit_files(good, device, now_s)).unionByName(directories)
+    if not complete:
+        return out
+    vanished = read.where("outcome = 'swept' AND NOT record.deleted AND NOT record.invalid")
+    missing = changes.where("change = 'missing'").select(*KEY, "record.*")
+    if sheltered is not None:
+        missing = missing.join(sheltered.select(*KEY), KEY, "left_anti")
+    unseen = missing.unionByName(vanished.select(*KEY, "record.*"))
     # Nothing is numbered before the walk ends, so all sequences are below its start.
-    swept = scan.sweep(index, seen, ignored, F.lit(2**63 - 1), complete)
-    return files.unionByName(directories).unionByName(conform(scan.swept_records(swept, device, now_s)))
+    swept = scan.judged_unseen(unseen, ignored, F.lit(2**63 - 1))
+    return out.unionByName(conform(scan.swept_records(swept, device, now_s)))
 
 
-def scan_pass(listing: DataFrame, index: DataFrame, contents: DataFrame, ignored: Column, device: str, now_s: int, mode: int = SEND_RECEIVE, complete: bool = True, temp_suffix: str = ".tmp") -> DataFrame:
+def scan_pass(listing: DataFrame, index: DataFrame, contents: DataFrame, ignored: Column, device: str, now_s: int, temp_suffix: str, mode: int = SEND_RECEIVE, complete: bool = True, sheltered: DataFrame | None = None) -> DataFrame:
     """The index after a scan pass.
 
     New records (:func:`scanned`) are numbered by name.  A mirror forgets, rather
     than deletes, what is missing or was changed here, so that the next index
     brings it back; an incomplete walk forgets only what was changed.
+    ``temp_suffix``: how the receiver's staged files end, which no walk sees.
     """
-    records = scanned(listing, index, contents, ignored, device, now_s, mode, complete, temp_suffix)
-    state = commit(index, records)
+    changes = scan_changes(listing, index, ignored, temp_suffix)
+    state = commit(index, scanned(changes, contents, ignored, device, now_s, mode, complete, sheltered))
     if mode != RECEIVE_ONLY:
         return state
-    seen = scan.walk(listing, ignored, temp_suffix)
-    changed = scan.receive_only(scan.diff(seen, index)).where("verdict = 'forget'").select(*KEY)
-    state = state.join(changed, KEY, "left_anti")
-    return forget_unseen(state, seen, F.lit(2**63 - 1)) if complete else state
+    lost = scan.receive_only(changes).where(F.col("verdict").isin("forget", "unseen") if complete else F.col("verdict") == "forget")
+    if sheltered is not None:
+        lost = lost.join(sheltered.select(*KEY), KEY, "left_anti")
+    return forget(state, lost)
 
 
 def advanced(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -13,15 +13,20 @@ DEEPEST = 12
 FILE_MODE, DIRECTORY_MODE = 0o644, 0o755
 
 
-def walkable(name: Column, is_dir: Column, temp_suffix: str = ".tmp", deepest: int = DEEPEST, longest: int = 255) -> Column:
-    """Whether a walk emits a path: no rule file, temporary file or top-level archive on the way, not too deep or long."""
+def walkable(name: Column, is_dir: Column, temp_suffix: str, deepest: int = DEEPEST, longest: int = 255) -> Column:
+    """Whether a walk emits a path: no rule file, temporary file or top-level archive on the way, not too deep or long.
+
+    ``temp_suffix`` is the suffix that the receiver gives its staged files; one that users' files may have would hide those.
+    """
+    if not temp_suffix:
+        raise ValueError("without a suffix every file would be a temporary one")
     parts = F.split(name, "/")
     low = F.lower(name)
     own = F.exists(F.transform(parts, lambda p: F.lower(p)), lambda p: (p == ".stignore") | p.endswith(temp_suffix))
     return ~own & (F.split(low, "/")[0] != ".stversions") & (F.size(parts) - 1 <= deepest) & (F.octet_length(name) <= longest)
 
 
-def walk(listing: DataFrame, ignored: Column, temp_suffix: str = ".tmp", deepest: int = DEEPEST) -> DataFrame:
+def walk(listing: DataFrame, ignored: Column, temp_suffix: str, deepest: int = DEEPEST) -> DataFrame:
     """The entries of a listing (folder, name, size, modified_s, is_dir) that a walk reaches; directories have size 0.
 
     ``ignored`` is a predicate of ``name``; rules about folders hold for what is below them.
@@ -120,13 +125,16 @@ def sweep(index: DataFrame, seen: DataFrame, ignored: Column, before: int | Colu
     An incomplete walk concludes nothing.
     """
     unseen = index.where(~F.col("deleted") & ~F.col("invalid")).join(seen.select(*keys).distinct(), keys, "left_anti")
-    verdict = (
-        F.when(ignored, F.when(F.col("type") == FILE, "invalid").otherwise("spared")).when(F.col("sequence") > before, "spared").otherwise("tombstone")
-    )
-    out = unseen.withColumn("verdict", verdict)
+    out = judged_unseen(unseen, ignored, before)
     return out if complete else out.where(F.lit(False))
 
 
+def judged_unseen(unseen: DataFrame, ignored: Column, before: int | Column) -> DataFrame:
+    """Live valid records that a walk didn't see with the ``verdict`` of :func:`sweep`."""
+    hidden = F.when(F.col("type") == FILE, "invalid").otherwise("spared")
+    return unseen.withColumn("verdict", F.when(ignored, hidden).when(F.col("sequence") > before, "spared").otherwise("tombstone"))
+
+
 def swept_records(swept: DataFrame, device: str, now_s: int) -> DataFrame:
     """The new records of a sweep: tombstones, and invalid records without their blocks; sequences come later."""
     dead = tombstones(swept.where("verdict = 'tombstone'").drop("verdict"), device, now_s)

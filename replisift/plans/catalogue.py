@@ -241,53 +241,11 @@ def walk_entries(spark, sf_dir):
     return scan.walk(X.listing(spark, sf_dir), ignored, temp_suffix="7.txt").select("folder", "name", "size")
 
 
-@query(
-    f"""SELECT d.folder, d.name, sha256(unhex(sha256(f.content[1:4096]))) AS first_fold, greatest({X.NOW}, f.modified_s) >= f.modified_s AS stamped, 420 AS permissions
- FROM diffed d JOIN doc_files f ON f.folder = d.folder AND f.name = d.name WHERE d.change = 'changed' AND f.size <= 4096""",
-    *SCANS,
-)
-def commit_changed(spark, sf_dir):
-    changed = scan.diff(X.listing(spark, sf_dir), X.index0(spark, sf_dir)).where("change = 'changed'").select("folder", "name", F.col("record.version").alias("version"))
-    # Only what changed is hashed: the join comes before any content is looked at.
-    files = X.doc_files(spark, sf_dir).where("size <= 4096").join(changed, ["folder", "name"])
-    rows = scan.commit_files(files, X.DEVICE, X.NOW)
-    return rows.select("folder", "name", _hex("content_hash").alias("first_fold"), (F.element_at("version", F.lit(X.DEVICE)) >= F.col("modified_s")).alias("stamped"), F.col("permissions").cast("int").alias("permissions"))
-
-
 SWEPT = """swept AS (SELECT i.*, CASE WHEN regexp_matches(i.name, '^src3(/|$)') THEN CASE WHEN i.type = 0 THEN 'invalid' ELSE 'spared' END
- WHEN i.sequence > 900 THEN 'spared' ELSE 'tombstone' END AS verdict FROM index0 i
+ WHEN i.sequence > (SELECT max(sequence) FROM index0 x WHERE x.folder = i.folder) THEN 'spared' ELSE 'tombstone' END AS verdict FROM index0 i
  WHERE NOT i.deleted AND NOT i.invalid AND NOT EXISTS (SELECT 1 FROM listing l WHERE l.folder = i.folder AND l.name = i.name))"""
 
 
-def _swept(spark, sf_dir):
-    ignored = globs.ignored(F.col("name"), globs.parse_rules("/src3").rules)
-    return scan.sweep(X.index0(spark, sf_dir), X.listing(spark, sf_dir), ignored, 900)
-
-
-@query("SELECT folder, name, verdict FROM swept", X.DOC_FILES, X.INDEX0, X.LISTING, SWEPT)
-def sweep_deletions(spark, sf_dir):
-    return _swept(spark, sf_dir).select("folder", "name", "verdict")
-
-
-@query(
-    f"""SELECT folder, name, verdict = 'tombstone' AS deleted, verdict = 'invalid' AS invalid,
- CASE WHEN verdict = 'tombstone' THEN greatest({X.NOW}, coalesce(v1 + 1, 0)) ELSE v1 END AS counter FROM swept WHERE verdict <> 'spared'""",
-    X.DOC_FILES, X.INDEX0, X.LISTING, SWEPT,
-)
-def sweep_records(spark, sf_dir):
-    rows = scan.swept_records(_swept(spark, sf_dir), X.DEVICE, X.NOW)
-    return rows.select("folder", "name", "deleted", "invalid", F.try_element_at("version", F.lit(X.DEVICE)).cast("long").alias("counter"))
-
-
-@query(
-    """SELECT folder, name FROM index0 i WHERE NOT (NOT deleted AND NOT invalid AND sequence <= 900
- AND NOT EXISTS (SELECT 1 FROM listing l WHERE l.folder = i.folder AND l.name = i.name))""",
-    X.DOC_FILES, X.INDEX0, X.LISTING,
-)
-def forget_unseen(spark, sf_dir):
-    return idx.forget_unseen(X.index0(spark, sf_dir), X.listing(spark, sf_dir), 900).select("folder", "name")
-
-
 @query("SELECT folder, count(*) AS n FROM index0 i SEMI JOIN (SELECT folder, name FROM listing WHERE is_dir) l USING (folder, name) GROUP BY folder", *SCANS[:3])
 def listed_directories(spark, sf_dir):
     dirs = X.listing(spark, sf_dir).where("is_dir")
@@ -462,40 +420,6 @@ def host_addresses(spark, sf_dir):
 
 # --- renames and deletions
 
-WANTS = "wants AS (SELECT folder, name, size, h FROM doc_files WHERE doc_id % 6 = 1)"
-DELETES = "deletes AS (SELECT folder, name, size, h, doc_id FROM doc_files WHERE doc_id % 4 = 0)"
-
-
-def _wants(spark, sf_dir, rest: int = 6, of: int = 1):
-    f = X.doc_files(spark, sf_dir).where(F.col("doc_id") % rest == of)
-    return f.select("folder", "name", "size", hashing.sha256(F.col("content")).alias("content_hash"), "doc_id")
-
-
-@query(
-    """SELECT folder, name, source FROM (SELECT w.folder, w.name, i.name AS source, row_number() OVER (PARTITION BY w.folder, w.name ORDER BY i.sequence, i.name) AS k
- FROM wants w JOIN index0 i ON i.folder = w.folder AND i.size = w.size AND i.h = w.h AND i.name <> w.name WHERE i.type = 0 AND NOT i.deleted AND NOT i.invalid) WHERE k = 1""",
-    X.DOC_FILES, X.INDEX0, WANTS,
-)
-def rename_sources(spark, sf_dir):
-    return rename.local_sources(_wants(spark, sf_dir), X.index0(spark, sf_dir))
-
-
-@query("SELECT folder, name FROM deletes d SEMI JOIN wants w ON w.size = d.size AND w.h = d.h", X.DOC_FILES, WANTS, DELETES)
-def held_deletes(spark, sf_dir):
-    return rename.held_deletes(_wants(spark, sf_dir, 4, 0), _wants(spark, sf_dir)).select("folder", "name")
-
-
-@query("SELECT folder, name FROM deletes d ANTI JOIN wants w ON w.size = d.size AND w.h = d.h", X.DOC_FILES, WANTS, DELETES)
-def applied_deletes(spark, sf_dir):
-    return rename.applied_deletes(_wants(spark, sf_dir, 4, 0), _wants(spark, sf_dir)).select("folder", "name")
-
-
-@query(
-    "SELECT folder, name FROM wants w SEMI JOIN (SELECT * FROM index0 WHERE NOT deleted) i ON i.folder = w.folder AND i.name = w.name AND i.size = w.size AND i.h = w.h",
-    X.DOC_FILES, X.INDEX0, WANTS,
-)
-def already_have(spark, sf_dir):
-    return rename.already_have(_wants(spark, sf_dir), X.index0(spark, sf_dir)).select("folder", "name")
 
 
 @query(
@@ -516,15 +440,6 @@ def claims(spark, sf_dir):
     return rename.claims(f)
 
 
-@query(
-    """SELECT session, push_no, stalled FROM (SELECT dev AS session, sequence AS push_no, sequence % 5 >= 3 AS stalled, row_number() OVER (PARTITION BY dev ORDER BY sequence) AS k FROM feed) WHERE k <= 256""",
-    *FEEDS,
-)
-def want_queue(spark, sf_dir):
-    w = X.feed(spark, sf_dir).select(F.map_keys("version")[0].cast("long").alias("session"), F.col("sequence").alias("push_no"), (F.col("sequence") % 5).alias("attempts"))
-    return rename.want_queue(w, most=256).select("session", "push_no", "stalled")
-
-
 # --- status and registries
 
 
@@ -747,11 +662,6 @@ def stale_temps(spark, sf_dir):
     return idx.stale_temps(X.listing(spark, sf_dir), 1_600_020_000 + 7 * 86400, suffix="9.txt").select("folder", "name")
 
 
-@query("SELECT DISTINCT size, h FROM wants", X.DOC_FILES, WANTS)
-def wanted_contents(spark, sf_dir):
-    return _wants(spark, sf_dir).select("size", _hex("content_hash").alias("h")).distinct()
-
-
 @query("SELECT folder, name FROM feed WHERE NOT invalid AND (name NOT LIKE '%/e1%' OR deleted)", *FEEDS)
 def admissible_records(spark, sf_dir):
     ignored = globs.ignored(F.col("name"), globs.parse_rules("e1*").rules)
@@ -768,10 +678,19 @@ def index_coming(spark, sf_dir):
     return X.table(spark, sf_dir, "customer").select("c_custkey", feeds.index_coming(devices, F.lit("me")).alias("coming"))
 
 
-# --- codecs: beyond SQL
+# --- ids and codecs
+
+_A32 = device_id.ALPHABET
+_TWICE = f"(instr('{_A32}', substr(c, k::INTEGER + 1, 1)) - 1) * (1 + k % 2)"
+_CHECK = f"substr('{_A32}', ((32 - list_sum(list_transform(range(13), lambda k: ({_TWICE}) // 32 + ({_TWICE}) % 32)) % 32) % 32 + 1)::INTEGER, 1)"
 
 
-@query()
+@query(
+    f"""SELECT doc_id, left(w, 7) || '-' || substr(w, 8, 7) || '-' || substr(w, 15, 7) || '-' || substr(w, 22, 7) || '-' || substr(w, 29, 7) || '-' || substr(w, 36, 7) || '-' || substr(w, 43, 7) || '-' || substr(w, 50, 7) AS device, true AS same
+ FROM (SELECT doc_id, string_agg(c || {_CHECK}, '' ORDER BY j) AS w FROM (SELECT doc_id, i // 13 AS j, string_agg(l, '' ORDER BY i) AS c FROM (
+  SELECT doc_id, i, substr('{_A32}', ((('0x' || substr(h || '00', (i * 5 // 4 + 1)::INTEGER, 2))::INTEGER >> (3 - i * 5 % 4)::INTEGER) & 31) + 1, 1) AS l FROM doc_files, range(52) r(i)) GROUP BY doc_id, i // 13) GROUP BY doc_id)""",
+    X.DOC_FILES,
+)
 def device_ids(spark, sf_dir):
     """Ids of the documents' hashes, and back."""
     rows = X.doc_files(spark, sf_dir).select("doc_id", hashing.sha256(F.col("content")).alias("raw")).withColumn("device", device_id.device_id(F.col("raw")))

@@ -1,4 +1,4 @@
-"""Queries of the operators that change state, and whole-table forms of queries that look at some rows only."""
+"""Queries of the operators that change state, and of sweeps, wants and deletions over whole tables."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from . import fixtures as X
 from .catalogue import ACTION, FEEDS, LATEST, REPLICAS, SCANS, SWEPT, _hex, query
 
 HIDDEN = "^src3(/|$)"
-OPEN_MARK = SWEPT.replace("i.sequence > 900", "i.sequence > (SELECT max(sequence) FROM index0 x WHERE x.folder = i.folder)")
 #: What a walk that leaves out src3 finds, against the index.
 WALKED = f"walked AS (SELECT * FROM listing WHERE NOT regexp_matches(name, '{HIDDEN}'))"
 WALK_DIFF = SCANS[3].replace("diffed AS", "walk_diff AS").replace("FROM listing l", "FROM walked l")
@@ -22,6 +21,8 @@ _FOLD = """sha256(unhex((SELECT string_agg(sha256(content[k * 131072 + 1 : (k +
 #: Contents of listed files: a listed document's bytes, by the number in its name.
 NUMBER = "regexp_extract(name, 'doc([0-9]+)[.]txt$', 1)"
 LISTED_FILES = f"listed_files AS (SELECT l.folder, l.name, d.size, d.h FROM listing l JOIN doc_files d ON d.folder = l.folder AND d.doc_id = TRY_CAST({NUMBER.replace('name', 'l.name')} AS BIGINT) WHERE NOT l.is_dir)"
+READ_FILES = f"""read_files AS (SELECT l.folder, l.name, l.size AS listed, d.size, CASE WHEN doc_id % 19 < 5 THEN 'vanished' WHEN doc_id % 19 < 8 THEN 'unreadable' WHEN doc_id % 19 < 10 THEN 'too_big' END AS status
+ FROM listing l JOIN doc_files d ON d.folder = l.folder AND d.doc_id = TRY_CAST({NUMBER.replace('name', 'l.name')} AS BIGINT) WHERE NOT l.is_dir)"""
 FRESH = "fresh AS (SELECT f.folder, f.name, f.size, f.h FROM listed_files f JOIN diffed USING (folder, name) WHERE change IN ('new', 'changed'))"
 VANISHED = "vanished AS (SELECT i.folder, i.name, i.size, i.h FROM index0 i JOIN diffed USING (folder, name) WHERE change = 'missing' AND i.type = 0)"
 
@@ -39,7 +40,7 @@ def _marked(spark, sf_dir) -> DataFrame:
 def _listed_files(spark, sf_dir) -> DataFrame:
     files = X.doc_files(spark, sf_dir).select("folder", "doc_id", "size", hashing.sha256(F.col("content")).alias("content_hash"), "content")
     listed = X.listing(spark, sf_dir).where("NOT is_dir").select("folder", "name", F.expr(f"try_cast({NUMBER} as bigint)").alias("doc_id"))
-    return listed.join(files, ["folder", "doc_id"]).drop("doc_id")
+    return listed.join(files, ["folder", "doc_id"])
 
 
 def _change(spark, sf_dir, *kinds: str) -> DataFrame:
@@ -47,7 +48,7 @@ def _change(spark, sf_dir, *kinds: str) -> DataFrame:
 
 
 def _fresh(spark, sf_dir) -> DataFrame:
-    return _listed_files(spark, sf_dir).join(_change(spark, sf_dir, "new", "changed"), ["folder", "name"])
+    return _listed_files(spark, sf_dir).drop("doc_id").join(_change(spark, sf_dir, "new", "changed"), ["folder", "name"])
 
 
 def _vanished(spark, sf_dir) -> DataFrame:
@@ -81,7 +82,7 @@ def commit_changed_whole(spark, sf_dir):
     return rows.select("folder", "name", _hex("content_hash").alias("content_hash"), F.size("block_hashes").cast("long").alias("n_blocks"), stamped.alias("stamped"))
 
 
-@query("SELECT folder, name, verdict FROM swept", X.DOC_FILES, X.INDEX0, X.LISTING, OPEN_MARK)
+@query("SELECT folder, name, verdict FROM swept", X.DOC_FILES, X.INDEX0, X.LISTING, SWEPT)
 def sweep_whole(spark, sf_dir):
     """A sweep up to each folder's highest sequence."""
     return scan.sweep(_marked(spark, sf_dir), X.listing(spark, sf_dir), _hidden(), F.col("high")).select("folder", "name", "verdict")
@@ -90,7 +91,7 @@ def sweep_whole(spark, sf_dir):
 @query(
     f"""SELECT folder, name, verdict = 'tombstone' AS deleted, verdict = 'invalid' AS invalid,
  CASE WHEN verdict = 'tombstone' THEN greatest({X.NOW}, coalesce(v1 + 1, 0)) ELSE v1 END AS counter FROM swept WHERE verdict <> 'spared'""",
-    X.DOC_FILES, X.INDEX0, X.LISTING, OPEN_MARK,
+    X.DOC_FILES, X.INDEX0, X.LISTING, SWEPT,
 )
 def sweep_records_whole(spark, sf_dir):
     swept = scan.sweep(_marked(spark, sf_dir), X.listing(spark, sf_dir), _hidden(), F.col("high")).drop("high")
@@ -156,7 +157,28 @@ def applied_deletes_whole(spark, sf_dir):
 def scan_pass(spark, sf_dir):
     """A whole scan pass: the next state of the index."""
     contents = _listed_files(spark, sf_dir).select("folder", "name", "content", F.lit(None).cast("string").alias("status"))
-    state = L.scan_pass(X.listing(spark, sf_dir), X.index0(spark, sf_dir), contents, _hidden(), X.DEVICE, X.NOW)
+    state = L.scan_pass(X.listing(spark, sf_dir), X.index0(spark, sf_dir), contents, _hidden(), X.DEVICE, X.NOW, ".part")
+    return state.select("folder", "name", "deleted", "invalid", "sequence")
+
+
+@query(
+    f"""SELECT folder, name, coalesce(n.deleted, i.deleted) AS deleted, coalesce(n.invalid, i.invalid) AS invalid, coalesce(n.sequence, i.sequence) AS sequence FROM index0 i FULL JOIN (
+ SELECT folder, name, verdict = 'tombstone' AS deleted, verdict = 'invalid' AS invalid,
+  (SELECT max(sequence) FROM index0 x WHERE x.folder = c.folder) + row_number() OVER (PARTITION BY folder ORDER BY name) AS sequence FROM (
+  SELECT folder, name, 'file' AS verdict FROM walk_diff JOIN read_files USING (folder, name) WHERE change IN ('new', 'changed') AND NOT is_dir AND status IS NULL AND size = listed
+  UNION ALL SELECT folder, name, 'dir' FROM walk_diff WHERE change IN ('new', 'changed') AND is_dir
+  UNION ALL SELECT folder, name, CASE WHEN regexp_matches(name, '{HIDDEN}') THEN 'invalid' ELSE 'tombstone' END FROM index0 i WHERE NOT deleted AND NOT invalid
+   AND (NOT EXISTS (SELECT 1 FROM walked l WHERE l.folder = i.folder AND l.name = i.name)
+    OR EXISTS (SELECT 1 FROM walk_diff d JOIN read_files r USING (folder, name) WHERE d.folder = i.folder AND d.name = i.name AND change = 'changed' AND status = 'vanished'))
+   AND NOT (type = 1 AND regexp_matches(name, '{HIDDEN}'))) c) n USING (folder, name)""",
+    *SCANS, WALKED, WALK_DIFF, READ_FILES,
+)
+def scan_pass_statuses(spark, sf_dir):
+    """A scan pass in which files vanish, can't be read, are too big or change while they are hashed."""
+    k = F.col("doc_id") % 19
+    status = F.when(k < 5, "vanished").when(k < 8, "unreadable").when(k < 10, "too_big")
+    contents = _listed_files(spark, sf_dir).select("folder", "name", "content", status.alias("status"))
+    state = L.scan_pass(X.listing(spark, sf_dir), X.index0(spark, sf_dir), contents, _hidden(), X.DEVICE, X.NOW, ".part")
     return state.select("folder", "name", "deleted", "invalid", "sequence")
 
 

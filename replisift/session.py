@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+REPO_ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they share the driver's file system."""
+    env = spark.sparkContext.environment
+    if REPO_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, env.get("PYTHONPATH", "")) if x)
+
 
 def session(app: str = "replisift", **conf: str) -> SparkSession:
     """A session in UTC, with adaptive execution; existing settings of a cluster win where they are given in ``conf``."""

@@ -57,26 +57,67 @@ def same(a: str | None, b: str | None) -> bool:
     return normalize(a) is not None and normalize(a) == normalize(b)
 
 
-def _mapped(fn, kind: str, column: Column) -> Column:
-    @F.pandas_udf(kind)
-    def run(values):
-        import pandas as pd
+# --- on columns, by built-in functions
 
-        return pd.Series([fn(v) for v in values], dtype="object")
 
-    return run(column)
+def _digit(char: Column) -> Column:
+    """A base-32 character's value."""
+    return F.call_function("instr", F.lit(ALPHABET), char) - 1
+
+
+def _letter(value: Column) -> Column:
+    return F.substring(F.lit(ALPHABET), value + 1, F.lit(1))
+
+
+def _shifted(value: Column, by: Column) -> Column:
+    return F.call_function("shiftright", value, by)
+
+
+def _check(chunk: Column) -> Column:
+    """:func:`check_character` of a column of 13 characters."""
+
+    def one(total: Column, k: Column) -> Column:
+        x = _digit(F.substring(chunk, k + 1, F.lit(1))) * (1 + k % 2)
+        return total + _shifted(x, F.lit(5)) + x.bitwiseAND(F.lit(31))
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(12)), F.lit(0), one)
+    return _letter(F.pmod(-total, F.lit(32)))
+
+
+def _grouped(plain: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substring(plain, k * 7 + 1, F.lit(7))), "-")
 
 
 def device_id(raw: Column) -> Column:
-    """:func:`from_raw` of a binary column, by Arrow batches."""
-    return _mapped(from_raw, "string", raw)
+    """:func:`from_raw` of a binary column: five bits of the hash a character."""
+    digits = F.concat(F.hex(raw), F.lit("00"))
+
+    def letter(k: Column) -> Column:
+        at, rest = _shifted(k * 5, F.lit(2)), (k * 5).bitwiseAND(F.lit(3))
+        byte = F.conv(F.substring(digits, at + 1, F.lit(2)), 16, 10).cast("int")
+        return _letter(_shifted(byte, 3 - rest).bitwiseAND(F.lit(31)))
+
+    chunk = lambda j: F.array_join(F.transform(F.sequence(j * 13, j * 13 + 12), letter), "")
+    whole = F.transform(F.transform(F.sequence(F.lit(0), F.lit(3)), chunk), lambda c: F.concat(c, _check(c)))
+    return F.when(F.octet_length(raw) == 32, _grouped(F.array_join(whole, "")))
 
 
 def normalized(text: Column) -> Column:
-    """:func:`normalize` of a text column, by Arrow batches."""
-    return _mapped(normalize, "string", text)
+    """:func:`normalize` of a text column."""
+    plain = F.upper(F.translate(text, "- ", ""))
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.substring(plain, j * 14 + 1, F.lit(14)))
+    checked = F.forall(chunks, lambda c: _check(F.substring(c, F.lit(1), F.lit(13))) == F.substring(c, F.lit(14), F.lit(1)))
+    return F.when(plain.rlike("^[A-Z2-7]{56}$"), F.when(checked, _grouped(plain)))
 
 
 def raw_of(text: Column) -> Column:
-    """:func:`to_raw` of a text column, by Arrow batches."""
-    return _mapped(to_raw, "binary", text)
+    """:func:`to_raw` of a text column: four bits of the id's characters a hexadecimal digit."""
+    plain = F.regexp_replace(normalized(text), "-", "")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.substring(plain, j * 14 + 1, F.lit(13))), "")
+
+    def nibble(k: Column) -> Column:
+        at, rest = F.floor(k * 4 / 5).cast("int"), k * 4 % 5
+        pair = _digit(F.substring(body, at + 1, F.lit(1))) * 32 + F.when(at < 51, _digit(F.substring(body, at + 2, F.lit(1)))).otherwise(F.lit(0))
+        return F.hex(_shifted(pair, 6 - rest).bitwiseAND(F.lit(15)))
+
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), nibble), ""))

@@ -38,7 +38,7 @@ def scan_inputs(spark):
 
 def test_scan_pass(spark):
     listing, index, contents = scan_inputs(spark)
-    after = L.scan_pass(listing, index, contents, F.col("name") == "hidden", "1", NOW)
+    after = L.scan_pass(listing, index, contents, F.col("name") == "hidden", "1", NOW, ".part")
     got = keyed(after)
     assert set(got) == {"same", "changed", "gone", "hidden", "dead", "new", "dir"}
     numbered = sorted((r.sequence, n) for n, r in got.items() if r.sequence > 5)
@@ -46,16 +46,32 @@ def test_scan_pass(spark):
     assert got["gone"].deleted and got["gone"].version == {"2": 3, "1": NOW} and got["hidden"].invalid and not got["hidden"].deleted
     assert got["changed"].size == 3 and got["changed"].version == {"2": 2, "1": NOW} and got["same"].sequence == 1
     assert [r.folder for r in L.advanced(index, after).collect()] == ["f"] and L.advanced(index, index).count() == 0
-    part = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, complete=False))
+    part = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, ".part", complete=False))
     assert not part["gone"].deleted and part["changed"].sequence == 6
 
 
+def test_what_vanished_during_the_walk_is_swept(spark):
+    """A live record whose file was listed and then gone gets a tombstone; one that couldn't be read keeps its record."""
+    index = records(spark, [(n, 1, 5, k + 1, {"2": k + 1}, n) for k, n in enumerate(["lost", "locked", "large", "growing", "fresh.tmp"])] + [("was", 0, 5, 9, {"2": 9}, None)])
+    names = ["lost", "locked", "large", "growing", "was", "never", "fresh.tmp", "staged.part"]
+    listing = spark.createDataFrame([("f", n, 2, 6, False) for n in names], LISTING)
+    rows = [("lost", None, "vanished"), ("locked", None, "unreadable"), ("large", None, "too_big"), ("growing", b"abc", None), ("was", None, "vanished"), ("never", None, "vanished"), ("fresh.tmp", b"ab", None)]
+    contents = spark.createDataFrame([("f", n, bytearray(c) if c else None, s) for n, c, s in rows], "folder string, name string, content binary, status string")
+    got = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, ".part"))
+    assert got["lost"].deleted and got["lost"].version == {"2": 1, "1": NOW} and got["lost"].block_hashes == []
+    assert [got[n].sequence for n in ("locked", "large", "growing")] == [2, 3, 4] and not any(got[n].deleted for n in ("locked", "large", "growing"))
+    assert got["was"].sequence == 9 and "never" not in got and "staged.part" not in got
+    assert not got["fresh.tmp"].deleted and got["fresh.tmp"].size == 2  # only the receiver's own suffix hides a file
+    part = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, ".part", complete=False))
+    assert not part["lost"].deleted and part["fresh.tmp"].size == 2
+
+
 def test_scan_pass_of_a_mirror(spark):
     listing, index, contents = scan_inputs(spark)
-    got = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, RECEIVE_ONLY))
+    got = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, ".part", RECEIVE_ONLY))
     # what changed or is missing here is forgotten, not deleted; nothing of ours is added but directories
     assert set(got) == {"same", "hidden", "dead", "dir"} and not got["hidden"].deleted
-    part = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, RECEIVE_ONLY, complete=False))
+    part = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, ".part", RECEIVE_ONLY, complete=False))
     assert set(part) == {"same", "hidden", "dead", "dir", "gone"}
 
 

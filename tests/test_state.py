@@ -45,7 +45,7 @@ def test_walk(spark):
         spark, ("f", "a", 1, 1, False), ("f", "d", 9, 1, True), ("f", "d/.StIgnore", 1, 1, False), (("f"), "x.TMP", 1, 1, False), ("f", ".StVersions/a", 1, 1, False),
         ("f", "d/.stversions/a", 1, 1, False), ("f", "/".join("abcdefghijklm"), 1, 1, False), ("f", "/".join("abcdefghijklmn"), 1, 1, False), ("f", "z" * 256, 1, 1, False), ("f", "no/b", 1, 1, False),
     )
-    kept = scan.walk(rows, globs.ignored(F.col("name"), globs.parse_rules("/no").rules))
+    kept = scan.walk(rows, globs.ignored(F.col("name"), globs.parse_rules("/no").rules), ".tmp")
     assert by_name(kept, "size") == {"a": 1, "d": 0, "d/.stversions/a": 1, "/".join("abcdefghijklm"): 1}
 
 
@@ -87,7 +87,7 @@ def test_index_changes(spark):
     assert {r.folder: (r.verb, r.name) for r in idx.latest_change(changes).collect()} == {"f": ("updated", "x"), "g": ("added", "y")}
     assert idx.forget(a, a.where("folder = 'g'")).count() == 2 and idx.reset(a, "f").count() == 1
     temps = listing(spark, ("f", "a.tmp", 1, 0, False), ("f", "b.tmp", 1, 8 * day, False), ("f", "c", 1, 0, False))
-    assert [r.name for r in idx.stale_temps(temps, 8 * day).collect()] == ["a.tmp"]
+    assert [r.name for r in idx.stale_temps(temps, 8 * day, ".tmp").collect()] == ["a.tmp"]
 
 
 def test_feed(spark):
