@@ -56,6 +56,8 @@ NAME_OF_HEADER = frozenset(["header"])
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
 
 NAME_END, TAG_PART = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
+#: A whole tag without another angle bracket in it, as nearly all are; it never looks past the next one.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'<]*+)((?:[^>\"'<]|\"[^\"<]*+\"|'[^'<]*+')*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -90,6 +92,10 @@ def tags(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
         return m.start() if m else size
 
     while (start := html.find("<", pos)) >= 0:
+        if m := PLAIN_TAG.match(html, start):
+            pos = m.end()
+            yield start, pos, bool(m[1]), m[2], m[3]
+            continue
         pos = start + 1
         first = html[pos : pos + 1]
         if html.startswith("<!--", start):
