@@ -76,9 +76,9 @@ def reset(index: DataFrame, folder: str) -> DataFrame:
     return index.where(F.col("folder") != folder)
 
 
-def tombstones(index: DataFrame, device: str, when_s: int) -> DataFrame:
+def tombstones(index: DataFrame, device: str, when_s: int | Column) -> DataFrame:
     """Records as deleted by us at a time: type and permissions stay, our counter is bumped, content is gone."""
-    now = F.lit(when_s).cast("long")
+    now = (when_s if isinstance(when_s, Column) else F.lit(when_s)).cast("long")
     return index.withColumns(
         {
             "deleted": F.lit(True), "invalid": F.lit(False), "size": F.lit(0).cast("long"), "modified_s": now, "modified_ns": F.lit(0),

@@ -53,17 +53,10 @@ def local_changes(have: DataFrame, edits: DataFrame, device: str) -> DataFrame:
         )
     )
     gone = now.where("content_hash IS NULL AND __live").select(*KEY, F.col("modified_s").alias("__when"))
-    dead = tombstones(have.join(gone, KEY).drop("__when"), device, 0)
-    # Each deletion has a time of its own.
-    dead = dead.join(gone, KEY).withColumns({"modified_s": F.col("__when"), "version": version.bump(_before(have, dead), F.lit(device), F.col("__when"))}).drop("__when")
+    dead = tombstones(have.join(gone, KEY), device, F.col("__when")).drop("__when")
     return materialized(commit(have, files.unionByName(conform(dead))), "replica")
 
 
-def _before(have: DataFrame, dead: DataFrame):
-    # Tombstones made at time 0 have bumped the counter by one at least; a later time may bump it further.
-    return F.col("version")
-
-
 def news(state: DataFrame, cursors: DataFrame) -> DataFrame:
     """A replica's records above a peer's cursors (folder, cursor); folders without one are told whole."""
     now = high_water(state).join(cursors, "folder", "left").select(F.lit("").alias("peer"), "folder", F.coalesce("cursor", F.lit(0).cast("long")).alias("cursor"), F.col("high").alias("snapshot"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +61,11 @@ def same(a: str | None, b: str | None) -> bool:
 # --- on columns, by built-in functions
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _digit(char: Column) -> Column:
     """A base-32 character's value."""
     return F.call_function("instr", F.lit(ALPHABET), char) - 1
@@ -90,34 +96,43 @@ def _grouped(plain: Column) -> Column:
 
 def device_id(raw: Column) -> Column:
     """:func:`from_raw` of a binary column: five bits of the hash a character."""
-    digits = F.concat(F.hex(raw), F.lit("00"))
 
-    def letter(k: Column) -> Column:
-        at, rest = _shifted(k * 5, F.lit(2)), (k * 5).bitwiseAND(F.lit(3))
-        byte = F.conv(F.substring(digits, at + 1, F.lit(2)), 16, 10).cast("int")
-        return _letter(_shifted(byte, 3 - rest).bitwiseAND(F.lit(31)))
+    def of(digits: Column) -> Column:
+        def letter(k: Column) -> Column:
+            at, rest = _shifted(k * 5, F.lit(2)), (k * 5).bitwiseAND(F.lit(3))
+            byte = F.conv(F.substring(digits, at + 1, F.lit(2)), 16, 10).cast("int")
+            return _letter(_shifted(byte, 3 - rest).bitwiseAND(F.lit(31)))
 
-    chunk = lambda j: F.array_join(F.transform(F.sequence(j * 13, j * 13 + 12), letter), "")
-    whole = F.transform(F.transform(F.sequence(F.lit(0), F.lit(3)), chunk), lambda c: F.concat(c, _check(c)))
-    return F.when(F.octet_length(raw) == 32, _grouped(F.array_join(whole, "")))
+        chunk = lambda j: F.array_join(F.transform(F.sequence(j * 13, j * 13 + 12), letter), "")
+        whole = F.transform(F.transform(F.sequence(F.lit(0), F.lit(3)), chunk), lambda c: F.concat(c, _check(c)))
+        return _let(F.array_join(whole, ""), _grouped)
+
+    return F.when(F.octet_length(raw) == 32, _let(F.concat(F.hex(raw), F.lit("00")), of))
 
 
 def normalized(text: Column) -> Column:
     """:func:`normalize` of a text column."""
-    plain = F.upper(F.translate(text, "- ", ""))
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.substring(plain, j * 14 + 1, F.lit(14)))
-    checked = F.forall(chunks, lambda c: _check(F.substring(c, F.lit(1), F.lit(13))) == F.substring(c, F.lit(14), F.lit(1)))
-    return F.when(plain.rlike("^[A-Z2-7]{56}$"), F.when(checked, _grouped(plain)))
+
+    def of(plain: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.substring(plain, j * 14 + 1, F.lit(14)))
+        checked = F.forall(chunks, lambda c: _check(F.substring(c, F.lit(1), F.lit(13))) == F.substring(c, F.lit(14), F.lit(1)))
+        return F.when(plain.rlike("^[A-Z2-7]{56}$"), F.when(checked, _grouped(plain)))
+
+    return _let(F.upper(F.translate(text, "- ", "")), of)
 
 
 def raw_of(text: Column) -> Column:
     """:func:`to_raw` of a text column: four bits of the id's characters a hexadecimal digit."""
-    plain = F.regexp_replace(normalized(text), "-", "")
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.substring(plain, j * 14 + 1, F.lit(13))), "")
 
-    def nibble(k: Column) -> Column:
-        at, rest = F.floor(k * 4 / 5).cast("int"), k * 4 % 5
-        pair = _digit(F.substring(body, at + 1, F.lit(1))) * 32 + F.when(at < 51, _digit(F.substring(body, at + 2, F.lit(1)))).otherwise(F.lit(0))
-        return F.hex(_shifted(pair, 6 - rest).bitwiseAND(F.lit(15)))
+    def of(body: Column) -> Column:
+        def nibble(k: Column) -> Column:
+            at, rest = F.floor(k * 4 / 5).cast("int"), k * 4 % 5
+            pair = _digit(F.substring(body, at + 1, F.lit(1))) * 32 + F.when(at < 51, _digit(F.substring(body, at + 2, F.lit(1)))).otherwise(F.lit(0))
+            return F.hex(_shifted(pair, 6 - rest).bitwiseAND(F.lit(15)))
+
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), nibble), ""))
+
+    def without_checks(plain: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.substring(plain, j * 14 + 1, F.lit(13))), "")
 
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), nibble), ""))
+    return _let(F.regexp_replace(normalized(text), "-", ""), lambda plain: _let(without_checks(plain), of))
