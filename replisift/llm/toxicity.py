@@ -4,8 +4,8 @@ Features are a text's distinct lower-case words and their beginnings.  A
 logistic model with an L1 penalty is fitted on the driver to a bounded sample of
 labelled rows.  For each identity term in a labelled sentence the sentence is
 also taken with the term swapped for others of its kind; a penalty on the
-squared change of the score keeps the model from learning that merely naming a
-group is toxic.  Scoring is one pass over the whole texts with the few features
+squared difference of the two sentences' scores keeps the model from learning
+that merely naming a group is toxic.  Scoring is one pass over the whole texts with the few features
 that have weight.
 
 Bounds, all parameters: ``SAMPLE`` labelled rows (those with the smallest hashes
@@ -129,25 +129,37 @@ def fit(rows: list[tuple[bytes, int]], l1: float = 0.008, swap_weight: float = 1
 
     counts[0].clear()
     counts[1].clear()
-    found, moved = [], []  # a text's chosen features; the features that leave and come with each swap
-    for text, _ in rows:
+    found, moved, whose = [], [], []  # a text's chosen features; the features that leave and come with each swap, and its text
+    for k, (text, _) in enumerate(rows):
         words = words_of(text)
         found.append(np.array(sorted({place[f] for w in words for f in features_of(w) if f in place}), np.int32))
-        moved += [(set(features_of(a)), set(features_of(b))) for a, b in swaps(words, identity)]
+        had = {f for w in words for f in features_of(w)}
+        for a, b in swaps(words, identity):
+            # A feature leaves with a word only if no other word has it, and comes only if none had it.
+            rest = {f for w in words - {a} for f in features_of(w)}
+            moved.append((set(features_of(a)) - rest, set(features_of(b)) - had))
+            whose.append(k)
     at, col = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
     deltas = [(i, place[f], s) for i, (out, into) in enumerate(moved) for f, s in [*((f, -1.0) for f in out - into), *((f, 1.0) for f in into - out)] if f in place]
     d_at, d_col, d_sign = (np.array([d[k] for d in deltas], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
 
-    size, m = len(chosen), max(1, len(moved))
+    size, m, owner = len(chosen), max(1, len(moved)), np.array(whose, np.int64)
+
+    def logistic(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         z = np.bincount(at, w[col], n) + b
-        r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / n
-        g = np.bincount(col, r[at], size)
+        score = logistic(z)
+        r, g = (score - labels) / n, 0.0
         if len(deltas):
-            change = np.bincount(d_at, w[d_col] * d_sign, len(moved))
-            g += 2 * swap_weight / m * np.bincount(d_col, change[d_at] * d_sign, size)
-        return g, r.sum()
+            # The score of each sentence and of the same with a term swapped; the penalty is the mean square of their difference.
+            own, other = score[owner], logistic(z[owner] + np.bincount(d_at, w[d_col] * d_sign, len(moved)))
+            pull = 2 * swap_weight / m * (other - own)
+            slope = pull * other * (1 - other)
+            g = np.bincount(d_col, slope[d_at] * d_sign, size)
+            r = r + np.bincount(owner, slope - pull * own * (1 - own), n)
+        return g + np.bincount(col, r[at], size), r.sum()
 
     w, b = np.zeros(size), math.log(n1 / n0)
     second, momentum = np.zeros(size), np.zeros(size)

@@ -11,10 +11,11 @@ from tests.llm.test_texts import samples
 def test_read_back_is_what_is_carved(spark):
     rows = media.text_media(docs(spark)).collect()
     assert len(rows) == len(TEXTS)
-    assert {(r.declared_type, r.media_type, r.corrected) for r in rows} == {("text", "png", True)}
+    assert {r.media_type for r in rows} == {"png", "wav"} and len({r.declared_type for r in rows}) > 2
+    assert all(r.corrected == (r.declared_type != r.media_type) for r in rows) and {r.corrected for r in rows} == {True, False}
     sniff = media.Sniffer()
     for r in rows:
-        assert media.read_record(sniff, media.record(bytes(r.media), "png")) == ("png", "png", bytes(r.media))
+        assert media.read_record(sniff, media.record(bytes(r.media), "png", "x" * 9)) == ("png", r.media_type, bytes(r.media))
     for kind, data in samples().items():
         assert media.read_record(sniff, media.record(data, "x/y")) == ("x/y", kind, data)
 
@@ -47,3 +48,19 @@ def test_swap_sets_are_a_parameter():
     assert toxicity.fit(rows).n_swaps == 0
     assert toxicity.fit(rows, identity=["zorp vleen quab"]).n_swaps == 30
     assert toxicity.swaps({b"zorp", b"x"}, ["zorp vleen"]) == [(b"zorp", b"vleen")]
+
+
+def test_forms_and_places_differ_by_text(spark):
+    """Both forms, right and wrong declarations, and beginnings of several lengths; the payload comes back from each."""
+    rng, sniff = random.Random(3), media.Sniffer()
+    seen = set()
+    for _ in range(300):
+        payload = bytes(rng.choice(b"RIFFWAVEBM\x00a") for _ in range(64 * rng.randrange(1, 4)))
+        data = media.text_record(payload)
+        declared, kind, found = media.read_record(sniff, data)
+        assert media.read_samples(found) == payload
+        seen.add((declared, kind, data.index(found)))
+    assert {(d == k) for d, k, _ in seen} == {True, False} and len({a for *_, a in seen}) >= 5 and {k for _, k, _ in seen} == {"png", "wav"}
+    df = spark.createDataFrame([(1, bytearray(media.text_record(bytes(64))), "text")], "doc_id long, body binary, declared string")
+    row = media.sniff_media(df, "body", "declared").first()
+    assert row.media_type is None and len(row.carved) == 1 and media.read_samples(bytes(row.carved[0].data)) == bytes(64)

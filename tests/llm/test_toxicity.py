@@ -23,6 +23,35 @@ def made_up(seed, n=800):
     return rows
 
 
+def plainly(model):
+    """The score by its definition, with nothing of the scorer: distinct words, their beginnings of four to six letters, a sum."""
+    import math
+    import re
+
+    def score(data):
+        text = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in data.decode().lower())
+        found = set()
+        for w in re.split(" +", text):
+            if w:
+                found |= {w.encode(), *(b"^" + w[:n].encode() for n in (4, 5, 6) if len(w) >= n)}
+        return 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in found))))
+
+    return score
+
+
+def test_the_penalty_is_on_scores():
+    """With a strong penalty swapped sentences score alike, whatever else they hold, and their labels are still learnt."""
+    rows = made_up(5)
+    tied = toxicity.fit(rows, swap_weight=50.0)
+    score = plainly(tied)
+    gaps = [abs(score(t) - score(t.replace(b"muslim", b"hindu"))) for t, _ in rows if b"muslim" in t]
+    free = plainly(toxicity.fit(rows, swap_weight=0.0))
+    loose = [abs(free(t) - free(t.replace(b"muslim", b"hindu"))) for t, _ in rows if b"muslim" in t]
+    assert tied.n_swaps > 0 and sum(gaps) < 0.3 * sum(loose)
+    right = sum((score(t) >= 0.5) == bool(y) for t, y in rows)
+    assert right > 0.95 * len(rows)
+
+
 def test_swaps_lower_the_scores_of_mentions():
     rows = made_up(1)
     free, tied = toxicity.fit(rows, swap_weight=0.0).scorer(), toxicity.fit(rows, swap_weight=20.0).scorer()
@@ -45,7 +74,7 @@ def test_query_and_filter(spark):
     texts = TEXTS + [(50, "what a nasty rotten walk"), (51, "Nasty!" * 3)]
     rows = toxicity.score_toxicity(docs(spark, texts), model).collect()
     assert len(rows) == len(texts)
-    score = model.scorer()
+    score = plainly(model)
     by = {i: (t or "").encode() for i, t in texts}
     for r in rows:
         assert abs(r.score - score(by[r.doc_id])) < 1e-12 and r.predicted == int(r.score >= 0.3)
@@ -66,4 +95,4 @@ def test_held_out_accuracy(spark):
     documents, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     scored = toxicity.score_toxicity(documents, toxicity.train(documents, labels)).join(labels, "doc_id").where("held_out")
     got = {r.toxic: (r.n, r.p) for r in scored.groupBy("toxic").agg({"*": "count", "predicted": "avg"}).toDF("toxic", "n", "p").collect()}
-    assert got[1][1] > 0.8 and got[0][1] < 0.02
+    assert got[1][1] >= 0.9 and got[0][1] < 0.02
