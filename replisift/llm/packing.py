@@ -62,6 +62,14 @@ class Generations:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def keep(self, found: dict[bytes, bytes]) -> None:
+        """Puts all of some keys and values, but for keys that are too long."""
+        if len(found) and max(map(len, found)) > CACHED_BYTES:
+            found = {k: v for k, v in found.items() if len(k) <= CACHED_BYTES}
+        if len(self.young) + len(found) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(found)
+
 
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
@@ -115,44 +123,47 @@ class WordIds:
         words = data.split()
         ids = list(map(self.words.young.get, words))
         if None in ids:
-            found, new = {}, []
-            for w in {w for w, x in zip(words, ids, strict=True) if x is None}:
-                x = self.words.old.get(w)
-                if x is None:
-                    new.append(w)
-                else:
-                    found[w] = x
-            found |= zip(new, self._encode(new), strict=True)
-            for w, x in found.items():
-                if len(w) <= CACHED_BYTES:
-                    self.words.put(w, x)
-            ids = [found[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            places = [k for k, x in enumerate(ids) if x is None]
+            new = list(dict.fromkeys([words[k] for k in places]))
+            found = dict(zip(new, map(self.words.old.get, new), strict=True))
+            ask = [w for w in new if found[w] is None]
+            found |= zip(ask, self._encode(ask), strict=True)
+            self.words.keep(found)
+            for k in places:
+                ids[k] = found[words[k]]
         return b"".join(ids)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words."""
-        split = [self._plain(w) for w in words]
-        known = {p: self.pieces.get(p) for p in {p for parts in split for p in parts or ()}}
-        ask = [p for p, x in known.items() if x is None]
+        # A word of plain letters is one piece, whatever the pattern does with others.
+        split = [(w.lower(),) if w.isalpha() else self._plain(w) for w in words]
+        pieces = list(dict.fromkeys([p for parts in split if parts for p in parts]))
+        known = dict(zip(pieces, map(self.pieces.young.get, pieces), strict=True))
+        ask = [p for p in pieces if known[p] is None]
         if ask:
-            joined = " ".join(ask).encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = np.asarray(self._ids(self.model, joined), "<u4")
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(ask, (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist(), strict=True):
-                known[p] = raw[at:end]
-                at = end
-                if len(p) <= CACHED_BYTES:
-                    self.pieces.put(p, known[p])
+            found = dict(zip(ask, map(self.pieces.old.get, ask), strict=True))
+            ask = [p for p in ask if found[p] is None]
+            if ask:
+                joined = b" ".join(ask).decode("latin-1").translate(BYTE_CHARS)
+                ids = np.asarray(self._ids(self.model, joined), "<u4")
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(ask, (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist(), strict=True):
+                    found[p] = raw[at:end]
+                    at = end
+            self.pieces.keep(found)
+            known |= found
         return [
-            b"".join(map(known.__getitem__, parts)) if parts is not None else np.asarray(self._ids(self.tokenizer, w.decode("utf-8", "replace")), "<u4").tobytes()
+            known[parts[0]] if parts is not None and len(parts) == 1
+            else b"".join([known[p] for p in parts]) if parts is not None
+            else np.asarray(self._ids(self.tokenizer, w.decode("utf-8", "replace")), "<u4").tobytes()
             for w, parts in zip(words, split, strict=True)
-        ]
+        ]
 
-    def _plain(self, word: bytes) -> list[str] | None:
+    def _plain(self, word: bytes) -> list[bytes] | None:
         """A word's pieces; None for what only the tokenizer itself can normalise and split."""
         text = word.decode("utf-8", "replace")
         if text.isascii() and text.isprintable() or text.isprintable() and max(text) < LATIN_END:
-            return self.split(text.lower())
+            return [p.encode() for p in self.split(text.lower())]
         return None
 
     @staticmethod
