@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -63,12 +64,12 @@ class Generations:
         self.young[key] = value
 
     def keep(self, found: dict[bytes, bytes]) -> None:
-        """Puts all of some keys and values, but for keys that are too long."""
+        """Puts some keys and values, but for keys that are too long, and no more than a generation holds."""
         if len(found) and max(map(len, found)) > CACHED_BYTES:
             found = {k: v for k, v in found.items() if len(k) <= CACHED_BYTES}
         if len(self.young) + len(found) > self.size:
             self.old, self.young = self.young, {}
-        self.young.update(found)
+        self.young.update(found if len(found) <= self.size else islice(found.items(), self.size))
 
 
 class WordIds:
