@@ -176,3 +176,15 @@ def fingerprint(rules: list[Rule]) -> str:
     """A digest that changes with the rules and their order, not with comments."""
     text = "".join(f"{r.glob}\0{int(r.negate)}{int(r.has_slash)}\n" for r in rules) + str(len(rules))
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def fingerprints(rules: Column) -> Column:
+    """:func:`fingerprint` of a column of rule texts, by Arrow batches; equal texts are parsed once a batch.  Null: that of no rule."""
+
+    @F.pandas_udf("string")
+    def run(texts):
+        plain = texts.fillna("")
+        known = {t: fingerprint(parse_rules(t).rules) for t in plain.unique()}
+        return plain.map(known)
+
+    return run(rules)

@@ -10,6 +10,7 @@ from ..schema import COUNTER
 # Fixed values.
 SMALLEST_BLOCK, LARGEST_BLOCK, WANTED_BLOCKS = 128 << 10, 16 << 20, 2000
 LARGEST_STORED_BLOCK, MOST_BLOCKS = 1 << 20, 2048
+_LOW = 0xFFFFFFFF
 
 
 def block_size(size: Column, smallest: int = SMALLEST_BLOCK, largest: int = LARGEST_BLOCK, wanted: int = WANTED_BLOCKS) -> Column:
@@ -64,6 +65,34 @@ def storable(bs: Column, blocks: Column) -> Column:
     return (n <= 0) | ((bs > 0) & (bs <= LARGEST_STORED_BLOCK) & (n <= MOST_BLOCKS))
 
 
+def _bytes(data: Column) -> Column:
+    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(places, lambda k: F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("long"))
+
+
+def fnv32(data: Column) -> Column:
+    """The 32-bit FNV-1a hash of bytes, as a long."""
+    return F.aggregate(_bytes(data), F.lit(0x811C9DC5).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 0x01000193).bitwiseAND(F.lit(_LOW)))
+
+
+def fnv64(data: Column) -> Column:
+    """The 64-bit FNV-1a hash of bytes, in hexadecimal digits.
+
+    Kept as two halves, as a product of 64 bits doesn't fit a long: the prime is
+    2^40 + 0x1B3, so the upper half gains the lower one shifted by 8 bits.
+    """
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["lo"].bitwiseXOR(b)
+        small = low * 0x1B3
+        high = h["hi"] * 0x1B3 + F.shiftright(small, 32) + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(F.lit(_LOW)).alias("hi"), small.bitwiseAND(F.lit(_LOW)).alias("lo"))
+
+    half = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.aggregate(_bytes(data), start, step, lambda h: F.concat(half(h["hi"]), half(h["lo"])))
+
+
 def short_id(raw: Column) -> Column:
     """The first eight bytes of a device's hash as an unsigned big-endian number."""
     return F.conv(F.substring(F.hex(raw), 1, 16), 16, 10).cast(COUNTER)

@@ -93,6 +93,18 @@ def tz_offset(text: Column) -> Column:
     return F.when(ok, seconds)
 
 
+def civil(unix_s: Column) -> Column:
+    """(year, month, day, hour, minute, second) of Unix seconds in UTC, before 1970 too."""
+    time = F.timestamp_add("SECOND", unix_s.cast("long"), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+    return F.struct(F.year(time).alias("year"), F.month(time).alias("month"), F.day(time).alias("day"), F.hour(time).alias("hour"), F.minute(time).alias("minute"), F.second(time).alias("second"))
+
+
+def days_of(year: Column, month: Column, day: Column) -> Column:
+    """Days from 1970-01-01 to a civil date; a day or month beyond its range counts on into the next."""
+    first = F.make_date(year + F.floor((month - 1) / 12).cast("int"), F.pmod(month - 1, F.lit(12)) + 1, F.lit(1))
+    return F.unix_date(first) + day - 1
+
+
 def disk_time(modified_s: Column, tz_east_s: Column) -> Column:
     """A time as a disk keeps it that knows none before 1978 of local time."""
     return F.greatest(modified_s, F.lit(DISK_EPOCH).cast("long") - tz_east_s)

@@ -124,3 +124,30 @@ def test_rule_files():
     assert globs.load_rules(broken) is None
     a, b = globs.parse_rules("# one\nx\ny"), globs.parse_rules("x\n// two\ny")
     assert globs.fingerprint(a.rules) == globs.fingerprint(b.rules) != globs.fingerprint(globs.parse_rules("y\nx").rules)
+
+
+def test_name_hashes(spark):
+    from replisift.functions import hashing
+    from replisift.sources import files
+
+    names = ["", "a", "foobar", "dir/é日本", "x" * 300]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", hashing.fnv32(F.encode("n", "UTF-8")).alias("a"), hashing.fnv64(F.encode("n", "UTF-8")).alias("b"))
+    for r in df.collect():
+        h = 0x811C9DC5
+        for x in r.n.encode():
+            h = (h ^ x) * 0x01000193 & 0xFFFFFFFF
+        assert r.a == h and files.state_name(r.n) == f"{r.b}.idx"
+    assert {r.n: r.b for r in df.collect()}["foobar"] == "85944171f73967e8"  # a published value
+
+
+def test_civil_dates(spark):
+    import datetime as dt
+
+    from replisift.functions import text
+
+    times = [0, -1, 86399, 951854402, -2208988800, 4102444799, 1709164800]
+    for r in spark.createDataFrame([(t,) for t in times], "t long").select("t", text.civil(F.col("t")).alias("c")).collect():
+        d = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=r.t)
+        assert tuple(r.c) == (d.year, d.month, d.day, d.hour, d.minute, d.second)
+    rows = spark.createDataFrame([(1970, 1, 1), (2024, 2, 30), (2023, 14, 1), (1969, 12, 31), (2024, 0, 1)], "y int, m int, d int")
+    assert [r.n for r in rows.select(text.days_of(F.col("y"), F.col("m"), F.col("d")).alias("n")).collect()] == [0, 19783, 19754, -1, 19692]
