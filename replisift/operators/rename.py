@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FILE, KEY
+from .budgets import fitting_wants
 from .places import placed
 
 CONTENT = ["size", "content_hash"]
@@ -59,40 +60,18 @@ def want_queue(wants: DataFrame, most: int | None = None, most_blocks: int | Non
     The limits keep, by session, the first pushed that fit: at most ``most``, of
     at most ``most_blocks`` blocks in total.  A want that doesn't fit is refused
     and takes nothing, so smaller ones after it may fit.  Whether one fits
-    depends on all before it, so a session's (number, blocks) pairs stream
-    through one task, which holds one batch; without ``most_blocks`` none do.
+    depends on all before it: see :func:`budgets.fitting_wants`, by which a
+    session with most of the wants isn't one task.
     """
     rows = wants.withColumn("stalled", F.col("attempts") >= tries)
     if most_blocks is not None:
-        pushed = wants.where(F.col("n_blocks").between(0, most_blocks)).select("session", "push_no", "n_blocks")
-        rows = rows.join(_fitting(pushed, most, most_blocks), ["session", "push_no"], "left_semi")
+        pushed = wants.where(F.col("n_blocks").isNotNull())
+        rows = rows.join(fitting_wants(pushed, ["session"], ["push_no"], "n_blocks", most_blocks, most), ["session", "push_no"], "left_semi")
     elif most is not None:
         rows = placed(rows, ["session"], ["push_no"]).where(F.col("__place") <= most).drop("__place")
     return rows.orderBy(F.col("push_no").desc())
 
 
-def _fitting(pushed: DataFrame, most: int | None, most_blocks: int) -> DataFrame:
-    """The (session, push_no) of (session, push_no, n_blocks) that are taken in order."""
-    schema = pushed.select("session", "push_no").schema
-
-    def run(batches):
-        import pyarrow as pa
-
-        session, count, used = object(), 0, 0
-        for batch in batches:
-            keep = []
-            for own, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if own != session:
-                    session, count, used = own, 0, 0
-                fits = (most is None or count < most) and n <= most_blocks - used
-                if fits:
-                    count, used = count + 1, used + n
-                keep.append(fits)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return pushed.repartition("session").sortWithinPartitions("session", "push_no").mapInArrow(run, schema)
-
-
 def claims(wants: DataFrame) -> DataFrame:
     """One fetcher a file: (folder, name, session) of the first that asked."""
     return wants.groupBy(*KEY).agg(F.min_by("session", "push_no").alias("session"))

@@ -32,6 +32,27 @@ def test_bursts(spark):
     assert [(a.total_seconds(), b.total_seconds(), n) for a, b, n in got] == [(0, 3.9, 3), (4, 6, 1), (10, 13.5, 2)]
 
 
+def test_bursts_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    """Debouncing on a stream: a burst is told once its quiet time has passed, whatever files its changes came in."""
+    import random
+
+    rng, t0 = random.Random(4), dt.datetime(2024, 1, 1)
+    at, rows = 0.0, []
+    for _ in range(200):
+        at += rng.choice([0.1, 0.5, 1.5, 1.9, 2.5, 9])
+        rows.append((rng.choice(["f", "g"]), t0 + dt.timedelta(seconds=at)))
+    last = t0 + dt.timedelta(seconds=at + 100)
+    for k in range(4):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], "folder string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    spark.createDataFrame([("clock", last)], "folder string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    stream = spark.readStream.schema("folder string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    told = change_feed.bursts(stream, late="1 second")
+    told.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted((r.folder, r.started, r.ended, r.n) for r in df.where("folder <> 'clock'").collect())
+    want = key(change_feed.bursts(spark.createDataFrame(rows, "folder string, ts timestamp")))
+    assert key(spark.read.parquet(f"{tmp_path}/out")) == want and len(want) > 40
+
+
 def test_wants(spark):
     events = [("f", "a", "pushed"), ("f", "b", "failed"), ("f", "b", "failed"), ("f", "b", "failed"), ("f", "c", "failed"), ("f", "c", "done")]
     got = {r.name: (r.attempts, r.state) for r in change_feed.want_states(spark.createDataFrame(events, "folder string, name string, event string")).collect()}
