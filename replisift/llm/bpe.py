@@ -24,7 +24,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ._common import held, map_texts
+from ._common import held, map_texts, ship
 from .token_counts import load_ranks
 
 #: Characters of a leaf, ids of a leaf in decoding, and of the first window on each side.
@@ -122,17 +122,20 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: id and ``decoded`` (binary).  Null or empty ids: no bytes.  An id that isn't in the vocabulary is an error."""
+    import pyarrow as pa
     from pyspark.sql import functions as F
+    from pyspark.sql import types as T
 
-    packed = df.select(F.col(id_col), F.to_json(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))).alias("ids_json"))
-
-    def make():
-        import json
+    ship(df.sparkSession)
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("decoded", T.BinaryType())])
 
+    def run(batches):
         bpe = coder(ranks_path, pattern)
-        return lambda data: [(bpe.decode(json.loads(data)),)]
+        for batch in batches:
+            decoded = [bpe.decode(ids.as_py() or []) for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], [id_col, "decoded"])
 
-    return map_texts(packed, make, [("decoded", "binary")], id_col, "ids_json")
+    return df.select(F.col(id_col), F.col(ids_col).cast("array<int>").alias("__ids")).mapInArrow(run, schema)
 
 
 def bpe_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,16 +82,20 @@ class LongestMatch:
 
 
 class _Counts(dict):
-    """Counts by piece of text; forgets all when full, so memory is bounded."""
+    """Counts by piece of text in two generations: when the young one is full it becomes the old one, and what is asked for again moves back."""
 
-    def __init__(self, automaton: LongestMatch) -> None:
+    def __init__(self, automaton: LongestMatch, most: int = CACHE_SIZE // 2) -> None:
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.most = automaton, most
+        self.old: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> int:
-        n = self.automaton.count(piece.encode())
+        n = self.old.get(piece)
+        if n is None:
+            n = self.automaton.count(piece.encode())
         if len(piece) <= 64:
-            if len(self) >= CACHE_SIZE:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = n
         return n

@@ -228,3 +228,10 @@ def test_quality_bits_of_a_struct(spark):
     ledger = quality.quality_ledger(row).first()
     packed = quality.quality_ledger(row).selectExpr("struct(*) AS `my m`")
     assert packed.select(quality.failed_bits("my m").alias("f")).first().f == ledger.failed > 0
+
+
+def test_counts_keep_their_bound():
+    counts = token_counts.counter(RANKS)
+    small = token_counts._Counts(counts.automaton, 5)
+    pieces = [f"w{k % 17}" for k in range(200)] + ["x" * 100] * 3
+    assert [small[p] for p in pieces] == [counts[p] for p in pieces] and len(small) <= 5 and len(small.old) <= 5
