@@ -5,6 +5,9 @@ is asked for again, ``RETRIES`` times; an attempt ends when a block is damaged
 once more, when the peer refuses the file, or when no good block came for
 ``QUIET_S`` seconds.  The file is then tried again from the blocks that are
 there, ``TRIES`` times in all, after which it is stalled until it is wanted anew.
+With a window the log also says which blocks to ask for: the lowest missing ones,
+so many that as many requests are open at once; blocks that weren't asked for are
+passed over, and a new attempt asks anew.
 
 :func:`transfer_stream` keeps a row of state a transfer and a timer for its
 silence; in event time it says the same as :func:`replay` of the whole table,
@@ -30,9 +33,9 @@ MICROS = 1_000_000
 KEYS = ["session", "folder", "name"]
 #: ``event``: ``want`` (with ``n_blocks``), ``block`` (``i``, ``good``), ``refused``.
 EVENTS = "session string, folder string, name string, at timestamp, event string, n_blocks long, i long, good boolean"
-#: ``step``: started, again (block ``i``), retried, stalled, done.
+#: ``step``: started, ask (block ``i``, with a window), again (block ``i``), retried, stalled, done.
 LOG = "session string, folder string, name string, at_us long, step string, attempt int, i long"
-STATE = "phase string, attempt int, n_blocks long, last_us long, there binary, retries string, timer_ms long"
+STATE = "phase string, attempt int, n_blocks long, last_us long, there binary, asked binary, retries string, timer_ms long"
 
 
 @dataclass
@@ -46,15 +49,29 @@ class Transfer:
     last_us: int = 0
     there: int = 0  # a bit a block
     retries: dict[int, int] = field(default_factory=dict)
+    window: int = 0
+    asked: int = 0  # a bit a block, too
 
-    def _again(self, at_us: int) -> tuple:
+    def _again(self, at_us: int) -> list[tuple]:
         """An attempt has failed: the next one begins, from the blocks that are there, or there is none left."""
-        self.retries = {}
+        self.retries, self.asked = {}, 0
         if self.attempt < TRIES:
             self.attempt, self.last_us = self.attempt + 1, at_us
-            return at_us, "retried", self.attempt, None
+            return [(at_us, "retried", self.attempt, None), *self._ask(at_us)]
         self.phase = "stalled"
-        return at_us, "stalled", self.attempt, None
+        return [(at_us, "stalled", self.attempt, None)]
+
+    def _ask(self, at_us: int) -> list[tuple]:
+        """Requests for the lowest blocks that are neither there nor asked for, up to the window."""
+        out = []
+        while self.phase == "active" and (self.asked & ~self.there).bit_count() < self.window:
+            known = self.asked | self.there
+            i = (~known & known + 1).bit_length() - 1
+            if i >= self.n_blocks:
+                break
+            self.asked |= 1 << i
+            out.append((at_us, "ask", self.attempt, i))
+        return out
 
     def _whole(self, at_us: int) -> list[tuple]:
         if self.there.bit_count() < self.n_blocks:
@@ -66,7 +83,7 @@ class Transfer:
         """The attempts that ended for silence up to now."""
         out = []
         while self.phase == "active" and now_us - self.last_us > self.quiet_us:
-            out.append(self._again(self.last_us + self.quiet_us))
+            out += self._again(self.last_us + self.quiet_us)
         return out
 
     def step(self, at_us: int, event: str, n_blocks: int | None, i: int | None, good: bool | None) -> list[tuple]:
@@ -75,35 +92,35 @@ class Transfer:
         if event == "want" and self.phase != "active":
             if n_blocks != self.n_blocks or self.phase == "done":
                 self.there = 0
-            self.phase, self.attempt, self.n_blocks, self.last_us, self.retries = "active", 1, n_blocks or 0, at_us, {}
+            self.phase, self.attempt, self.n_blocks, self.last_us, self.retries, self.asked = "active", 1, n_blocks or 0, at_us, {}, 0
             out.append((at_us, "started", 1, None))
-            out += self._whole(at_us)
+            out += self._whole(at_us) + self._ask(at_us)
         elif self.phase != "active":
             return out
         elif event == "refused":
-            out.append(self._again(at_us))
-        elif event == "block" and i is not None and 0 <= i < self.n_blocks and not self.there >> i & 1:
+            out += self._again(at_us)
+        elif event == "block" and i is not None and 0 <= i < self.n_blocks and not self.there >> i & 1 and (not self.window or self.asked >> i & 1):
             if good:
                 self.there |= 1 << i
                 self.last_us = at_us
                 self.retries.pop(i, None)
-                out += self._whole(at_us)
+                out += self._whole(at_us) + self._ask(at_us)
             else:
                 self.retries[i] = self.retries.get(i, 0) + 1
-                out.append(self._again(at_us) if self.retries[i] > RETRIES else (at_us, "again", self.attempt, i))
+                out += self._again(at_us) if self.retries[i] > RETRIES else [(at_us, "again", self.attempt, i)]
         return out
 
     def packed(self, timer_ms: int) -> tuple:
         """The state as a row of :data:`STATE`."""
-        there = self.there.to_bytes((self.there.bit_length() + 7) // 8, "little")
-        return self.phase, self.attempt, self.n_blocks, self.last_us, there, ",".join(f"{k}:{v}" for k, v in self.retries.items()), timer_ms
+        bits = lambda x: x.to_bytes((x.bit_length() + 7) // 8, "little")
+        return self.phase, self.attempt, self.n_blocks, self.last_us, bits(self.there), bits(self.asked), ",".join(f"{k}:{v}" for k, v in self.retries.items()), timer_ms
 
     @classmethod
-    def unpacked(cls, row: tuple, quiet_us: int) -> Transfer:
+    def unpacked(cls, row: tuple, quiet_us: int, window: int = 0) -> Transfer:
         """The inverse of :meth:`packed`."""
-        phase, attempt, n_blocks, last_us, there, retries, _ = row
+        phase, attempt, n_blocks, last_us, there, asked, retries, _ = row
         tries = {int(k): int(v) for k, _, v in (x.partition(":") for x in retries.split(",") if x)}
-        return cls(quiet_us, phase, attempt, n_blocks, last_us, int.from_bytes(bytes(there), "little"), tries)
+        return cls(quiet_us, phase, attempt, n_blocks, last_us, int.from_bytes(bytes(there), "little"), tries, window, int.from_bytes(bytes(asked), "little"))
 
 
 #: Order of events that have one time.
@@ -117,8 +134,8 @@ def _sorted(rows: list[tuple]) -> list[tuple]:
 class _Processor(StatefulProcessor):
     """One row of state and one timer a transfer."""
 
-    def __init__(self, quiet_us: int, by_arrival: bool) -> None:
-        self.quiet_us, self.by_arrival = quiet_us, by_arrival
+    def __init__(self, quiet_us: int, by_arrival: bool, window: int) -> None:
+        self.quiet_us, self.by_arrival, self.window = quiet_us, by_arrival, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -126,7 +143,7 @@ class _Processor(StatefulProcessor):
 
     def _load(self) -> tuple[Transfer, int]:
         row = self.state.get()
-        return (Transfer.unpacked(tuple(row), self.quiet_us), row[6]) if row is not None else (Transfer(self.quiet_us), -1)
+        return (Transfer.unpacked(tuple(row), self.quiet_us, self.window), row[7]) if row is not None else (Transfer(self.quiet_us, window=self.window), -1)
 
     def _keep(self, transfer: Transfer, timer_ms: int) -> None:
         due = (transfer.last_us + self.quiet_us) // 1000 + 1 if transfer.phase == "active" else -1
@@ -170,7 +187,7 @@ def _events(events: DataFrame) -> DataFrame:
     return events.withColumn("at_us", F.unix_micros(F.col("at").cast("timestamp"))).withColumn("at", F.col("at").cast("timestamp"))
 
 
-def transfer_stream(events: DataFrame, late: str = "0 seconds", quiet_s: int = QUIET_S, by_arrival: bool = False) -> DataFrame:
+def transfer_stream(events: DataFrame, late: str = "0 seconds", quiet_s: int = QUIET_S, by_arrival: bool = False, window: int = 0) -> DataFrame:
     """The log of transfers from a stream of :data:`EVENTS`.
 
     In event time (``by_arrival`` false) events may be ``late`` by that much, and
@@ -181,7 +198,7 @@ def transfer_stream(events: DataFrame, late: str = "0 seconds", quiet_s: int = Q
     ship(events.sparkSession)
     rows = _events(events)
     rows = rows if by_arrival else rows.withWatermark("at", late)
-    return rows.groupBy(*KEYS).transformWithState(_Processor(quiet_s * MICROS, by_arrival), LOG, "append", "ProcessingTime" if by_arrival else "EventTime")
+    return rows.groupBy(*KEYS).transformWithState(_Processor(quiet_s * MICROS, by_arrival, window), LOG, "append", "ProcessingTime" if by_arrival else "EventTime")
 
 
 def with_state_store(spark) -> None:
@@ -189,7 +206,7 @@ def with_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def replay(events: DataFrame, until_us: int | None = None, quiet_s: int = QUIET_S) -> DataFrame:
+def replay(events: DataFrame, until_us: int | None = None, quiet_s: int = QUIET_S, window: int = 0) -> DataFrame:
     """The log of transfers from a table of :data:`EVENTS`: each transfer's events in order, then its silence until a time.
 
     Events stream through tasks sorted by transfer, so none is held whole.  No event: no row.
@@ -202,7 +219,7 @@ def replay(events: DataFrame, until_us: int | None = None, quiet_s: int = QUIET_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in LOG.split(", ")]
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
-        own, transfer, out = None, Transfer(quiet_s * MICROS), []
+        own, transfer, out = None, Transfer(quiet_s * MICROS, window=window), []
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
@@ -217,7 +234,7 @@ def replay(events: DataFrame, until_us: int | None = None, quiet_s: int = QUIET_
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != own:
                     end()
-                    own, transfer = row[:3], Transfer(quiet_s * MICROS)
+                    own, transfer = row[:3], Transfer(quiet_s * MICROS, window=window)
                 out.extend((*own, *x) for x in transfer.step(*row[3:]))
             yield flush()
         end()
@@ -230,4 +247,4 @@ def latest_states(log: DataFrame) -> DataFrame:
     """(session, folder, name, step, attempt): each transfer's last step; of steps at one time the one that ends it."""
     rank = F.when(F.col("step").isin("done", "stalled"), 2).when(F.col("step") == "retried", 1).otherwise(0)
     last = F.max_by(F.struct("step", "attempt"), F.struct("at_us", "attempt", rank)).alias("l")
-    return log.groupBy(*KEYS).agg(last).select(*KEYS, "l.step", "l.attempt")
+    return log.where("step <> 'ask'").groupBy(*KEYS).agg(last).select(*KEYS, "l.step", "l.attempt")

@@ -12,18 +12,26 @@ from replisift.streaming import transfers as T
 START = dt.datetime(2024, 1, 1)
 
 
-def fold(events, until, quiet=120):
+def fold(events, until, quiet=120, window=0):
     """The rules once more, written down for one transfer: (second, event, n_blocks, i, good) in order."""
-    log, phase, attempt, n, last, there, tries = [], "idle", 0, 0, 0, set(), {}
+    log, phase, attempt, n, last, there, tries, asked = [], "idle", 0, 0, 0, set(), {}, set()
+
+    def ask(at):
+        for i in range(n):
+            if phase == "active" and i not in there and i not in asked and len(asked - there) < window:
+                asked.add(i)
+                log.append((at, "ask", attempt, i))
 
     def fail(at):
         nonlocal phase, attempt, last, tries
         tries = {}
+        asked.clear()
         if attempt == 3:
             phase = "stalled"
         else:
             attempt, last = attempt + 1, at
         log.append((at, "stalled" if phase == "stalled" else "retried", attempt, None))
+        ask(at)
 
     def quiet_until(at):
         while phase == "active" and at - last > quiet:
@@ -36,12 +44,18 @@ def fold(events, until, quiet=120):
                 there = there if blocks == n and phase == "stalled" else set()
                 phase, attempt, n, last, tries = "active", 1, blocks, at, {}
                 log.append((at, "started", 1, None))
+                asked.clear()
+                if len(there) < n:
+                    ask(at)
         elif phase == "active" and event == "refused":
             fail(at)
-        elif phase == "active" and event == "block" and i < n and i not in there:
+        elif phase == "active" and event == "block" and i < n and i not in there and (not window or i in asked):
             if good:
                 there.add(i)
                 last = at
+                tries.pop(i, None)
+                if len(there) < n:
+                    ask(at)
             else:
                 tries[i] = tries.get(i, 0) + 1
                 if tries[i] == 4:
@@ -106,11 +120,11 @@ def test_stream_equals_the_replay(spark, tmp_path):
     for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
         spark.createDataFrame(rows[a:b], T.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{k:02d}")
     stream = spark.readStream.schema(T.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    query = T.transfer_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    query = T.transfer_stream(stream, window=2).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     got = logged(spark.read.schema(T.LOG).parquet(f"{tmp_path}/out"))
     base = int(START.replace(tzinfo=dt.UTC).timestamp()) * 1_000_000
-    want = logged(T.replay(spark.createDataFrame(rows, T.EVENTS), base + end * 1_000_000))
+    want = logged(T.replay(spark.createDataFrame(rows, T.EVENTS), base + end * 1_000_000, window=2))
     assert got == want
 
 
@@ -135,11 +149,23 @@ def test_a_quiet_transfer_is_abandoned_by_the_clock(spark, tmp_path):
     assert steps["quiet"] == [("started", 1), ("retried", 2), ("retried", 3), ("stalled", 3)]
 
 
+@pytest.mark.parametrize("window", [0, 1, 4])
+def test_windows_of_requests(window):
+    for seed in range(1500):
+        rng = random.Random(seed)
+        events, one, got = history(rng, rng.randrange(1, 50)), T.Transfer(window=window), []
+        for at, *event in events:
+            got += one.step(at * T.MICROS, *event)
+            assert (one.asked & ~one.there).bit_count() <= max(window, 0)
+        got += one.silence(20_000 * T.MICROS)
+        assert sorted([(a // T.MICROS, *r) for a, *r in got], key=str) == sorted(fold(events, 20_000, window=window), key=str)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_state_survives_packing(seed):
     rng = random.Random(seed)
-    one = T.Transfer()
+    one = T.Transfer(window=seed)
     for at, *event in history(rng, 60):
-        two = T.Transfer.unpacked(one.packed(5), one.quiet_us)
+        two = T.Transfer.unpacked(one.packed(5), one.quiet_us, seed)
         assert two == one
         one.step(at * T.MICROS, *event)
