@@ -103,8 +103,10 @@ FROM docs LEFT JOIN listed USING (d)"""
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k::INTEGER + 1, 2))::BIGINT)),
  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
 
+_CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"
+
 SPELLING = f"""
-WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+WITH RECURSIVE {_CRC_TABLE},
 found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]{{7,}}')) AS w FROM documents),
 counted AS (SELECT doc_id, w, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM found GROUP BY doc_id, w),
 hashed AS (SELECT w, c, {_CRC} AS h FROM counted, crc_table),
@@ -121,3 +123,40 @@ chain AS (SELECT word, form AS reached, 1 AS step FROM forms UNION ALL SELECT c.
 roots AS (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word)
 SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(x.n_near, 0) AS n_near, f.form_n
 FROM words w LEFT JOIN near x USING (word) LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)"""
+
+_ENTITIES = [("&quot;", '"'), ("&apos;", "\'\'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&amp", "&")]
+
+
+def _decoded(x: str) -> str:
+    for name, char in _ENTITIES:
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+#: What a page's article holds, as far as the driver's pages have markup: headings, paragraphs, breaks, bold words, a few character references.
+HTML = rf"""
+WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS x FROM pages),
+blocks AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(?:h[1-6]|p)(?:\s[^>]*)?>'),
+ lambda b: trim(regexp_replace({_decoded("regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g'))) AS bs FROM articles),
+texts AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda b: b <> ''), chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts"""
+
+#: Runs by all pairs of equal words of a text that stand a period apart: stretches of such pairs, without those that a smaller period has.
+RUNS = rf"""
+WITH {_CRC_TABLE},
+given AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, hex(encode(doc_id::VARCHAR)) AS x FROM documents),
+keyed AS (SELECT d, doc_id, w, len(w) AS n, CASE WHEN x IS NULL THEN 1 ELSE {_CRC} END AS h FROM given, crc_table),
+ruled AS (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM keyed),
+docs AS (SELECT d, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) ELSE w END AS w FROM ruled),
+placed AS (SELECT d, unnest(w) AS word, unnest(range(n)) AS i FROM docs),
+often AS (SELECT d, word, n FROM (SELECT d, word FROM placed GROUP BY d, word HAVING count(*) >= 4) JOIN docs USING (d)),
+pairs AS (SELECT x.d, x.i, y.i - x.i AS q FROM often o JOIN placed x ON x.d = o.d AND x.word = o.word JOIN placed y ON y.d = o.d AND y.word = o.word AND y.i > x.i WHERE y.i - x.i <= o.n // 4),
+stretches AS (SELECT d, q, min(i) AS s, count(*) + q AS l FROM (SELECT d, q, i, i - row_number() OVER (PARTITION BY d, q ORDER BY i) AS k FROM pairs) GROUP BY d, q, k),
+long AS (SELECT * FROM stretches WHERE l >= greatest(6, 4 * q)),
+runs AS (SELECT d, s, l, q FROM long r WHERE NOT EXISTS (SELECT 1 FROM stretches b WHERE b.d = r.d AND b.q < r.q AND b.s <= r.s AND b.s + b.l >= r.s + r.l)),
+best AS (SELECT d, s, l, q FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY l / q DESC, s, q) AS k FROM runs) WHERE k = 1),
+told AS (SELECT d, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY d),
+dropped AS (SELECT DISTINCT d, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT d, string_agg(word, ' ' ORDER BY i) AS rest FROM placed ANTI JOIN dropped USING (d, i) GROUP BY d)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (d) LEFT JOIN best USING (d) LEFT JOIN kept USING (d)"""

@@ -94,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_secret_scans": oracle.SECRETS, "op4_quality_rules": oracle.QUALITY, "op7_ngram_join": oracle.NGRAM_JOIN, "op8_chat_formatting": oracle.CHAT, "op13_spelling": oracle.SPELLING}
+ORACLE_SQL: dict[str, str] = {"op3_secret_scans": oracle.SECRETS, "op4_quality_rules": oracle.QUALITY, "op7_ngram_join": oracle.NGRAM_JOIN, "op8_chat_formatting": oracle.CHAT, "op9_html_extraction": oracle.HTML, "op12_periodic_runs": oracle.RUNS, "op13_spelling": oracle.SPELLING}

@@ -10,9 +10,12 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from replisift.llm import packing, quality, toxicity
+from replisift.llm import oracle as sql
+from replisift.llm import packing, toxicity
 from replisift.llm.queries import WORDS
+from tests import oracle
 from tests.llm.test_ngram_join import brute, shingles
+from tests.llm.test_toxicity import plainly
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,15 +32,14 @@ def table(spark):
 
 def test_toxicity_stage(spark, table):
     model = toxicity.train(table, spark.read.parquet(f"{SF}/labels.parquet"))
-    score = model.scorer()
+    score = plainly(model)
     kept = corpus_pipeline.drop_toxic(spark, table, SF)
     assert kept.columns == table.columns
     assert rows(kept) == Counter(tuple(r) for r in table.select(*COLUMNS).collect() if score(r.text.encode()) < 0.3)
 
 
 def test_quality_stage(spark, table):
-    mask = quality.mask(quality.DEFAULT_POLICY)
-    good = {r.doc_id for r in quality.quality_ledger(table).collect() if not r.failed & mask}
+    good = {r[0] for r in oracle.connect(SF).execute(f"SELECT doc_id FROM ({sql.QUALITY}) WHERE kept").fetchall()}
     kept = corpus_pipeline.keep_quality(spark, table, SF)
     assert rows(kept) == Counter(tuple(r) for r in table.select(*COLUMNS).collect() if r.doc_id in good)
 
