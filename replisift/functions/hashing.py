@@ -28,6 +28,11 @@ def n_blocks(size: Column, bs: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(size / bs)).cast("int")
 
 
+def too_big(size: Column) -> Column:
+    """Whether a file has more blocks, of the largest size, than a record can keep: it is listed, but not hashed."""
+    return n_blocks(size, block_size(size)) > MOST_BLOCKS
+
+
 def block_spans(size: Column, bs: Column) -> Column:
     """Array of (offset, size) of a file's blocks."""
     size, bs = size.cast("long"), bs.cast("long")

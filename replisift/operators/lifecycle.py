@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import paths
+from ..functions import hashing, paths
 from ..schema import CONFLICT, COUNTER, DELETE, FETCH, FILE, INDEX, KEY, RECEIVE_ONLY, SEND_RECEIVE, VERSION, conform
 from ..session import materialized
 from . import classify, scan
@@ -44,8 +44,9 @@ def scanned(changes: DataFrame, contents: DataFrame, ignored: Column, device: st
     ``changes`` is of :func:`scan_changes`.  ``contents`` has (folder, name,
     content, status); only files that are new or changed are joined with it.
     ``status``: null for a file that was read, else ``vanished``, ``unreadable`` or
-    ``too_big`` (see :func:`scan.hash_outcome`); only a file whose content has the
-    listed size is committed.  A file that vanished after it was listed isn't
+    ``too_big`` (see :func:`scan.hash_outcome`; a size beyond what a record's blocks
+    can hold is that in any case); only a file whose content has the listed size
+    is committed.  A file that vanished after it was listed isn't
     seen, so the sweep has its live record like that of a file that wasn't
     listed; one that can't be read, is too big or changed meanwhile keeps its
     record.  A mirror (receive-only) commits directories alone and deletes
@@ -57,7 +58,8 @@ def scanned(changes: DataFrame, contents: DataFrame, ignored: Column, device: st
         return directories
     dirty = changes.where(F.col("change").isin("new", "changed") & ~F.col("entry.is_dir"))
     read = dirty.join(contents.select(*KEY, "content", "status"), KEY)
-    outcome = scan.hash_outcome(F.coalesce("status", F.lit("")), F.col("entry.size"), F.octet_length("content"))
+    status = F.when(hashing.too_big(F.col("entry.size")), "too_big").otherwise(F.coalesce("status", F.lit("")))
+    outcome = scan.hash_outcome(status, F.col("entry.size"), F.octet_length("content"))
     read = read.withColumn("outcome", outcome)
     good = read.where("outcome = 'commit'").select(*KEY, "entry.size", "entry.modified_s", F.col("record.version").alias("version"), "content")
     out = conform(scan.commit_files(good, device, now_s)).unionByName(directories)

@@ -64,6 +64,8 @@ def test_what_vanished_during_the_walk_is_swept(spark):
     assert not got["fresh.tmp"].deleted and got["fresh.tmp"].size == 2  # only the receiver's own suffix hides a file
     part = keyed(L.scan_pass(listing, index, contents, F.lit(False), "1", NOW, ".part", complete=False))
     assert not part["lost"].deleted and part["fresh.tmp"].size == 2
+    huge = listing.withColumn("size", F.when(F.col("name") == "lost", 2048 * (16 << 20) + 1).otherwise(F.col("size")))
+    assert not keyed(L.scan_pass(huge, index, contents, F.lit(False), "1", NOW, ".part"))["lost"].deleted  # never opened, so never found to be gone
 
 
 def test_scan_pass_of_a_mirror(spark):
