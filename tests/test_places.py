@@ -59,3 +59,21 @@ def test_many_cursors_give_the_same_news(spark, monkeypatch):
     few = sorted(map(tuple, feed.since(rows, cursors).collect()))
     monkeypatch.setattr(feed, "FEW", 1)
     assert sorted(map(tuple, feed.since(rows, cursors).collect())) == few and len(few) > 100
+
+
+def test_written_tables_go_when_python_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').getOrCreate()\n"
+        "from replisift.session import materialized\n"
+        "d = materialized(s.range(3), 'x')\n"
+        "import os\n"
+        f"print(d.count(), len(os.listdir('{tmp_path}/shared')))\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["3", "1"] and os.listdir(f"{tmp_path}/shared") == []
