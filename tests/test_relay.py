@@ -57,7 +57,7 @@ def test_random_histories_converge(spark, seed):
     rng = random.Random(seed)
     folders, names = [f"s{k}" for k in range(60)], ["a", "b", "c/d", "e", "f.txt"]
     states, cursors, clock = {k: none(spark) for k in DEVICES}, {}, 1000
-    for _ in range(3):
+    for _ in range(2):
         for who in DEVICES:
             edits = {}
             for folder in folders:
@@ -74,7 +74,7 @@ def test_random_histories_converge(spark, seed):
             states[link[1]], _ = R.received(states[link[1]], fresh, DEVICES[link[1]], clock, f"D{DEVICES[link[1]]}")
     states, _ = R.relay(states, CHAIN, DEVICES, clock, cursors)
     a, b, c = (live(states[k]) for k in "abc")
-    assert a == b == c and len(a) > 40
+    assert a == b == c and len(a) > 30
     for df in states.values():
         assert df.groupBy("folder", "sequence").count().where("count > 1").count() == 0
         assert df.groupBy("folder", "name").count().where("count > 1").count() == 0
