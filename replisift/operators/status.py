@@ -23,6 +23,21 @@ def transfer_totals(peers: DataFrame) -> DataFrame:
     return peers.agg(total("in").alias("bytes_in"), total("out").alias("bytes_out"))
 
 
+def gathered(**lists: DataFrame) -> DataFrame:
+    """Items (peer, folder, kind) of the lists that sessions keep (``queued``, ``active``, ``stalled``, ``parked``, ``kept``, ``reverted``), each with a peer and a folder a row.
+
+    A union without a shuffle; lists may have other columns of any kind.
+    """
+    unknown = set(lists) - {*BACKLOG, "kept", "reverted"}
+    if not lists or unknown:
+        raise ValueError(f"no such lists: {sorted(unknown)}" if unknown else "a list at least")
+    out = None
+    for kind, rows in lists.items():
+        one = rows.select("peer", "folder", F.lit(kind).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def session_backlog(items: DataFrame) -> DataFrame:
     """(peer, folder, pending): the items of all kinds of backlog of a session."""
     return items.where(F.col("kind").isin(*BACKLOG)).groupBy("peer", "folder").agg(F.count("*").alias("pending"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import globs, hashing
-from ..operators import budgets, control, relay
+from ..operators import budgets, control, relay, status
 from ..operators import classify as C
 from ..operators import index as idx
 from ..operators import lifecycle as L
@@ -225,6 +225,21 @@ def command_folders(spark, sf_dir):
 
 
 _REPORT_NOW = 1_706_800_000
+@query(
+    """SELECT folder, max(pending) AS pending, max(kept) AS kept, sum(reverted)::BIGINT AS reverted FROM (SELECT peer, folder, count(*) FILTER (WHERE kind IN ('queued', 'active', 'stalled', 'parked')) AS pending,
+ count(*) FILTER (WHERE kind = 'kept') AS kept, count(*) FILTER (WHERE kind = 'reverted') AS reverted FROM (
+ SELECT dev AS peer, folder, 'queued' AS kind FROM feed WHERE NOT deleted AND NOT invalid UNION ALL SELECT dev, folder, 'kept' FROM feed WHERE deleted UNION ALL SELECT dev, folder, 'reverted' FROM feed WHERE invalid
+ UNION ALL SELECT peer, folder, 'parked' FROM peer_sessions WHERE kind = 'parked' UNION ALL SELECT peer, folder, 'stalled' FROM peer_sessions WHERE kind = 'stalled') GROUP BY peer, folder) GROUP BY folder""",
+    *FEEDS, X.PEER_SESSIONS,
+)
+def gathered_backlog(spark, sf_dir):
+    """The backlog of a feed's wants and of what sessions parked or gave up, from a list each."""
+    f = X.feed(spark, sf_dir).withColumn("peer", F.map_keys("version")[0].cast("long"))
+    s = X.peer_sessions(spark, sf_dir)
+    items = status.gathered(queued=f.where("NOT deleted AND NOT invalid"), kept=f.where("deleted"), reverted=f.where("invalid"), parked=s.where("kind = 'parked'"), stalled=s.where("kind = 'stalled'"))
+    return status.backlog(items)
+
+
 _SIZE = """CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1 << 20 THEN (b >> 10) || '.' || ((b & 1023) * 10 // 1024) || ' KB' ELSE (b >> 20) || '.' || (((b >> 10) & 1023) * 10 // 1024) || ' MB' END"""
 
 

@@ -33,7 +33,10 @@ def listing(spark: SparkSession, path: str, folder: str, contents: bool = False)
 
 
 def save_index(index: DataFrame, path: str, version: int, short_id: str) -> None:
-    """Writes a version of an index: its rows, then a manifest by which a reader knows that they are whole."""
+    """Writes a version of an index: its rows, then a manifest by which a reader knows that they are whole.
+
+    Numbers are the caller's; writing one again isn't atomic.  Several writers, or readers meanwhile: :mod:`versions`.
+    """
     target = f"{path}/v{version}"
     conform(index).write.mode("overwrite").partitionBy("folder").parquet(f"{target}/rows")
     spark = index.sparkSession

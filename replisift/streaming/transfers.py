@@ -152,7 +152,12 @@ class _Processor(StatefulProcessor):
                 self.handle.deleteTimer(timer_ms)
             if due >= 0:
                 self.handle.registerTimer(due)
-        self.state.update(transfer.packed(due))
+        if transfer.phase in ("idle", "done"):
+            # Nothing to remember: the next want begins as the first did.  So state grows with what is under way or stalled.
+            if self.state.exists():
+                self.state.clear()
+        else:
+            self.state.update(transfer.packed(due))
 
     def handleInputRows(self, key, rows, timerValues):
         from pyspark.sql import Row
