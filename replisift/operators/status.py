@@ -91,5 +91,9 @@ def status_list(configured: DataFrame, offered: DataFrame) -> DataFrame:
 
 
 def found_peers(seen: DataFrame, peers: DataFrame, configured: bool) -> DataFrame:
-    """Discovered devices that are configured, or those that aren't; ids are compared in normal form."""
-    return seen.join(peers.select("device").distinct(), "device", "left_semi" if configured else "left_anti")
+    """Discovered devices that are configured, or those that aren't; ids are compared in normal form, what is no id as it stands."""
+    from ..sources.device_id import normalized
+
+    keyed = lambda df: df.withColumn("__id", F.coalesce(normalized(F.col("device")), F.col("device")))
+    known = keyed(peers.select("device")).select("__id").distinct()
+    return keyed(seen).join(known, "__id", "left_semi" if configured else "left_anti").drop("__id")

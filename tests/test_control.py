@@ -97,6 +97,15 @@ def test_parts_of_a_log_compose(spark, seed):
     assert rows(C.peers(whole)) == sorted(peers, key=str) and rows(C.folders(whole)) == sorted(folders, key=str) and tuple(C.settings(whole).first()) == settings
 
 
+def test_discovered_ids_are_compared_in_normal_form(spark):
+    from replisift.operators import status
+
+    seen = spark.createDataFrame([(IDS[0].replace("-", "").lower(), 1), (IDS[1], 2), ("odd", 3), ("other", 4)], "device string, k int")
+    peers = spark.createDataFrame([(IDS[0],), ("odd",)], "device string")
+    assert sorted(r.k for r in status.found_peers(seen, peers, True).collect()) == [1, 3]
+    assert sorted(r.k for r in status.found_peers(seen, peers, False).collect()) == [2, 4]
+
+
 def test_report(spark):
     folders = spark.createDataFrame([("f", "Files", "Work:", 2), ("g", "", "Data:", 0)], "folder string, label string, path string, mode int")
     own = index(spark, {"name": "a", "size": 2048}, {"name": "d", "type": 1, "sequence": 2}, {"name": "x", "deleted": True, "sequence": 3})
