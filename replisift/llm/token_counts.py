@@ -84,7 +84,7 @@ class LongestMatch:
 class _Counts(dict):
     """Counts by piece of text in two generations: when the young one is full it becomes the old one, and what is asked for again moves back."""
 
-    def __init__(self, automaton: LongestMatch, most: int = CACHE_SIZE // 2) -> None:
+    def __init__(self, automaton: LongestMatch, most: int = CACHE_SIZE) -> None:
         super().__init__()
         self.automaton, self.most = automaton, most
         self.old: dict[str, int] = {}
