@@ -35,11 +35,15 @@ def cursors(feed: DataFrame) -> DataFrame:
 def bursts(changes: DataFrame, time_col: str = "ts", quiet: str = "2 seconds", late: str | None = None) -> DataFrame:
     """(folder, started, ended, n): runs of changes without a quiet gap, after which a scan is due.
 
-    Works on a table and, with a watermark ``late``, on a stream.
+    A gap of exactly ``quiet`` ends a run.  A session window goes on where a change
+    meets its end, so it is a microsecond shorter, which is added again.  Changes
+    without a time are in no run.  Works on a table and, with a watermark ``late``,
+    on a stream.
     """
     rows = changes.withWatermark(time_col, late) if late else changes
-    window = F.session_window(time_col, quiet)
-    return rows.groupBy("folder", window).agg(F.count("*").alias("n")).select("folder", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
+    window = F.session_window(time_col, f"{quiet} -1 microseconds")
+    ended = F.col("session_window.end") + F.expr("INTERVAL '0.000001' SECOND")
+    return rows.groupBy("folder", window).agg(F.count("*").alias("n")).select("folder", F.col("session_window.start").alias("started"), ended.alias("ended"), "n")
 
 
 def want_states(wants: DataFrame, tries: int = 3) -> DataFrame:

@@ -32,6 +32,30 @@ def test_bursts(spark):
     assert [(a.total_seconds(), b.total_seconds(), n) for a, b, n in got] == [(0, 3.9, 3), (4, 6, 1), (10, 13.5, 2)]
 
 
+def test_a_gap_of_exactly_the_quiet_time_ends_a_burst(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    times = [0, 2, 3.999999, 5.999999]
+    rows = spark.createDataFrame([("f", t0 + dt.timedelta(seconds=s)) for s in times], "folder string, ts timestamp")
+    got = sorted((r.started - t0, r.ended - t0, r.n) for r in change_feed.bursts(rows).collect())
+    assert [(a.total_seconds(), b.total_seconds(), n) for a, b, n in got] == [(0, 2, 1), (2, 5.999999, 2), (5.999999, 7.999999, 1)]
+
+
+def test_change_bursts_with_exact_gaps_and_missing_times(spark, tmp_path):
+    """The query against its SQL where gaps are of exactly two seconds, times tie, and some are missing."""
+    from replisift.plans import catalogue
+    from tests import oracle
+
+    con = oracle.duckdb.connect()
+    con.execute(
+        f"""COPY (SELECT k AS event_id, CASE WHEN k % 50 <> 7 THEN TIMESTAMP '2024-03-10 01:50:00' + to_microseconds((k * k % 997) * 1000000) END AS ts, k % 7 AS user_id,
+ 'view' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM range(600) r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)"""
+    )
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    sql = catalogue.ORACLE_SQL["change_bursts"]
+    assert con.execute(f"SELECT count(*) FILTER (WHERE started IS NULL), count(*) FROM ({sql})").fetchone()[0] == 12
+    assert oracle.same(catalogue.QUERIES["change_bursts"](spark, str(tmp_path)), con, sql)
+
+
 def test_bursts_of_a_stream_are_those_of_the_table(spark, tmp_path):
     """Debouncing on a stream: a burst is told once its quiet time has passed, whatever files its changes came in."""
     import random
