@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 
+#: Tasks that share the folders below a path, and lists that hold its own.
+SALT, CHUNKS = 32, 64
+
 
 def offered_refresh(old: DataFrame, device_col: str, heard: DataFrame, current: DataFrame) -> DataFrame:
     """The registry after some devices spoke: all they offered before goes, what they offer now comes.
@@ -41,14 +44,23 @@ def recent_sightings(sightings: DataFrame, most: int = 16) -> DataFrame:
 
 
 def overlapping(folders: DataFrame) -> DataFrame:
-    """(inner, outer): folders of which one's path lies in the other's, or equals it.
+    """(inner, outer): folders of which one's path lies in the other's, or equals it; a row of ``folders`` is a folder.
 
     Not a comparison of all pairs: a path is joined by equality to each of its
-    own ancestors, of which it has no more than it has components.
+    own ancestors, of which it has no more than it has components.  A path's own
+    folders are gathered in ``CHUNKS`` lists and meet those below it in ``SALT``
+    tasks, so a path of very many folders isn't one task's.  The pairs, which can
+    be far more than the folders, are made last, and neither shuffled nor sorted:
+    a folder has one path, and names each ancestor once, so no pair comes twice.
     """
     low = folders.select("folder", paths.ascii_lower(F.regexp_replace("path", "/+$", "")).alias("p"))
     parts = F.split("p", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     volume = F.when(F.col("p").contains(":"), F.array(F.concat(F.substring_index("p", ":", 1), F.lit(":")))).otherwise(F.expr("cast(array() as array<string>)"))
-    inner = low.select(F.col("folder").alias("inner"), F.explode(F.array_distinct(F.concat(above, volume))).alias("p"))
-    return inner.join(low.select(F.col("folder").alias("outer"), "p"), "p").where("inner != outer").select("inner", "outer").distinct()
+    dealt = lambda n: F.pmod(F.xxhash64("folder"), F.lit(n)).cast("int")
+    inner = low.select(F.col("folder").alias("inner"), dealt(SALT).alias("__salt"), F.explode(F.array_distinct(F.concat(above, volume))).alias("p"))
+    outer = low.where("p IS NOT NULL").groupBy("p", dealt(CHUNKS).alias("__chunk")).agg(F.collect_list("folder").alias("__outers"))
+    outer = outer.select("p", "__outers", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    tasks = int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = inner.repartition(tasks, "p", "__salt").join(outer.repartition(tasks, "p", "__salt"), ["p", "__salt"])
+    return met.select("inner", F.explode("__outers").alias("outer")).where("inner != outer")

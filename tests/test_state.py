@@ -116,6 +116,15 @@ def test_renames(spark):
     assert [r.name for r in order.orderBy("is_dir", F.desc("depth"), "name").collect()] == ["d/e/f", "z", "d/e", "d"]
 
 
+def test_overlapping_shuffles_folders_not_pairs(spark):
+    """2,000 folders of one path and one below it: four million pairs, while what is shuffled grows with the folders."""
+    rows = spark.range(2000).selectExpr("id AS folder", "'work:a' AS path").unionAll(spark.sql("SELECT 2000L AS folder, 'work:a/b' AS path"))
+    pairs = registry.overlapping(rows)
+    assert pairs.selectExpr("count(*)", "sum(inner * 1.0)", "count_if(inner = 2000)").first()[:] == (2000 * 1999 + 2000, 1999 * 1999 * 1000 + 2000 * 2000, 2000)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith(("Filter", "Project", "Generate"))  # nothing gathers the pairs
+
+
 def test_registries_and_status(spark):
     paths = spark.createDataFrame([("1", "Work:A"), ("2", "work:a/b/"), ("3", "work:ab"), ("4", "work:"), ("5", "WORK:A")], "folder string, path string")
     got = {(r.inner, r.outer) for r in registry.overlapping(paths).collect()}
