@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.feed import FEW, SALT
+
 
 def read_changes(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 64) -> DataFrame:
     """A stream of appended change rows."""
@@ -13,8 +15,18 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType, files_per
 
 
 def fan_out(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Each change once for every peer of its folder whose cursor is below its sequence: a join of the stream with a static table."""
-    return changes.join(subscriptions, "folder").where(F.col("sequence") > F.col("cursor"))
+    """Each change once for every peer of its folder whose cursor is below its sequence: a join of the stream with a static table.
+
+    Up to ``FEW`` subscriptions, which are counted, are sent to all tasks, so a
+    folder's changes stay where they were read.  More are joined by folder, a
+    folder's changes dealt to ``SALT`` tasks.
+    """
+    if subscriptions.limit(FEW + 1).count() <= FEW:
+        rows = changes.join(F.broadcast(subscriptions), "folder")
+    else:
+        dealt = changes.withColumn("__salt", F.pmod(F.xxhash64("sequence"), F.lit(SALT)).cast("int"))
+        rows = dealt.join(subscriptions.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["folder", "__salt"]).drop("__salt")
+    return rows.where(F.col("sequence") > F.col("cursor"))
 
 
 def start_feed(changes: DataFrame, subscriptions: DataFrame, out_path: str, checkpoint: str, once: bool = True):

@@ -24,6 +24,19 @@ def test_feed_resumes(spark, tmp_path):
     assert cursors == {("p", "f"): 4, ("q", "f"): 4, ("q", "g"): 9}
 
 
+def test_fan_out_leaves_changes_where_they_were_read(spark, monkeypatch):
+    rows = index(spark, *({"name": f"n{k}", "sequence": k, "folder": "fg"[k % 2]} for k in range(40)))
+    subscriptions = spark.createDataFrame([("p", "f", 0), ("q", "f", 20), ("q", "g", 9)], "peer string, folder string, cursor long")
+    told = change_feed.fan_out(rows, subscriptions)
+    assert "BroadcastHashJoin" in told._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted((r.peer, r.folder, r.sequence) for r in df.collect())
+    want = key(rows.join(subscriptions, "folder").where("sequence > cursor"))
+    assert key(told) == want and len(want) == 19 + 9 + 15
+    monkeypatch.setattr(change_feed, "FEW", 2)
+    many = change_feed.fan_out(rows, subscriptions)
+    assert key(many) == want and sorted(many.columns) == sorted(told.columns)
+
+
 def test_bursts(spark):
     t0 = dt.datetime(2024, 1, 1)
     times = [0, 1, 1.9, 4, 10, 11.5]
