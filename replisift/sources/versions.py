@@ -282,7 +282,8 @@ class DurableQueue:
         if not bases:
             return None, head, head
         starts = self.table.spark.createDataFrame(bases, "__push string, __base long")
-        rows = self.table.read(entry.number).join(starts, "__push").withColumn("__number", F.col("__base") + F.col("__place") - 1)
+        # Sent to all tasks: pushes are few, as the log's notes name each, and one of them may have all rows.
+        rows = self.table.read(entry.number).join(F.broadcast(starts), "__push").withColumn("__number", F.col("__base") + F.col("__place") - 1)
         return rows.where((F.col("__number") >= head) & (F.col("__number") < to)).drop("__push", "__base", "__place"), head, to
 
     @staticmethod

@@ -137,3 +137,11 @@ def test_sink_that_breaks_off_goes_on(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sink.contents, "append", append)
     sink.take(blocks(spark, ("a", 0, b"abcd"), ("a", 1, b"efgh")), 0)
     assert [r.name for r in sink.files().collect()] == ["a"] and sink.staged.read().count() == 0
+
+
+def test_a_push_is_read_where_it_lies(spark, tmp_path):
+    """The rows of one push aren't gathered by its key."""
+    queue = V.DurableQueue(spark, f"file://{tmp_path}/q")
+    queue.push(spark.range(100).selectExpr("id AS name"), ["name"])
+    rows, start, to = queue.peek(60)
+    assert (start, to, rows.count()) == (0, 60, 60) and "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
