@@ -143,5 +143,20 @@ def test_a_push_is_read_where_it_lies(spark, tmp_path):
     """The rows of one push aren't gathered by its key."""
     queue = V.DurableQueue(spark, f"file://{tmp_path}/q")
     queue.push(spark.range(100).selectExpr("id AS name"), ["name"])
-    rows, start, to = queue.peek(60)
-    assert (start, to, rows.count()) == (0, 60, 60) and "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that nothing is sent for its size alone
+    try:
+        rows, start, to = queue.peek(60)
+        assert (start, to, rows.count()) == (0, 60, 60) and "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blocks_are_written_by_many_tasks(spark, monkeypatch):
+    """The blocks that are sent aren't written by one task."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from replisift.plans import exchange
+
+    monkeypatch.setattr(DataFrame, "coalesce", lambda *a: (_ for _ in ()).throw(AssertionError("one task has all blocks")))
+    assert exchange.received_files(spark, "/root/testdata/sf0.001").count() > 100
