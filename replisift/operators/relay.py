@@ -68,16 +68,17 @@ def relay(states: dict[str, DataFrame], links: Iterable[Link], devices: dict[str
 
     ``links``: (sender, receiver).  ``cursors``: (folder, cursor) a link, from an
     earlier call; each is read up to the sender's highest sequences and then kept
-    there, so a record goes over a link once for each of its versions.
+    there, so a record goes over a link once for each of its versions.  Replicas
+    and news are written once, as every step of a hop reads them again.
     """
-    states, cursors, links = dict(states), dict(cursors or {}), list(links)
+    states, cursors, links = {k: materialized(v, "replica") for k, v in states.items()}, dict(cursors or {}), list(links)
     for _ in range(most_rounds):
         quiet = True
         for link in links:
             sender, receiver = link
             state = states[sender]
             told = cursors.get(link)
-            fresh = news(state, told if told is not None else state.sparkSession.createDataFrame([], "folder string, cursor long"))
+            fresh = materialized(news(state, told if told is not None else state.sparkSession.createDataFrame([], "folder string, cursor long")), "news")
             if not fresh.isEmpty():
                 quiet = False
                 states[receiver], _ = received(states[receiver], fresh, devices[receiver], now_s, f"D{devices[receiver]}")
